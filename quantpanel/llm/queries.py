@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, token_output, warc
+from . import exact_dedup, license_scan, line_dedup, mixing, packing, token_output, warc
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_packing": packing.op2_packing,
+        "op4_license_scan": license_scan.op4_license_scan,
+        "op5_line_dedup": line_dedup.op5_line_dedup,
         "op8_token_output": token_output.op8_token_output,
         "op9_warc": warc.op9_warc,
         "op10_mixing": mixing.op10_mixing,
@@ -16,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op9_warc": warc.OP9_SQL, "op10_mixing": mixing.OP10_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op4_license_scan": license_scan.OP4_SQL, "op9_warc": warc.OP9_SQL, "op10_mixing": mixing.OP10_SQL}
