@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, line_dedup, mixing, packing, token_output, warc
+from . import exact_dedup, license_scan, line_dedup, mixing, near_dedup, packing, token_output, warc
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_packing": packing.op2_packing,
+        "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_license_scan": license_scan.op4_license_scan,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op8_token_output": token_output.op8_token_output,
