@@ -13,10 +13,10 @@ extra columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +53,6 @@ def grams(text: str) -> np.ndarray | None:
 
 def _counts(batches: Iterator) -> Iterator:
     """One row a task: document counts of the buckets."""
-    import pyarrow as pa
-
     df, n = np.zeros(BUCKETS, np.int64), 0
     for batch in batches:
         for t in batch.column("text").to_pylist():
@@ -150,9 +148,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
-    def guess(texts: "pa.Array") -> "pa.Array":  # noqa: F821
-        import pyarrow as pa
-
+    def guess(texts: pa.Array) -> pa.Array:
         found = [shared.value.predict(t.as_py()) for t in texts]
         return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, line_dedup, mixing, near_dedup, packing, token_output, warc
+from . import ann, exact_dedup, language_id, license_scan, line_dedup, mixing, near_dedup, packing, token_output, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_license_scan": license_scan.op4_license_scan,
         "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op6_language_id": language_id.op6_language_id,
+        "op7_ann": ann.op7_ann,
         "op8_token_output": token_output.op8_token_output,
         "op9_warc": warc.op9_warc,
         "op10_mixing": mixing.op10_mixing,
