@@ -18,6 +18,7 @@ import math
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
@@ -60,7 +61,7 @@ def token_order(docs: DataFrame, templates=TEMPLATES) -> list[str]:
 
 
 def similar_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, block (line number), label, containment of every block that meets a template."""
+    """doc_id, block (line number), label, overlap, containment of every block and template it meets."""
     spark = docs.sparkSession
     order = token_order(docs, templates)
     rows, prefixes = [], set()
@@ -80,7 +81,13 @@ def similar_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
     hits = hits.where("n_words >= need AND 1 + least(size(tokens) - i - 1, size(known) - j - 1) >= need")
     overlap = F.size(F.array_intersect("known", "tokens"))
     hits = hits.withColumn("overlap", overlap).where("overlap >= need")
-    return hits.groupBy("doc_id", "block", "label").agg(F.max(F.col("overlap") / F.size("tokens")).alias("containment"))
+    return hits.groupBy("doc_id", "block", "label").agg(F.max("overlap").alias("overlap"), F.max(F.col("overlap") / F.size("tokens")).alias("containment"))
+
+
+def best_templates(blocks: DataFrame) -> DataFrame:
+    """Of the templates that a block meets, those that share most words with it: notices that differ in a version or a clause meet each other."""
+    most = F.max("overlap").over(W.partitionBy("doc_id", "block"))
+    return blocks.withColumn("most", most).where("overlap = most").drop("most")
 
 
 def phrase_places(docs: DataFrame, phrases=PHRASES) -> DataFrame:
@@ -112,7 +119,7 @@ def _follows(i: Column, rest: list[str]) -> Column:
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A row per document: its words, phrase places, labels and score (the largest containment; a phrase counts 1)."""
-    blocks = similar_blocks(docs, threshold=threshold)
+    blocks = best_templates(similar_blocks(docs, threshold=threshold))
     per_doc = blocks.groupBy("doc_id").agg(F.collect_set("label").alias("own"), F.max("containment").alias("containment"))
     joined = phrase_places(docs).join(per_doc, "doc_id", "left")
     text = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
@@ -138,11 +145,12 @@ WITH d AS (SELECT doc_id, {words('text')} AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
 f AS ({' UNION ALL '.join(places)}),
 b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS base FROM f GROUP BY doc_id),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-k AS (SELECT doc_id, {words('line')} AS w FROM l),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS block FROM documents),
+k AS (SELECT doc_id, block, {words('line')} AS w FROM l),
 t AS (SELECT s.tokens, s.label FROM (SELECT unnest([{', '.join(f"{{'tokens': [{', '.join(map(quoted, sorted(set(t.split()))))}], 'label': {quoted(label)}}}" for t, label in TEMPLATES)}]) AS s)),
-m AS (SELECT doc_id, label, len(list_intersect(w, tokens)) AS overlap, len(tokens) AS n FROM k, t
-      WHERE list_has_any(w, tokens) AND len(list_intersect(w, tokens)) >= ceil({THRESHOLD} * len(tokens) - 1e-9)),
+m AS (SELECT doc_id, block, label, len(list_intersect(w, tokens)) AS overlap, len(tokens) AS n FROM k, t
+      WHERE list_has_any(w, tokens) AND len(list_intersect(w, tokens)) >= ceil({THRESHOLD} * len(tokens) - 1e-9)
+      QUALIFY overlap = max(overlap) OVER (PARTITION BY doc_id, block)),
 o AS (SELECT doc_id, list(DISTINCT label) AS own, max(overlap / n) AS containment FROM m GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
