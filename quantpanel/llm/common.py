@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,10 +26,33 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Queries inside free their shuffle files when they end, not when the driver next collects garbage: what they wrote is all that is read later."""
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+
+
+def write_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """A Parquet table hash-bucketed by ``key`` in the shared folder: later joins on the key leave its rows where they are."""
+    spark, table_name = df.sparkSession, f"{name.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
+    with shuffles_freed(spark):
+        df.write.format("parquet").option("path", fresh_path(spark, name)).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
