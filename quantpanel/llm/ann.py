@@ -80,27 +80,30 @@ class HashIndex:
     """Substring tables of a block of codes."""
 
     def __init__(self, block: np.ndarray):
-        self.codes = block
-        self.near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
-        self.order = np.argsort(block, axis=0, kind="stable")
-        self.begin = np.stack([np.searchsorted(block[self.order[:, j], j], np.arange(257)) for j in range(block.shape[1])])
+        self.columns = np.ascontiguousarray(block.T)
+        pad = -block.shape[1] % 8
+        self.words = np.ascontiguousarray(np.pad(block, ((0, 0), (0, pad)))).view(np.uint64)
+        distance = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
+        self.within = [distance <= a for a in range(9)]  # by radius: value -> values in reach
+        self.order = [np.argsort(c, kind="stable") for c in self.columns]
+        self.begin = [np.searchsorted(c[o], np.arange(257)) for c, o in zip(self.columns, self.order)]
 
     def probe(self, query: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose code is within ``radius``, by the pigeonhole over substrings."""
-        m = len(query)
-        a, b = divmod(radius, m)
-        hit = np.zeros(len(self.codes), bool)
-        for j in range(m):
-            values = np.flatnonzero(self.near[query[j]] <= (a if j <= b else a - 1))
-            if len(values) > 128:  # most buckets: mark by value
-                ok = np.zeros(256, bool)
-                ok[values] = True
-                hit |= ok[self.codes[:, j]]
+        a, b = divmod(radius, len(query))
+        hit = np.zeros(len(self.words), bool)
+        for j, value in enumerate(query):
+            reach = a if j <= b else a - 1
+            if reach < 0:
+                continue
+            if reach >= 2:  # many values: each row looks its value up
+                hit |= self.within[min(reach, 8)][value].take(self.columns[j])
             else:
-                for v in values:
-                    hit[self.order[self.begin[j, v] : self.begin[j, v + 1], j]] = True
+                for v in np.flatnonzero(self.within[reach][value]):
+                    hit[self.order[j][self.begin[j][v] : self.begin[j][v + 1]]] = True
         rows = np.flatnonzero(hit)
-        return rows[hamming(self.codes[rows], query) <= radius]
+        own = np.pad(query, (0, -len(query) % 8)).view(np.uint64)
+        return rows[np.bitwise_count(self.words[rows] ^ own).sum(axis=1) <= radius]
 
 
 def _matrix(column, d: int) -> np.ndarray:
@@ -145,7 +148,7 @@ def _search(radius: int, k: int, d: int):
 
 def search(index: DataFrame, queries: DataFrame, radius: int, k: int, d: int, n_rows: int, n_queries: int) -> DataFrame:
     """index and queries: (vec_id, embedding, code). (query_id, rank, vec_id, score), the k best in the radius."""
-    per = min(BLOCK_ROWS, max(512, n_rows // 64))
+    per = min(BLOCK_ROWS, max(512, n_rows // 16))
     r, q = max(1, -(-n_rows // per)), max(1, -(-n_queries // BLOCK_QUERIES))
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -174,7 +177,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     n_queries = asked.count()
     found = materialize(search(index, asked, radius, k, d, dims["count"], n_queries), "ann-found")
     full = found.groupBy("query_id").count().where(f"count >= {k}").select(F.col("query_id").alias("vec_id"))
-    few = asked.join(full, "vec_id", "left_anti")
+    few = materialize(asked.join(full, "vec_id", "left_anti"), "ann-few")
     n_few = few.count()
     if n_few:
         again = search(index, few, directions.shape[1], k, d, dims["count"], n_few)
