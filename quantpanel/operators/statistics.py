@@ -183,4 +183,4 @@ def path_summary(paths: DataFrame, by: str = "agent") -> DataFrame:
     q = F.percentile("total", F.array(F.lit(0.01), F.lit(0.05), F.lit(0.5), F.lit(0.95)))
     out = paths.groupBy(by).agg(q.alias("q"), F.avg((C("total") > 0).cast("double")).alias("p_gain"), F.avg((C("breaker") == 3).cast("double")).alias("p_breaker"), F.count("*").alias("n"))
     tail = paths.join(F.broadcast(out.select(by, C("q")[1].alias("cut"))), by).where("total <= cut").groupBy(by).agg((-F.avg("total")).alias("cvar95"))
-    return out.join(tail, by).select(by, "n", -C("q")[1].alias("var95"), -C("q")[0].alias("var99"), "cvar95", C("q")[2].alias("median"), C("q")[3].alias("p95"), "p_gain", "p_breaker")
+    return out.join(tail, by).select(by, "n", (-C("q")[1]).alias("var95"), (-C("q")[0]).alias("var99"), "cvar95", C("q")[2].alias("median"), C("q")[3].alias("p95"), "p_gain", "p_breaker")
