@@ -5,10 +5,10 @@
 2. Inverted lists of the retained values. A link of similarity 0.75 shares at least ``need`` sketch values (see
    ``shared_least``), so of a sketch ordered by document frequency, rarest first, only the first m - need + 1 values are looked up
    (prefix filter). Values of common passages come last and are seldom looked up.
-3. Rounds over the lists. In each, every list names a hub, and its members in other components than the hub's are
-   compared with it; links join components, so a large group of copies needs one comparison a member, not one a pair.
+3. Rounds over the lists. In each, every list names a hub (the member with the fewest values of its own, which stands nearest
+   to the rest), and its members in other components than the hub's are compared with it; links join components, so a large group of copies needs one comparison a member, not one a pair.
    Lists that are still split after ``HUB_ROUNDS`` yield the pairs across components: short lists directly, members of long
-   lists through their whole shingle sets, rarest shingle first, where similarity 0.75 leaves a prefix of a quarter.
+   lists through their whole shingle sets, rarest shingle first, where similarity 0.75 leaves a prefix of a quarter and places prune pairs.
 4. A pair is first estimated on the bottom-k sketch of the union, then verified on the full shingle sets.
 5. Components of the verified links, by minimum labels with pointer jumping, on written tables.
 
@@ -21,19 +21,18 @@ doc_ids are one document (the longest set stands for it); an empty table gives a
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize
+from .common import materialize, write_buckets
 
 SHINGLE, SKETCH = 5, 64
 SIM = 75  # percent
 HUB_ROUNDS = 3
-LONG_LIST = 64
+LONG_LIST = 16
 DOCS_PER_BUCKET = 8192
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -97,10 +96,10 @@ def _sketches(batches: Iterator) -> Iterator:
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in tops])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id")[begin:end], batch.column("text")[begin:end], pa.array([len(s) for s in sets], pa.int64()),
+                    batch.column("doc_id")[begin:end], pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                 ],
-                ["doc_id", "text", "n", "sig", "sketch"],
+                ["doc_id", "n", "sig", "sketch"],
             )
 
 
@@ -132,20 +131,16 @@ def _explode_sets(batches: Iterator) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], ["rep", "v"])
 
 
-class _Corpus:
-    """(doc_id, text, n, sig, sketch), written once, hash-bucketed by doc_id."""
+class _Texts:
+    """(doc_id, text) of the documents that some list names, written once, hash-bucketed by doc_id."""
 
-    def __init__(self, docs: DataFrame):
-        buckets = max(1, -(-docs.count() // DOCS_PER_BUCKET))
-        self.name = f"shingle_sketches_{uuid.uuid4().hex[:12]}"
-        rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text").repartition(buckets, "doc_id")
-        rows = rows.mapInArrow(_sketches, "doc_id long, text string, n long, sig binary, sketch array<long>")
-        rows.write.format("parquet").option("path", fresh_path(docs.sparkSession, "sketches")).bucketBy(buckets, "doc_id").saveAsTable(self.name)
-        self.rows = docs.sparkSession.table(self.name)
+    def __init__(self, docs: DataFrame, ids: DataFrame, buckets: int):
+        rows = docs.select("doc_id", "text").repartition(buckets, "doc_id").join(ids.distinct().repartition(buckets, "doc_id"), "doc_id", "left_semi")
+        self.rows = write_buckets(rows, "near-texts", "doc_id", buckets)
 
-    def fetch(self, ids: DataFrame, *columns: str) -> DataFrame:
-        """Columns of the documents in ``ids`` (doc_id), one row each."""
-        return self.rows.select("doc_id", *columns).join(ids.distinct(), "doc_id").dropDuplicates(["doc_id"])
+    def fetch(self, ids: DataFrame) -> DataFrame:
+        """Texts of the documents in ``ids`` (doc_id), one row each."""
+        return self.rows.join(ids.distinct(), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -162,17 +157,18 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
 
 
-def _links(corpus: _Corpus, pairs: DataFrame) -> DataFrame:
+def _links(texts: _Texts, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) that hold on the sketch of the union, then on the full sets."""
     pairs = materialize(pairs.distinct(), "near-pairs")
-    side = lambda x, pairs, *columns: corpus.fetch(pairs.select(F.col(x).alias("doc_id")), *columns).select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
-    est = pairs.join(side("a", pairs, "n", "sketch"), "a").join(side("b", pairs, "n", "sketch"), "b")
+    sketch = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    text = lambda x, pairs: texts.fetch(pairs.select(F.col(x).alias("doc_id"))).select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    est = pairs.join(sketch("a"), "a").join(sketch("b"), "b")
     est = est.where(f"100 * least(n_a, n_b) >= {SIM} * greatest(n_a, n_b)")
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)
     both = F.size(F.array_intersect(F.array_intersect(union, "sketch_a"), "sketch_b"))
     est = est.withColumn("k", F.size(union)).withColumn("both", both)
     close = materialize(est.where("both >= 0.75 * k - 5.8 * sqrt(k * 0.1875)").select("a", "b"), "near-close")
-    full = close.join(side("a", close, "text"), "a").join(side("b", close, "text"), "b")
+    full = close.join(text("a", close), "a").join(text("b", close), "b")
     return materialize(full.mapInArrow(_verify, "a long, b long"), "near-links")
 
 
@@ -188,58 +184,69 @@ def _rarest_first(postings: DataFrame, reps: DataFrame, prefix) -> DataFrame:
     """postings (v, rep) -> those among the first ``prefix`` values of a rep, of m in all, that another rep shares.
 
     reps: rep, m and whatever ``prefix`` (a Column) reads. A value that nobody shares takes a place but cannot match.
+    Adds at (the place in the order) and alone (the share of a rep's values that nobody shares).
     """
     shared = postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     listed = postings.join(shared, "v").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    listed = listed.join(reps, "rep").withColumn("room", prefix - (F.col("m") - F.size("vs"))).where("room > 0")
-    return materialize(listed.select("rep", "n", F.explode(F.slice("vs", F.lit(1), F.col("room").cast("int"))).alias("x")).select("rep", "n", "x.v", "x.df"), "near-postings")
+    listed = listed.join(reps, "rep").withColumn("own", F.col("m") - F.size("vs")).withColumn("room", prefix - F.col("own")).where("room > 0")
+    listed = listed.select("rep", "n", "own", (F.col("own") / F.col("m")).alias("alone"), F.posexplode(F.slice("vs", F.lit(1), F.col("room").cast("int"))).alias("k", "x"))
+    return materialize(listed.select("rep", "n", "alone", (F.col("own") + F.col("k")).alias("at"), "x.v"), "near-postings")
 
 
-def _across(lists: DataFrame) -> DataFrame:
-    """Pairs across components within the lists (v, rep, n, comp), longer ones left to the caller."""
-    right = lists.select("v", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("c_b"))
-    pairs = lists.withColumnRenamed("rep", "a").join(right, "v").where(f"a > b AND comp <> c_b AND 100 * least(n, n_b) >= {SIM} * greatest(n, n_b)")
-    return pairs.select("a", "b")
+def _across(lists: DataFrame, whole: bool) -> DataFrame:
+    """Pairs across components within the lists (v, rep, n, at, comp).
+
+    ``whole``: the lists are of full sets, where what follows the first common value must still hold the overlap that 0.75 needs,
+    which prunes by place in both orders (positional filter; exact).
+    """
+    right = lists.select("v", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("comp").alias("c_b"))
+    test = f"a > b AND comp <> c_b AND 100 * least(n, n_b) >= {SIM} * greatest(n, n_b)"
+    if whole:
+        test += f" AND {100 + SIM} * least(n - at, n_b - at_b) >= {SIM} * (n + n_b)"
+    return lists.withColumnRenamed("rep", "a").join(right, "v").where(test).select("a", "b")
 
 
 def _split_lists(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """Postings with comp, of the lists that hold more than one component."""
+    """Postings with comp, of the lists that hold more than one component; c0 and c1 are two of them."""
     own = postings.join(labels, "rep")
-    split = own.groupBy("v").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("length")).where("c0 <> c1").select("v", "c0", "c1", "length")
+    split = own.groupBy("v").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("length")).where("c0 <> c1")
     return own.join(split, "v")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
-    corpus = _Corpus(docs)
-    classes = corpus.rows.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
-    classes = materialize(classes, "near-classes")
-    reps = corpus.rows.where("n > 0").select("doc_id", "sig", "n", "sketch").join(classes.select(F.col("rep").alias("doc_id"), "sig", "n"), ["doc_id", "sig", "n"]).dropDuplicates(["doc_id"])
+    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    buckets = max(1, -(-docs.count() // DOCS_PER_BUCKET))
+    sets = materialize(docs.mapInArrow(_sketches, "doc_id long, n long, sig binary, sketch array<long>"), "sketches")
+    classes = materialize(sets.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep")), "near-classes")
+    reps = sets.where("n > 0").join(classes.select(F.col("rep").alias("doc_id"), "sig", "n"), ["doc_id", "sig", "n"]).dropDuplicates(["doc_id"])
     reps = materialize(reps.select(F.col("doc_id").alias("rep"), "n", F.size("sketch").alias("m"), "sketch"), "near-reps")
     small = reps.select("rep", "n", "m")
     need = F.when(F.col("n") * 100 <= SIM * SKETCH, F.ceil(F.col("n") * SIM / 100)).otherwise(F.lit(shared_least(10**9)))
     postings = _rarest_first(reps.select("rep", F.explode("sketch").alias("v")), small, F.col("m") - need + 1)
+    texts = _Texts(docs, postings.select(F.col("rep").alias("doc_id")), buckets)
     labels = small.select("rep", F.col("rep").alias("comp"))
     for k in range(HUB_ROUNDS):
         lists = _split_lists(postings, labels)
-        hub = (F.min if k % 2 == 0 else F.max)("rep").alias("b")
-        hubs = lists.where(F.col("comp") == F.col("c0" if k % 2 == 0 else "c1")).groupBy("v", "comp").agg(hub).select("v", F.col("comp").alias("c_b"), "b")
-        links = _links(corpus, lists.join(hubs, "v").where("comp <> c_b").select(F.col("rep").alias("a"), "b"))
+        # the member with the fewest values of its own stands nearest to the others
+        hubs = lists if k == 0 else lists.where(F.col("comp") == F.col("c1" if k % 2 else "c0"))
+        hubs = hubs.groupBy("v").agg(F.min(F.struct("alone", "rep", "comp")).alias("hub")).select("v", F.col("hub.rep").alias("b"), F.col("hub.comp").alias("c_b"))
+        links = _links(texts, reps, lists.join(hubs, "v").where("comp <> c_b").select(F.col("rep").alias("a"), "b"))
         if links.isEmpty():
             break
         labels = _merge(labels, links)
-    left = materialize(_split_lists(postings, labels).select("v", "rep", "n", "comp", "length"), "near-left")
-    short = _across(left.where(f"length <= {LONG_LIST}"))
+    left = materialize(_split_lists(postings, labels).select("v", "rep", "n", "at", "comp", "length"), "near-left")
+    pairs = _across(left.where(f"length <= {LONG_LIST}"), False)
     dense = left.where(f"length > {LONG_LIST}").select(F.col("rep").alias("doc_id")).distinct()
     if not dense.isEmpty():
-        sets = materialize(corpus.fetch(dense, "text"), "near-dense").mapInArrow(_explode_sets, "rep long, v long")
-        whole = _rarest_first(sets, small.withColumn("m", F.col("n")), F.col("n") - F.ceil(F.col("n") * SIM / 100) + 1)
-        short = short.union(_across(whole.join(labels, "rep")))
-    links = _links(corpus, short)
+        whole = materialize(texts.fetch(dense), "near-dense").mapInArrow(_explode_sets, "rep long, v long")
+        whole = _rarest_first(whole, small.withColumn("m", F.col("n")), F.col("n") - F.ceil(F.col("n") * SIM / 100) + 1)
+        pairs = pairs.union(_across(whole.join(labels, "rep"), True))
+    links = _links(texts, reps, pairs)
     if not links.isEmpty():
         labels = _merge(labels, links)
     per_class = classes.join(labels, "rep").select("sig", "n", "comp")
-    rows = corpus.rows.select("doc_id", "sig", "n").join(per_class, ["sig", "n"], "left")
+    rows = sets.select("doc_id", "sig", "n").join(per_class, ["sig", "n"], "left")
     comp = F.coalesce("comp", "doc_id")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), (F.col("doc_id") == comp).alias("kept"))
     return out
