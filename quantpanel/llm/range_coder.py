@@ -11,19 +11,24 @@ from __future__ import annotations
 import numpy as np
 
 ORDER0_BITS, MIX_BITS, CONTEXT_BITS = 18, 6, 18
-LANE_IDS, MAX_LANES = 256, 4096
+LANE_IDS, MAX_LANES = 128, 8192
 BLOCK_IDS = LANE_IDS * MAX_LANES
 U = np.uint64
 _M32, _T32, _SHIFT, _B0 = U(0xFFFFFFFF), U(1 << 32), U(ORDER0_BITS + MIX_BITS), U(ORDER0_BITS)
 
 
+# next confidence by 2 * confidence + hit: up by one to 7, else halved
+_STEP = np.array([x for s in range(8) for x in (s >> 1, min(s + 1, 7))], np.int64)
+
+
 class _Model:
     def __init__(self, vocab: int):
         self.vocab = vocab
         self.counts = np.zeros(vocab, np.int64)
         self.next1, self.sure1 = np.zeros(vocab, np.int64), np.zeros(vocab, np.int64)
         self.next2, self.sure2 = np.zeros(1 << CONTEXT_BITS, np.int64), np.zeros(1 << CONTEXT_BITS, np.int64)
-        self.tries, self.hits1, self.hits2 = np.full(128, 4), np.ones(128, np.int64), np.ones(128, np.int64)
+        self.seen = np.zeros((128, 4), np.int64)  # per pair of confidences: neither right, order 1 alone, order 2, both
+        self.seen[:, 0], self.seen[:, 1], self.seen[:, 2] = 2, 1, 1
         self.refresh(np.zeros(0, np.int64))
 
     def refresh(self, ids: np.ndarray) -> None:
@@ -35,42 +40,43 @@ class _Model:
         f[int(np.argmax(self.counts))] += (1 << ORDER0_BITS) - int(f.sum())
         self.freq, self.cum = f.astype(U), (np.cumsum(f) - f).astype(U)
         self.at = np.repeat(np.arange(self.vocab), f)
-        units = (1 << MIX_BITS) - 2
-        w2, w1 = self.hits2 * units // self.tries, self.hits1 * units // self.tries
-        w1 = np.minimum(w1, units - w2)
-        self.w2, self.w1, self.w0 = w2.astype(U), w1.astype(U), ((1 << MIX_BITS) - w1 - w2).astype(U)
+        units, tries = (1 << MIX_BITS) - 2, self.seen.sum(axis=1)
+        w2, w1 = (self.seen[:, 2] + self.seen[:, 3]) * units // tries, self.seen[:, 1] * units // tries
+        w0 = (1 << MIX_BITS) - w1 - w2
+        self.w0, self.w1, self.w2 = w0.astype(U), w1.astype(U) << _B0, w2.astype(U) << _B0
+        self.inverse = -(-(1 << 40) // w0).astype(U)  # x * inverse >> 40 is x // w0 for x < 2**24, w0 <= 64
 
     def predict(self, p1: np.ndarray, p2: np.ndarray) -> None:
         self.p1 = p1
         self.h = ((p1 * 0x9E3779B1 + p2 * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - CONTEXT_BITS)
-        self.c1, self.c2, self.s1, self.s2 = self.next1[p1], self.next2[self.h], self.sure1[p1], self.sure2[self.h]
+        self.c1, self.c2, self.s1, self.s2 = self.next1.take(p1), self.next2.take(self.h), self.sure1.take(p1), self.sure2.take(self.h)
         self.ctx = (self.s2 << 4) | (self.s1 << 1) | (self.c1 == self.c2)
-        self.v0, self.v1, self.v2 = self.w0[self.ctx], self.w1[self.ctx] << _B0, self.w2[self.ctx] << _B0
+        self.v0, self.v1, self.v2 = self.w0.take(self.ctx), self.w1.take(self.ctx), self.w2.take(self.ctx)
 
     def span(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, width) of id x in the mixed distribution."""
-        return self.v0 * self.cum[x] + self.v2 * (x > self.c2) + self.v1 * (x > self.c1), self.v0 * self.freq[x] + self.v2 * (x == self.c2) + self.v1 * (x == self.c1)
+        v0, v1, v2 = self.v0, self.v1, self.v2
+        return v0 * self.cum.take(x) + v2 * (x > self.c2) + v1 * (x > self.c1), v0 * self.freq.take(x) + v2 * (x == self.c2) + v1 * (x == self.c1)
 
     def find(self, v: np.ndarray) -> np.ndarray:
-        """The id whose span holds v."""
-        a2, f2 = self.span(self.c2)
-        a1, f1 = self.span(self.c1)
-        e2, e1 = a2 + f2, a1 + f1
-        rest = (v - self.v2 * (v >= e2) - self.v1 * (v >= e1)) // self.v0
-        x = self.at[np.minimum(rest, U((1 << ORDER0_BITS) - 1))]
-        x = np.where((v >= a1) & (v < e1), self.c1, x)
-        return np.where((v >= a2) & (v < e2), self.c2, x)
+        """The id whose span holds v: order 0 once the spans of the named ids below v are taken out, else a named id."""
+        v0, v1, v2, c1, c2 = self.v0, self.v1, self.v2, self.c1, self.c2
+        same = c1 == c2
+        a2, a1 = v0 * self.cum.take(c2) + v1 * (c2 > c1), v0 * self.cum.take(c1) + v2 * (c1 > c2)
+        e2, e1 = a2 + v0 * self.freq.take(c2) + v2 + v1 * same, a1 + v0 * self.freq.take(c1) + v1 + v2 * same
+        over2, over1 = v >= e2, v >= e1
+        rest = ((v - v2 * over2 - v1 * over1) * self.inverse.take(self.ctx)) >> U(40)
+        x = self.at.take(rest.astype(np.int64), mode="clip")
+        x = np.where((v >= a1) & ~over1, c1, x)
+        return np.where((v >= a2) & ~over2, c2, x)
 
     def learn(self, x: np.ndarray) -> None:
         hit1, hit2 = x == self.c1, x == self.c2
-        self.tries += np.bincount(self.ctx, minlength=128)
-        self.hits2 += np.bincount(self.ctx[hit2], minlength=128)
-        self.hits1 += np.bincount(self.ctx[hit1 & ~hit2], minlength=128)
+        self.seen += np.bincount((self.ctx << 2) | (hit2 << 1) | hit1, minlength=512).reshape(128, 4)
         for at, into, sure, s, hit in ((self.p1, self.next1, self.sure1, self.s1, hit1), (self.h, self.next2, self.sure2, self.s2, hit2)):
-            new = np.where(hit, np.minimum(s + 1, 7), s >> 1)
-            swap = ~hit & (s <= 1)
-            into[at[swap]] = x[swap]
-            sure[at] = new
+            swap = np.flatnonzero((s <= 1) > hit)
+            into[at.take(swap)] = x.take(swap)
+            sure[at] = _STEP.take((s << 1) | hit)
 
 
 def _refreshes(t: int) -> bool:

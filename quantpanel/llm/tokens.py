@@ -15,7 +15,7 @@ import numpy as np
 
 MEMO_WORDS = 500_000
 END_ID = 1
-_JOIN = 400
+_JOIN = 100
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -41,7 +41,7 @@ class _Memo:
         if missing:
             # a comma or full stop after a letter is a token of its own in both vocabularies
             stems = {w: w[:-1] for w in missing if len(w) > 1 and w[-1] in ",." and w[-2].isalpha()}
-            fresh = sorted((missing - stems.keys()) | {s for s in stems.values() if s not in new})
+            fresh = list((missing - stems.keys()) | {s for s in stems.values() if s not in new})
             new.update(zip(fresh, self.encoder.many([self.prefix + w for w in fresh])))
             marks = self.encoder.marks
             for w, s in stems.items():
@@ -68,7 +68,7 @@ class Encoder:
         out: list[bytes] = []
         for k in range(0, len(words), _JOIN):
             some = words[k : k + _JOIN]
-            ids = np.array(self.tokenizer.encode(self.joint.join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([self.joint.join(some)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.joint_id)
             raw = ids.tobytes()
             begin = [0, *(4 * (cuts + 1)).tolist()]
