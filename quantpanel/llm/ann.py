@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hashed_sample, materialize
 
 SAMPLE = 10_000
 SAMPLE_QUERIES = 300
@@ -167,7 +167,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d = dims.d
     rows = rows.where(F.size("embedding") == d)
-    sample = rows.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
+    sample = hashed_sample(rows, "vec_id", dims["count"], SAMPLE, 3).select("embedding").toArrow()
     x = _matrix(sample["embedding"], d)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     directions = fit_codes(x)

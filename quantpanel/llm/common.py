@@ -7,6 +7,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 
@@ -58,3 +59,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hashed_sample(rows: DataFrame, key: str, n_rows: int, size: int, seed: int) -> DataFrame:
+    """The ``size`` rows of smallest seeded hash of ``key``; a threshold from ``n_rows`` leaves little more than those to sort, at any number of tasks."""
+    h = F.xxhash64(F.lit(seed), key)
+    share = min(1.0, (1.3 * size + 200) / max(n_rows, 1))
+    near = rows.where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30)))
+    return near.orderBy(F.pmod(h, F.lit(1 << 30)), key).limit(size)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import hashed_sample
+
 SAMPLE = 3000
 EPOCHS = 3
 BUCKETS = 1 << 15
@@ -139,7 +141,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     df = np.zeros(BUCKETS + 1, np.int64)
     df[counts["bucket"].to_numpy()] = counts["n"].to_numpy()  # bucket -1: the number of texts
     idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0
-    chosen = rows.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(sample).toArrow().to_pylist()
+    chosen = hashed_sample(rows, "doc_id", int(df[-1]), sample, 7).toArrow().to_pylist()
     return fit([r["text"] for r in chosen], [r["lang"] for r in chosen], idf)
 
 

@@ -168,7 +168,8 @@ def _links(texts: _Texts, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     both = F.size(F.array_intersect(F.array_intersect(union, "sketch_a"), "sketch_b"))
     est = est.withColumn("k", F.size(union)).withColumn("both", both)
     close = materialize(est.where("both >= 0.75 * k - 5.8 * sqrt(k * 0.1875)").select("a", "b"), "near-close")
-    full = close.join(text("a", close), "a").join(text("b", close), "b")
+    hubs = materialize(text("b", close), "near-hubs")  # apart from the join, whose hot hubs can then be split
+    full = close.join(text("a", close), "a").join(hubs, "b")
     return materialize(full.mapInArrow(_verify, "a long, b long"), "near-links")
 
 
