@@ -256,3 +256,23 @@ def test_warc(spark):
     empty = fresh_path(spark, "w")
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), empty)
     assert warc.read_warc(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("n_words,sentences", [(50, 1), (50, 2), (60, 3), (80, 1), (80, 5)])
+def test_line_dedup_cuts_short_passages(spark, n_words, sentences):
+    rng = np.random.default_rng(n_words + sentences)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, int(rng.integers(2, 9))))
+    rows, passages = [], []
+    for p in range(20):
+        words = [word() for _ in range(n_words)]
+        for k in range(1, sentences):
+            words[k * n_words // sentences - 1] += "."
+        passages.append(" ".join(words))
+        for d in (0, 100):
+            around = [" ".join(word() for _ in range(40)) for _ in range(2)]
+            rows.append((p + d, f"{around[0]} {passages[-1]} {around[1]}"))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert all(got[i] == t for i, t in rows if i < 100)
+    cut = [len(t.split()) - len(got[i].split()) for i, t in rows if i >= 100]
+    assert all(c <= n_words for c in cut) and sum(c >= n_words - 16 for c in cut) >= 18
+    assert all(got[i].startswith(t[:200]) and got[i].endswith(t[-200:]) for i, t in rows if i >= 100)
