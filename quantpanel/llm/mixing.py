@@ -10,14 +10,14 @@ equal buckets per source; sums per bucket (partial aggregation) find the one buc
 reached, and only that bucket's documents are ordered. No source, however hot, is ordered in one task.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; a source of
-size 0 has target 0; repeated rows are documents of their own and share one draw order; an empty table
+size 0 has target 0; repeated rows are documents of their own and share one draw order; a null doc_id is drawn first; an empty table
 gives an empty result; extra columns are kept by ``mix`` and ignored by the query; nobody is taken more than
 ``max_epochs`` times.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,39 +51,53 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     return rows.select("source", "source_size", target.alias("target"), bits.alias("bits"))
 
 
-def copies(sized: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """sized: (doc_id, source, size). Adds source_size, target, copies (0..max_epochs)."""
+def copies(sized: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, rows: DataFrame | None = None) -> DataFrame:
+    """sized: (doc_id, source, size). Adds source_size, target, copies (0..max_epochs).
+
+    ``rows``: the same rows with more columns, which are then returned with theirs; nothing is joined on doc_id.
+    """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     targets = materialize(source_targets(per, weights, max_epochs), "mix-targets").withColumnRenamed("source", "t_source")
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))), 1, 15), 16, 10).cast("long")
-    docs = sized.join(targets, F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source")
-    docs = docs.withColumn("h", F.coalesce(draw, F.lit(0))).withColumn("bucket", F.expr("shiftright(h, 60 - bits)"))
-    docs = docs.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    docs = docs.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+
+    def drawn(docs: DataFrame) -> DataFrame:
+        draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))), 1, 15), 16, 10).cast("long")
+        docs = docs.join(targets, F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source")
+        docs = docs.withColumn("h", F.coalesce(draw, F.lit(0))).withColumn("bucket", F.expr("shiftright(h, 60 - bits)"))
+        docs = docs.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+        return docs.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+
     running = W.partitionBy("source").orderBy("bucket")
-    sums = docs.groupBy("source", "bucket").agg(F.sum("size").alias("mass"), F.first("rest").alias("rest")).withColumn("upto", F.sum("mass").over(running))
+    sums = drawn(sized).groupBy("source", "bucket").agg(F.sum("size").alias("mass"), F.first("rest").alias("rest")).withColumn("upto", F.sum("mass").over(running))
     cuts = materialize(
         sums.where("upto >= rest").groupBy("source").agg(F.min("bucket").alias("cut"), F.min(F.col("upto")).alias("upto"), F.min_by("mass", "bucket").alias("mass")).select(F.col("source").alias("c_source"), "cut", (F.col("upto") - F.col("mass")).alias("below")),
         "mix-cuts",
     )
-    docs = docs.join(cuts, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
+    rows = sized if rows is None else rows
+    docs = drawn(rows).join(cuts, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
     inside = docs.where("bucket = cut").withColumn("reached", F.col("below") + F.sum("size").over(W.partitionBy("source").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, 0)))
     inside = inside.withColumn("extra", (2 * F.col("reached") - F.col("size") < 2 * F.col("rest")).cast("long"))
     outside = docs.where("cut IS NULL OR bucket <> cut").withColumn("extra", (F.col("cut").isNull() | (F.col("bucket") < F.col("cut"))).cast("long"))
-    out = ["doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies")]
+    out = [*rows.columns, "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies")]
     return outside.select(*out).union(inside.select(*out))
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """Size of a document: its number of words (runs of anything but ASCII white space)."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
+    return docs.select("doc_id", "source", _size().alias("size"))
+
+
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """``docs`` with every document repeated as often as the mix takes it. doc_id must be unique."""
-    counts = copies(materialize(sized(docs), "mix-sizes"), seed, weights, max_epochs).select("doc_id", "copies").where("copies > 0")
-    again = docs.join(counts, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return again.select(*docs.columns)
+    """``docs`` with every row repeated as often as the mix takes it; rows that share a doc_id, or have none, each carry a count of their own."""
+    sizes = materialize(sized(docs), "mix-sizes")
+    text = F.struct(*docs.columns).alias("row")
+    rows = docs.select("doc_id", "source", _size().alias("size"), text)
+    counts = copies(sizes, seed, weights, max_epochs, rows).where("copies > 0")
+    again = counts.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return again.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

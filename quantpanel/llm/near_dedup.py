@@ -215,7 +215,7 @@ def _split_lists(postings: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` with a doc_id; rows without one have no component and are not listed."""
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     buckets = max(1, -(-docs.count() // DOCS_PER_BUCKET))
     sets = materialize(docs.mapInArrow(_sketches, "doc_id long, n long, sig binary, sketch array<long>"), "sketches")
@@ -254,9 +254,17 @@ def near_components(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component."""
+    """``docs`` with one document of each component.
+
+    Rows that share doc_id and text are one document and leave one row; rows that share a kept doc_id only stay. A row without
+    a doc_id belongs to no component and stays as it is.
+    """
     kept = near_components(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
+    named = named.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest")) if rest else named.distinct()
+    named = named.select(*(F.col("rest")[c].alias(c) if c in rest else F.col(c) for c in docs.columns))
+    return named.union(docs.where("doc_id IS NULL"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

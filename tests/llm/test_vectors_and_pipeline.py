@@ -1,8 +1,10 @@
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quantpanel.llm import ann, queries
+from quantpanel.llm import ann, mixing, queries
 
 from ..conftest import SF
 
@@ -50,3 +52,19 @@ def test_pipeline_stages(spark):
         docs = docs.persist()
         counts.append(docs.count())
     assert counts[1] >= 0.97 * counts[0] and counts[3] <= counts[2] and counts[5] > 0
+
+
+def test_repeated_rows_and_null_ids(spark):
+    rng = np.random.default_rng(7)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 9000, 40))
+    rows = [(i, text(), "en", "ab"[i % 2], 1) for i in range(20)]
+    rows += [rows[0]] * 4 + [(None, text(), "en", "a", 1), (None, text(), "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    one = corpus_pipeline.keep_one_of_each(spark, docs, SF).collect()
+    assert sorted(map(tuple, one), key=str) == sorted(set(rows), key=str)
+    counts = mixing.copies(mixing.sized(docs)).collect()
+    mixed = Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, SF).collect())
+    want = Counter()
+    for r in counts:
+        want[r.doc_id] += r.copies
+    assert mixed == +want and mixed[0] <= 5 * mixing.MAX_EPOCHS
