@@ -56,4 +56,4 @@ add("j04_risk_budget", lambda s, d: folds.risk_budget(_plans(s, d), _account(s,
 add("j05_correlation_veto", lambda s, d: folds.correlation_veto(_plans(s, d).where("action = 'BUY'").select("run_id", "symbol", "confidence"), _plans(s, d).where("action = 'SELL'").select("run_id", "symbol"), risk.correlations(view(s, d, "bars"), 400, 5), 0.6))
 add("j06_backtests", lambda s, d: folds.backtests(_signals(s, d), _panel(s, d)))
 add("j07_walk_forward", lambda s, d: folds.walk_forward(_signals(s, d), _panel(s, d), risk.walk_forward_windows(view(s, d, "bars"))))
-add("j09_path_bootstrap", lambda s, d: statistics.path_summary(statistics.path_bootstrap(trades.round_trips(view(s, d, "executions"), trades.winners(view(s, d, "decisions"))).select("agent", "ret"), 2000, 30, cost=0.0009)))
+add("j09_path_bootstrap", lambda s, d: statistics.path_summary(statistics.path_bootstrap(trades.round_trips(view(s, d, "executions"), trades.winners(view(s, d, "decisions"))).select("agent", "ret"), 10_000, 90, cost=0.0009)))

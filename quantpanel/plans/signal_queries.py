@@ -122,7 +122,7 @@ add("d11_regime_excess", lambda s, d: edge.regime_excess(_signals(s, d), _return
     al AS (SELECT fw.*, bucket FROM fw JOIN bk USING (date) WHERE horizon = 5 AND fwd IS NOT NULL), bs AS (SELECT bucket, AVG(fwd) AS b FROM al GROUP BY 1),
     ow AS (SELECT agent, bucket, COUNT(*) AS n, AVG(al.fwd) AS m FROM signals JOIN al USING (symbol, date) WHERE action = 'BUY' GROUP BY 1, 2)
     SELECT agent, bucket, n, ROUND(CASE WHEN n >= 50 THEN m - b END, 6) AS excess FROM ow JOIN bs USING (bucket)""")
-add("d09_excess_intervals", lambda s, d: edge.excess_intervals(_signals(s, d), _returns(s, d), 500))
+add("d09_excess_intervals", lambda s, d: edge.excess_intervals(_signals(s, d), _returns(s, d)))
 _SCORE = ", ".join(f"{back('close', 21)} / {back('close', 21 + p)} - 1" for p in (63, 126, 252))
 SCORES = f", sc AS (SELECT symbol, date, LIST_AVG(LIST_FILTER([{_SCORE}], lambda x: x IS NOT NULL)) AS mom_score, LN(LEAD(close, 20) {_P} / close) AS fwd_20 FROM bars)"
 add("f01_momentum_ranks", lambda s, d: ranking.momentum_ranks(features.momentum_score(view(s, d, "bars"))),

@@ -66,3 +66,15 @@ def test_helper_queries_run(spark):
     for name in ("d08_significance", "d37_factor_regressions", "d38_factor_verdicts", "i13_pair_validation", "j05_correlation_veto", "j06_backtests", "j07_walk_forward", "j09_path_bootstrap"):
         rows = catalog.QUERIES[name](spark, SF).collect()
         assert all(not isinstance(v, float) or not math.isinf(v) for r in rows for v in r), name
+
+
+def test_resampling_queries_draw_as_often_as_the_reference(spark, monkeypatch):
+    from quantpanel.operators import edge
+
+    seen, walk = {}, statistics.path_bootstrap
+    monkeypatch.setattr(statistics, "path_bootstrap", lambda r, paths, days, **k: seen.update(days=days) or walk(r, paths, days, **k))
+    assert {r.n for r in catalog.QUERIES["j09_path_bootstrap"](spark, SF).collect()} == {10_000} and seen["days"] == 90
+    intervals = edge.excess_intervals
+    monkeypatch.setattr(edge, "excess_intervals", lambda s, r, draws=2000, **k: seen.update(draws=draws) or intervals(s, r, draws, **k))
+    catalog.QUERIES["d09_excess_intervals"](spark, SF)
+    assert seen["draws"] == 2000
