@@ -2,13 +2,16 @@
 
 Features: hashed character 1- to 3-grams of the text (letters folded to lower case, everything that is no letter a
 blank), term frequency times inverse document frequency, scaled to sum 1. The document frequencies come from every training text.
-Weights: follow-the-regularised-leader (proximal) with elastic net, on at most ``sample`` labelled texts, the smallest by a seeded
-hash; a tenth of them is left out to fit the temperature that calibrates the probabilities.
+Weights: follow-the-regularised-leader (proximal) with elastic net, on a bounded sample of labelled texts: of each language the
+texts of smallest seeded hash, ``sample`` in all and ``LEAST_EACH`` of a language at least (a rarer one gives all its texts). Each
+sampled text is reduced to its gram counts where it is read, at most ``BUCKETS`` of them; one task fits the model, and only
+the model, whose size is fixed, reaches the driver. A tenth of the sample is left out to fit the temperature that
+calibrates the probabilities, by cross-entropy against labels smoothed by ``SMOOTHING``.
 Prediction sums a table row per character position, so it reads whole texts and never materialises a feature vector.
 
 Defined cases: null text, and text without a letter, is ``und`` with score 0; a null lang is not learned from; without labelled
-rows all is ``und``; ties between languages go to the first in order; repeated rows and an empty table need no care;
-extra columns are ignored.
+rows all is ``und``; ties between languages go to the first in order; repeated rows count once in the sample; texts of any length
+are read whole; an empty table gives an empty result; extra columns are ignored and kept.
 """
 
 from __future__ import annotations
@@ -18,14 +21,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import hashed_sample
+from .common import materialize
 
 SAMPLE = 3000
 EPOCHS = 3
 BUCKETS = 1 << 15
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.5, 1e-4
+LEAST_EACH = 50
+SMOOTHING = 0.01
+SEED = 7
 MIN_SCORE = 0.5
 UND = "und"
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -112,37 +119,75 @@ class FTRL:
 SCALE = 30.0
 
 
-def fit(texts: list[str], labels: list[str], idf: np.ndarray, epochs: int = EPOCHS) -> Model:
-    """The sample's order is the order of learning."""
-    langs = sorted(set(labels))
-    rows = [(grams(t), langs.index(y)) for t, y in zip(texts, labels)]
-    rows = [(g, y) for g, y in rows if g is not None]
+def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, epochs: int = EPOCHS) -> Model:
+    """rows: (buckets, counts, lang); their order is the order of learning."""
+    langs = sorted({y for _, _, y in rows})
     held = max(1, len(rows) // 10) if len(rows) > 20 else 0
     ftrl = FTRL(BUCKETS + 1, max(1, len(langs)))
     for _ in range(epochs):
-        for g, y in rows[held:]:
-            at, tf = np.unique(g, return_counts=True)
+        for at, tf, y in rows[held:]:
             x = tf * idf[at]
-            ftrl.step(np.append(at, BUCKETS), np.append(SCALE * x / max(x.sum(), 1e-12), 1.0), y)
+            ftrl.step(np.append(at, BUCKETS), np.append(SCALE * x / max(x.sum(), 1e-12), 1.0), langs.index(y))
     w = ftrl.weights()
     model = Model(langs, (SCALE * w[:BUCKETS] * idf[:, None]).astype(np.float32), w[BUCKETS], idf.astype(np.float32), 1.0)
     if held:
-        z, y = np.array([model.logits(g) for g, _ in rows[:held]]), np.array([y for _, y in rows[:held]])
-        steps = np.exp(np.linspace(np.log(0.2), np.log(5.0), 41))
-        loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in steps]
-        model.temperature = float(steps[int(np.argmin(loss))])
+        z = np.array([model.logits(np.repeat(at, tf)) for at, tf, _ in rows[:held]])
+        model.temperature = fit_temperature(z, np.array([langs.index(y) for _, _, y in rows[:held]]))
     return model
 
 
+def fit_temperature(z: np.ndarray, y: np.ndarray, smoothing: float = SMOOTHING) -> float:
+    """The temperature of least cross-entropy against smoothed labels; those keep it above zero where every label is met."""
+    soft = np.full(z.shape, smoothing / z.shape[1])
+    soft[np.arange(len(y)), y] += 1 - smoothing
+    loss = lambda t: -(soft * np.log(np.maximum(_softmax(z / t), 1e-300))).sum(axis=1).mean()
+    grid = np.exp(np.linspace(np.log(1e-3), np.log(1e3), 241))
+    return float(grid[int(np.argmin([loss(t) for t in grid]))])
+
+
+def _gram_counts(batches: Iterator) -> Iterator:
+    for batch in batches:
+        found = [grams(t) for t in batch.column("text").to_pylist()]
+        keep = [k for k, g in enumerate(found) if g is not None]
+        pairs = [np.unique(found[k], return_counts=True) for k in keep]
+        columns = [batch.column("lang").take(pa.array(keep, pa.int64())), batch.column("h").take(pa.array(keep, pa.int64()))]
+        columns += [pa.array([p[0].astype(np.int32) for p in pairs], pa.list_(pa.int32())), pa.array([p[1].astype(np.int32) for p in pairs], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "h", "at", "tf"])
+
+
+def _fit(idf: np.ndarray):
+    def run(batches: Iterator) -> Iterator:
+        rows = [(at.values.to_numpy(), tf.values.to_numpy(), y) for b in batches for at, tf, y in zip(b.column("at"), b.column("tf"), b.column("lang").to_pylist())]
+        m = fit(rows, idf)
+        yield pa.RecordBatch.from_pydict({"langs": [m.langs], "weights": [m.table.tobytes()], "bias": [m.bias.tolist()], "temperature": [m.temperature]})
+
+    return run
+
+
+def sampled(rows: DataFrame, sample: int) -> DataFrame:
+    """rows: text, lang, h. Of each language those of smallest h.
+
+    A rank limit is taken in every task before rows meet, and only the cut of each language is joined back.
+    """
+    distinct = rows.groupBy("lang", "h").agg(F.count("*").alias("n"))
+    langs = distinct.select("lang").distinct().count()
+    each = max(LEAST_EACH, sample // max(langs, 1))
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    cuts = materialize(distinct.withColumn("k", nth).where(F.col("k") <= each).groupBy("lang").agg(F.max("h").alias("cut")), "language-cuts")
+    return rows.join(cuts, "lang").where("h <= cut").dropDuplicates(["lang", "h"]).select("text", "lang", "h")
+
+
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """labelled: doc_id, text, lang (null langs are left out)."""
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang", F.xxhash64(F.lit(SEED), "doc_id", "text").alias("h"))
     counts = rows.select("text").mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(BUCKETS + 1, np.int64)
     df[counts["bucket"].to_numpy()] = counts["n"].to_numpy()  # bucket -1: the number of texts
     idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0
-    chosen = hashed_sample(rows, "doc_id", int(df[-1]), sample, 7).toArrow().to_pylist()
-    return fit([r["text"] for r in chosen], [r["lang"] for r in chosen], idf)
+    chosen = materialize(sampled(rows, sample).mapInArrow(_gram_counts, "lang string, h long, at array<int>, tf array<int>"), "language-sample")
+    ordered = chosen.repartition(1).sortWithinPartitions("h", "lang")
+    found = ordered.mapInArrow(_fit(idf), "langs array<string>, weights binary, bias array<double>, temperature double").first()
+    return Model(list(found.langs), np.frombuffer(found.weights, np.float32).reshape(BUCKETS, -1), np.array(found.bias), idf.astype(np.float32), found.temperature)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,14 +1,16 @@
 """Packing documents into fixed-length sequences: first-fit decreasing in randomised groups.
 
-Documents are tokenised where they are read; only lengths and check sums travel. A seeded hash deals
-documents into groups of about ``group_docs`` (their number follows the row count, so a group stays small at
-any size). In a group every full ``capacity`` of a long document is a sequence of its own, and the remainders are
+A seeded hash deals the documents, texts and all, into groups of about ``group_docs`` (their number follows the row count, so a group
+stays small at any size), and whole groups into tasks, which tokenise and pack them in one go; ids never travel. A group
+that holds more than ``group_tokens`` ids is packed in parts, so a task holds no more than that and one document.
+In a group every full ``capacity`` of a long document is a sequence of its own, and the remainders are
 packed by first-fit decreasing, the first bin that fits found in a tournament tree over free capacities.
 The sparsest bins of a group are then cut up to fill the gaps of the others, so a group pads about one sequence.
+Rows are ordered in a task, so a repeated task packs alike.
 
-Defined cases: null text is empty (one token, the end id); a document of any length is cut, never truncated;
-ties in length go to the smaller doc_id; repeated rows are packed as separate documents; an empty table gives an
-empty result; extra columns are ignored.
+Defined cases: null text is empty (one token, the end id); a null doc_id is packed as such; a document of any length is cut, never
+truncated; ties in length go to the earlier row in the group's order; repeated rows are packed as separate documents; an empty table
+gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +27,7 @@ from .tokens import encode_slices, token_path
 
 CAPACITY = 2048
 GROUP_DOCS = 1024
+GROUP_TOKENS = 4_000_000
 SEED = 29
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -89,46 +94,70 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[tuple[int, int,
     return sequences + [b for b in bins if b]
 
 
-def _tokenize(path: str, kind: str):
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            ids = [x for some in encode_slices(batch.column("text").to_pylist(), path, kind) for x in some]
-            names = ["doc_id", "group", "tokens", "ids"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("group"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names)
+class _Group:
+    """The documents of a group that wait to be packed."""
 
-    return run
+    def __init__(self, group: int | None, capacity: int, keep_ids: bool):
+        self.group, self.capacity, self.keep_ids = group, capacity, keep_ids
+        self.done = self.held = 0
+        self.docs: list[int | None] = []
+        self.ids: list[np.ndarray] = []
 
+    def add(self, doc: int | None, ids: np.ndarray) -> None:
+        self.docs.append(doc)
+        self.ids.append(ids)
+        self.held += len(ids)
 
-def _pack(capacity: int, keep_ids: bool):
-    def run(key, table):
+    def pack(self):
+        """A batch of pieces of all that waits; sequences count on from those packed before."""
         import pyarrow as pa
 
-        rows = sorted(zip(table["doc_id"].to_pylist(), table["tokens"].to_pylist(), table["ids"].to_pylist()), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
         out, kept = [], []
-        for q, pieces in enumerate(pack_lengths([r[1] for r in rows], capacity)):
+        packed = pack_lengths([len(x) for x in self.ids], self.capacity)
+        raw = [memoryview(x.astype("<u4", copy=False)).cast("B") for x in self.ids]
+        for q, pieces in enumerate(packed, self.done):
             offset = 0
             for i, start, n in pieces:
-                doc, total, ids = rows[i]
-                piece = ids[4 * start : 4 * (start + n)]
-                out.append((doc, start, n, zlib.crc32(piece), total, (key[0].as_py() << 32) | q, offset))
-                if keep_ids:
-                    kept.append(piece)
+                piece = raw[i][4 * start : 4 * (start + n)]
+                out.append((self.docs[i], start, n, zlib.crc32(piece), len(self.ids[i]), (self.group << 32) | q, offset))
+                if self.keep_ids:
+                    kept.append(bytes(piece))
                 offset += n
-        columns = {name: pa.array([r[k] for r in out], pa.int64()) for k, name in enumerate(x.split()[0] for x in PIECES.split(", "))}
-        return pa.table(columns | ({"ids": pa.array(kept, pa.binary())} if keep_ids else {}))
+        self.done += len(packed)
+        self.docs, self.ids, self.held = [], [], 0
+        names = [x.split()[0] for x in PIECES.split(", ")]
+        columns = [pa.array([r[k] for r in out], pa.int64()) for k in range(len(names))]
+        return pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * self.keep_ids, names + ["ids"] * self.keep_ids)
+
+
+def _pack(path: str, kind: str, capacity: int, group_tokens: int, keep_ids: bool):
+    def run(batches: Iterator) -> Iterator:
+        now = None
+        for batch in batches:
+            docs, groups = batch.column("doc_id").to_pylist(), batch.column("group").to_pylist()
+            for begin, end, ids, cuts in encode_slices(batch.column("text"), path, kind):
+                for k in range(begin, end):
+                    if now is None or groups[k] != now.group or now.held >= group_tokens:
+                        if now is not None and now.docs:
+                            yield now.pack()
+                        if now is None or groups[k] != now.group:
+                            now = _Group(groups[k], capacity, keep_ids)
+                    # a slice's ids would stay as long as a part of them is held
+                    now.add(docs[k], ids[cuts[k - begin] : cuts[k - begin + 1]].copy())
+        if now is not None and now.docs:
+            yield now.pack()
 
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, kind: str = "byte", group_docs: int = GROUP_DOCS, seed: int = SEED, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, kind: str = "byte", group_docs: int = GROUP_DOCS, group_tokens: int = GROUP_TOKENS, seed: int = SEED, keep_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with ``keep_ids`` also ids, little-endian unsigned 32-bit."""
     path = path or token_path("byte_bpe_50k.json")
     groups = max(1, -(-docs.count() // group_docs))
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(groups)).alias("group"))
-    tokens = dealt.mapInArrow(_tokenize(path, kind), "doc_id long, group long, tokens long, ids binary")
-    return tokens.groupBy("group").applyInArrow(_pack(capacity, keep_ids), PIECES + ", ids binary" * keep_ids)
+    order = F.xxhash64(F.lit(seed), "doc_id", "text")
+    dealt = docs.select("doc_id", "text", F.pmod(order, F.lit(groups)).alias("group"), order.alias("order"))
+    dealt = dealt.repartition("group").sortWithinPartitions("group", "order", "doc_id").drop("order")
+    return dealt.mapInArrow(_pack(path, kind, capacity, group_tokens, keep_ids), PIECES + ", ids binary" * keep_ids)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

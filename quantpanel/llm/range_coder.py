@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
-ORDER0_BITS, MIX_BITS, CONTEXT_BITS = 18, 6, 18
-LANE_IDS, MAX_LANES = 128, 8192
+ORDER0_BITS, MIX_BITS, CONTEXT_BITS = 20, 6, 18
+LANE_IDS, MAX_LANES = 256, 4096
 BLOCK_IDS = LANE_IDS * MAX_LANES
 U = np.uint64
 _M32, _T32, _SHIFT, _B0 = U(0xFFFFFFFF), U(1 << 32), U(ORDER0_BITS + MIX_BITS), U(ORDER0_BITS)
@@ -39,12 +39,12 @@ class _Model:
         f = 1 + self.counts * spare // seen
         f[int(np.argmax(self.counts))] += (1 << ORDER0_BITS) - int(f.sum())
         self.freq, self.cum = f.astype(U), (np.cumsum(f) - f).astype(U)
-        self.at = np.repeat(np.arange(self.vocab), f)
+        self.at = np.repeat(np.arange(self.vocab, dtype=np.int32), f)
         units, tries = (1 << MIX_BITS) - 2, self.seen.sum(axis=1)
         w2, w1 = (self.seen[:, 2] + self.seen[:, 3]) * units // tries, self.seen[:, 1] * units // tries
         w0 = (1 << MIX_BITS) - w1 - w2
         self.w0, self.w1, self.w2 = w0.astype(U), w1.astype(U) << _B0, w2.astype(U) << _B0
-        self.inverse = -(-(1 << 40) // w0).astype(U)  # x * inverse >> 40 is x // w0 for x < 2**24, w0 <= 64
+        self.inverse = -(-(1 << 40) // w0).astype(U)  # x * inverse >> 40 is x // w0 for x < w0 * 2**20, w0 <= 64
 
     def predict(self, p1: np.ndarray, p2: np.ndarray) -> None:
         self.p1 = p1

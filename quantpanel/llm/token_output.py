@@ -40,7 +40,7 @@ class TokenFile:
 
     def __init__(self, stream, vocab: int):
         self.stream, self.vocab = stream, vocab
-        self.waiting: list[bytes] = []
+        self.waiting: list[np.ndarray] = []
         self.held = self.at = self.blocks = 0
         self.docs: list[int] = []
         self.sizes: list[int] = []
@@ -50,23 +50,24 @@ class TokenFile:
         self.stream.write(raw)
         self.at += len(raw)
 
-    def add(self, doc_id: int, ids: bytes) -> None:
-        self.docs.append(doc_id)
-        self.sizes.append(len(ids) // 4)
+    def add(self, docs: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Documents in order, their ids one after another."""
+        self.docs.extend(docs)
+        self.sizes.extend(sizes.tolist())
         self.waiting.append(ids)
-        self.held += len(ids) // 4
+        self.held += len(ids)
         if self.held >= BLOCK_IDS:
             self._flush(BLOCK_IDS)
 
     def _flush(self, least: int) -> None:
-        ids = np.frombuffer(b"".join(self.waiting), "<u4")
+        ids = np.concatenate(self.waiting or [np.zeros(0)]).astype("<u4")
         while len(ids) >= least and len(ids):
             block, ids = ids[:BLOCK_IDS], ids[BLOCK_IDS:]
             words = encode_block(block, self.vocab).tobytes()
             self._put(BLOCK.pack(len(block), len(words) // 4, zlib.crc32(block.tobytes()), zlib.crc32(words)))
             self._put(words)
             self.blocks += 1
-        self.waiting, self.held = [ids.tobytes()], len(ids)
+        self.waiting, self.held = [ids.copy()], len(ids)
 
     def close(self) -> None:
         self._flush(1)
@@ -83,14 +84,11 @@ def _writer(folder: str, path: str, kind: str, vocab: int):
         files, root = _file_system(folder)
         name, out, first = f"part-{uuid.uuid4().hex}.tok", None, None
         for batch in batches:
-            ids_of, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            k = 0
-            for some in encode_slices(texts, path, kind):
-                for ids in some:
-                    if out is None:
-                        out, first = TokenFile(files.open_output_stream(f"{root}/{name}"), vocab), ids_of[k]
-                    out.add(ids_of[k], ids)
-                    k += 1
+            docs = batch.column("doc_id").to_pylist()
+            for begin, end, ids, cuts in encode_slices(batch.column("text"), path, kind):
+                if out is None:
+                    out, first = TokenFile(files.open_output_stream(f"{root}/{name}"), vocab), docs[begin]
+                out.add(docs[begin:end], np.diff(cuts), ids)
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "first_doc": pa.array([first], pa.int64()), "docs": pa.array([len(out.docs)], pa.int64()), "tokens": pa.array([sum(out.sizes)], pa.int64())})
