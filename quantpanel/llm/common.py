@@ -12,11 +12,21 @@ from pyspark.sql import functions as F
 _own_dirs: dict[str, str] = {}
 
 
+DOCS_PER_BUCKET = 8192
+
+
+def bucket_count(spark: SparkSession, n_docs: int) -> int:
+    """A bucket for every ``DOCS_PER_BUCKET`` documents; small tables use the cores there are."""
+    return max(1, -(-n_docs // DOCS_PER_BUCKET), min(spark.sparkContext.defaultParallelism, -(-n_docs // 256)))
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, local mode)."""
+    """The shared folder named in ``spark.checkpoint.dir``; a temporary one where that is unset, in local mode alone (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-")

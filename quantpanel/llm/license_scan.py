@@ -1,15 +1,19 @@
 """License scan: an exact set-similarity join of text blocks with license templates. DataFrame functions only.
 
-A block is a line; a template is a set of words. A block meets a template if it holds at least ``threshold`` of
-its words. The template words are ordered by document frequency over the whole corpus, rarest first. With n words and o = ceil(threshold * n)
+A block is a window of ``2 * STRIDE`` words of a text's whole word sequence, line feeds or not; windows begin every ``STRIDE`` words, and no template
+is longer than that, so every notice lies whole in one. A template is a set of words. A block meets a template if it holds at least
+``threshold`` of its words. The template words are ordered by document frequency over the whole corpus, rarest first. With n words and o = ceil(threshold * n)
 needed, a meeting block holds one of the first n - o + 1 (prefix filter), at least o distinct words (length filter), and
-enough words after its first match in both orders (positional filter). Only blocks that pass are compared in full.
+enough words after its first match in both orders (positional filter). Only blocks that pass are compared in full. Every template
+that a block meets counts, but for those whose matched words are all, and not all, matched by another one in that block or one beside it:
+notices that differ in a version or a clause do not name each other.
 The template table is a fixed parameter, so broadcasting it is bounded.
 
 Beside the templates, ``PHRASES`` are found wherever their words stand consecutively, with their places.
 
-Defined cases: null text is empty (no words, no labels, score 0); repeated rows are scanned each for itself; labels are
-distinct, sorted and comma-joined, the empty string if none; an empty table gives an empty result; extra columns are ignored.
+Defined cases: null text is empty (no words, no labels, score 0); repeated rows and rows without a doc_id are scanned each for itself;
+very long texts are cut into windows in whole; labels are distinct, sorted and comma-joined, the empty string if none; an empty table
+gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,10 +22,12 @@ import math
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 THRESHOLD = 0.8
+STRIDE = 16
 # Phrases and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 # License notices in common use and their labels.
@@ -60,9 +66,16 @@ def token_order(docs: DataFrame, templates=TEMPLATES) -> list[str]:
     return sorted(vocab, key=lambda w: (counts.get(w, 0), w))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Equal rows have equal keys, and equal results."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+
+
 def similar_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, block (line number), label, overlap, containment of every block and template it meets."""
+    """key, block (window number), template, label, matched (its words there), containment of every block and template it meets."""
     spark = docs.sparkSession
+    if any(len(text.split()) > STRIDE for text, _ in templates):
+        raise ValueError(f"a template has more than {STRIDE} words")
     order = token_order(docs, templates)
     rows, prefixes = [], set()
     for k, (text, label) in enumerate(templates):
@@ -72,38 +85,41 @@ def similar_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
             rows.append((t, k, label, i, need, tokens))
             prefixes.add(t)
     index = F.broadcast(spark.createDataFrame(rows, "token string, template int, label string, i int, need int, tokens array<string>"))
-    first = _any_word(sorted(prefixes))
-    blocks = docs.where(F.col("text").rlike(first)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("block", "line")).where(F.col("line").rlike(first))
-    blocks = blocks.select("doc_id", "block", F.array_distinct(words_of(F.col("line"))).alias("words"))
-    ordered = F.array_intersect(F.array(*map(F.lit, order)), "words")
-    blocks = blocks.select("doc_id", "block", F.size("words").alias("n_words"), ordered.alias("known"))
+    sought = F.array(*map(F.lit, sorted(prefixes)))
+    blocks = docs.where(F.col("text").rlike(_any_word(sorted(prefixes)))).select("key", words_of(F.col("text")).alias("words"))
+    window = lambda k: F.struct(k.alias("block"), F.slice("words", k * STRIDE + 1, 2 * STRIDE).alias("words"))
+    windows = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / STRIDE).cast("int")), window)
+    blocks = blocks.where("size(words) > 0").dropDuplicates(["key"]).select("key", F.explode(F.filter(windows, lambda w: F.arrays_overlap(w["words"], sought))).alias("w"))
+    ordered = F.array_intersect(F.array(*map(F.lit, order)), "w.words")
+    blocks = blocks.select("key", "w.block", F.size(F.array_distinct("w.words")).alias("n_words"), ordered.alias("known"))
     hits = blocks.select("*", F.posexplode("known").alias("j", "token")).join(index, "token")
     hits = hits.where("n_words >= need AND 1 + least(size(tokens) - i - 1, size(known) - j - 1) >= need")
-    overlap = F.size(F.array_intersect("known", "tokens"))
-    hits = hits.withColumn("overlap", overlap).where("overlap >= need")
-    return hits.groupBy("doc_id", "block", "label").agg(F.max("overlap").alias("overlap"), F.max(F.col("overlap") / F.size("tokens")).alias("containment"))
+    hits = hits.withColumn("matched", F.array_intersect("known", "tokens")).where("size(matched) >= need")
+    return hits.groupBy("key", "block", "template", "label", "matched").agg((F.size("matched") / F.max(F.size("tokens"))).alias("containment"))
 
 
-def best_templates(blocks: DataFrame) -> DataFrame:
-    """Of the templates that a block meets, those that share most words with it: notices that differ in a version or a clause meet each other."""
-    most = F.max("overlap").over(W.partitionBy("doc_id", "block"))
-    return blocks.withColumn("most", most).where("overlap = most").drop("most")
+def own_templates(blocks: DataFrame) -> DataFrame:
+    """The met templates but those whose matched words are part of another's, in the same block or one beside it."""
+    other = blocks.select("key", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)).alias("block"), F.col("matched").alias("more"))
+    covered = (F.size("more") > F.size("matched")) & (F.size(F.array_except("matched", "more")) == 0)
+    return blocks.join(other, ["key", "block"]).groupBy("key", "block", "template", "label", "containment").agg(F.max(covered).alias("covered")).where("NOT covered")
 
 
 def phrase_places(docs: DataFrame, phrases=PHRASES) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base (array of labels) for every row."""
+    """key, doc_id, n_words, n_base, first_word, last_word, base (array of labels) for every row."""
     sought = F.col("text").rlike(_any_word([p for p, _ in phrases]))
     rows = docs.select(
+        "key",
         "doc_id",
         F.coalesce(F.regexp_count("text", F.lit(_WORD + "+")), F.lit(0)).cast("long").alias("n_words"),
         F.when(F.coalesce(sought, F.lit(False)), words_of(F.col("text"))).alias("words"),
     )
     found = [F.transform("words", _start_of(p.split())) for p, _ in phrases]
-    rows = rows.select("doc_id", "n_words", *(F.filter(f, lambda x: x.isNotNull()).alias(f"p{k}") for k, f in enumerate(found)))
+    rows = rows.select("key", "doc_id", "n_words", *(F.filter(f, lambda x: x.isNotNull()).alias(f"p{k}") for k, f in enumerate(found)))
     every = F.concat(*(F.coalesce(f"p{k}", F.array().cast("array<int>")) for k in range(len(phrases))))
     base = F.array_compact(F.array(*(F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(phrases))))
-    rows = rows.select("doc_id", "n_words", every.alias("places"), base.alias("base"))
-    return rows.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"), "base")
+    rows = rows.select("key", "doc_id", "n_words", every.alias("places"), base.alias("base"))
+    return rows.select("key", "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"), "base")
 
 
 def _start_of(phrase: list[str]):
@@ -119,9 +135,10 @@ def _follows(i: Column, rest: list[str]) -> Column:
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A row per document: its words, phrase places, labels and score (the largest containment; a phrase counts 1)."""
-    blocks = best_templates(similar_blocks(docs, threshold=threshold))
-    per_doc = blocks.groupBy("doc_id").agg(F.collect_set("label").alias("own"), F.max("containment").alias("containment"))
-    joined = phrase_places(docs).join(per_doc, "doc_id", "left")
+    docs = keyed(docs)
+    blocks = own_templates(materialize(similar_blocks(docs, threshold=threshold), "license-blocks"))
+    per_doc = blocks.groupBy("key").agg(F.collect_set("label").alias("own"), F.max("containment").alias("containment"))
+    joined = phrase_places(docs).join(per_doc, "key", "left")
     text = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     score = F.greatest(F.when(F.col("n_base") > 0, 1.0).otherwise(0.0), F.coalesce("containment", F.lit(0.0)))
     return joined.select("doc_id", "n_words", "n_base", "first_word", "last_word", text(F.col("base")).alias("base_labels"), text(F.concat("base", F.coalesce("own", F.array().cast("array<string>")))).alias("labels"), score.alias("score"))
@@ -145,13 +162,13 @@ WITH d AS (SELECT doc_id, {words('text')} AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
 f AS ({' UNION ALL '.join(places)}),
 b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS base FROM f GROUP BY doc_id),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS block FROM documents),
-k AS (SELECT doc_id, block, {words('line')} AS w FROM l),
+k AS (SELECT doc_id, s // {STRIDE} AS block, list_slice(w, s + 1, s + {2 * STRIDE}) AS v FROM (SELECT doc_id, w, unnest(range(0, len(w), {STRIDE})) AS s FROM d)),
 t AS (SELECT s.tokens, s.label FROM (SELECT unnest([{', '.join(f"{{'tokens': [{', '.join(map(quoted, sorted(set(t.split()))))}], 'label': {quoted(label)}}}" for t, label in TEMPLATES)}]) AS s)),
-m AS (SELECT doc_id, block, label, len(list_intersect(w, tokens)) AS overlap, len(tokens) AS n FROM k, t
-      WHERE list_has_any(w, tokens) AND len(list_intersect(w, tokens)) >= ceil({THRESHOLD} * len(tokens) - 1e-9)
-      QUALIFY overlap = max(overlap) OVER (PARTITION BY doc_id, block)),
-o AS (SELECT doc_id, list(DISTINCT label) AS own, max(overlap / n) AS containment FROM m GROUP BY doc_id)
+n AS (SELECT doc_id, block, label, list_intersect(v, tokens) AS matched, len(tokens) AS n FROM k, t
+      WHERE list_has_any(v, tokens) AND len(list_intersect(v, tokens)) >= ceil({THRESHOLD} * len(tokens) - 1e-9)),
+m AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM n AS x WHERE x.doc_id = n.doc_id AND abs(x.block - n.block) <= 1
+      AND len(x.matched) > len(n.matched) AND list_has_all(x.matched, n.matched))),
+o AS (SELECT doc_id, list(DISTINCT label) AS own, max(len(matched) / n) AS containment FROM m GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(own, [])))), ','), '') AS labels,

@@ -15,8 +15,9 @@
 A pair is lost only if its sketches overlap less than 5.8 standard deviations below the mean (odds about 3e-9), and a
 set only if 64-bit shingle hashes collide. Both bounds are independent of the corpus.
 
-Defined cases: null text and text without words have empty sets and link with nothing; fewer than five words are one shingle; repeated
-doc_ids are one document (the longest set stands for it); an empty table gives an empty result; extra columns are ignored.
+Defined cases: null text and text without words have empty sets and link with nothing; fewer than five words are one shingle; rows that
+share a doc_id are one document, for which the longest text stands (of equally long ones the largest); rows without a doc_id have no
+component; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +28,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, write_buckets
+from .common import bucket_count, materialize, write_buckets
 
 SHINGLE, SKETCH = 5, 64
 SIM = 75  # percent
 HUB_ROUNDS = 3
 LONG_LIST = 16
-DOCS_PER_BUCKET = 8192
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -214,10 +214,32 @@ def _split_lists(postings: DataFrame, labels: DataFrame) -> DataFrame:
     return own.join(split, "v")
 
 
+def one_per_id(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of every doc_id: that of the longest text, then the largest text, then the largest other columns. Rows without a doc_id stay.
+
+    A table without repeated doc_ids is returned as it is.
+    """
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    again = materialize(again, "near-repeated")
+    if again.isEmpty():
+        return docs
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    fields = [F.length("text").alias("f"), F.col("text").alias("f_text"), *(F.col(c).alias(f"f{k}") for k, c in enumerate(rest))]
+    best = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct(*fields)).alias("best"))
+    best = best.select("doc_id", F.col("best.f_text").alias("text"), *(F.col(f"best.f{k}").alias(c) for k, c in enumerate(rest))).select(*docs.columns)
+    return materialize(docs.join(again, "doc_id", "left_anti").select(*docs.columns).union(best), "near-documents")
+
+
 def near_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` with a doc_id; rows without one have no component and are not listed."""
-    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    buckets = max(1, -(-docs.count() // DOCS_PER_BUCKET))
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` with a doc_id."""
+    named = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    single = one_per_id(named)
+    found = _components_of_single(single)
+    return found if single is named else named.select("doc_id").join(found, "doc_id")
+
+
+def _components_of_single(docs: DataFrame) -> DataFrame:
+    buckets = bucket_count(docs.sparkSession, docs.count())
     sets = materialize(docs.mapInArrow(_sketches, "doc_id long, n long, sig binary, sketch array<long>"), "sketches")
     classes = materialize(sets.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep")), "near-classes")
     reps = sets.where("n > 0").join(classes.select(F.col("rep").alias("doc_id"), "sig", "n"), ["doc_id", "sig", "n"]).dropDuplicates(["doc_id"])
@@ -254,17 +276,14 @@ def near_components(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component.
+    """``docs`` with one document of each component, one row each.
 
-    Rows that share doc_id and text are one document and leave one row; rows that share a kept doc_id only stay. A row without
-    a doc_id belongs to no component and stays as it is.
+    Rows that share a doc_id are one document (see ``one_per_id``). A row without a doc_id belongs to no component and stays as it is.
     """
-    kept = near_components(docs).where("kept").select("doc_id").distinct()
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    named = named.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest")) if rest else named.distinct()
-    named = named.select(*(F.col("rest")[c].alias(c) if c in rest else F.col(c) for c in docs.columns))
-    return named.union(docs.where("doc_id IS NULL"))
+    single = one_per_id(docs)
+    named = single.where("doc_id IS NOT NULL")
+    kept = _components_of_single(named.select("doc_id", "text")).where("kept").select("doc_id")
+    return named.join(kept, "doc_id", "left_semi").select(*docs.columns).union(single.where("doc_id IS NULL"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,8 @@ def test_exact_dedup(spark):
     assert {(r.doc_id, r.keep_id, r.kept) for r in again} == {(20, 4, False), (21, 21, True)}
     assert exact_dedup.DigestIndex(spark, index.path, 4).rows().count() == index.rows().count() == 6
     assert index.dedup(docs(spark, [])).count() == 0
+    apart = exact_dedup.DigestIndex(spark, fresh_path(spark, "other") + "/" + index.path.rsplit("/", 1)[-1], 4)
+    assert [(r.keep_id, r.kept) for r in apart.dedup(docs(spark, [(9, "onetwo")])).collect()] == [(9, True)]
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -176,10 +178,16 @@ def test_near_dedup_against_brute_force(spark):
     assert {r.doc_id: r.component_id for r in got} == want
     assert all(r.n_shingles == sizes[r.doc_id] and r.kept == (r.doc_id == want[r.doc_id]) for r in got)
     assert near_dedup.near_components(docs(spark, [])).count() == 0
+    edit = lambda t, k: " ".join(x if j != k else "edited" for j, x in enumerate(t.split()))
+    longer = base[1] + " " + " ".join(f"more{k}" for k in range(4))
+    rows = [(5, base[0]), (5, longer), (6, edit(base[0], 60)), (7, edit(longer, 60)), (None, base[0])]
+    assert {(r.doc_id, r.component_id) for r in near_dedup.near_components(docs(spark, rows)).collect()} == {(5, 5), (6, 6), (7, 5)}
+    kept = near_dedup.near_dedup(docs(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("5", longer), ("6", rows[2][1]), ("None", base[0])])
 
 
 _LINE = r"(?<=\n)|(?<=[.!?] )"
-_CUT = _LINE + r"|(?<=[adgiloruADGILORU0369,;:)\x80-\U0010ffff] )|(?<=[぀-鿿])"
+_CUT = r"[぀-鿿] ?|[adgiloruADGILORU0369,;:).!?\x80-\U0010ffff] |\n"
 
 
 def _split(pattern, text):
@@ -188,11 +196,12 @@ def _split(pattern, text):
 
 def _chunks(text):
     """Lists of units: cut behind every local minimum of a rolling hash over two units."""
-    units = _split(_CUT, text)
+    ends = [m.end() for m in re.finditer(_CUT, text)]
+    units = [u for u in (text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])) if u]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     h = [xxhash.xxh64_intdigest(u.encode(), 42) for u in units]
-    r = [signed(x ^ (((h[i - 1] << 1) | (h[i - 1] >> 63)) & (2**64 - 1) if i else 0)) for i, x in enumerate(h)]
-    ends = [i for i in range(1, len(r) - 1) if r[i] < r[i - 1] and r[i] < r[i + 1]] + ([len(r) - 1] if r else [])
+    r = [signed(x ^ ((h[i - 1] << 1) & (2**64 - 1) if i else 0)) for i, x in enumerate(h)]
+    ends = [i for i in range(2, len(r) - 1) if r[i] < r[i - 1] and r[i] < r[i + 1]] + ([len(r) - 1] if r else [])
     begins = [0, *(e + 1 for e in ends)]
     return [units[b : e + 1] for b, e in zip(begins, ends)]
 
@@ -251,7 +260,7 @@ def test_line_dedup_against_brute_force(spark):
     passage = "".join(line() for _ in range(14))
     rows = [(i, "".join(line() for _ in range(3)) + (passage if i % 2 else "") + "".join(line() for _ in range(3))) for i in range(12)]
     rows += [(50, None), (51, ""), (52, "one line"), (53, "one line"), (54, passage), (54, passage), (55, "common.\n" + line() + line()), (56, "common.\n" + line())]
-    rows += [(60 + i, " ".join(f"w{x}" for x in rng.integers(0, 60, 400))) for i in range(8)] + [(70, "word " * 5000), (71, "日本語の文章です。" * 9), (72, passage[:300] + passage[200:500])]
+    rows += [(60 + i, " ".join(f"w{x}" for x in rng.integers(0, 60, 400))) for i in range(8)] + [(70, "word " * 5000), (71, "日本語の文章です。" * 9), (72, passage[:300] + passage[200:500]), (73, "a \x01b or c \x01 d. " * 3 + passage)]
     frame = docs(spark, rows)
     want = _dedup_lines(rows)
     got = line_dedup.dedup_lines(frame)
@@ -267,6 +276,9 @@ def test_line_dedup_of_a_real_table(spark):
     assert {r.doc_id: r.text for r in queries.queries()["op5_line_dedup"](spark, SF).collect()} == want
 
 
+TEMPLATE_ENDS = "this work is licensed under the gnu general public license version 2"
+
+
 def test_license_scan(spark):
     rows = ODD + [(20, "Released under the MIT License."), (21, "gnu GENERAL-public license gnu general public license"), (22, "cc\nby"), (23, "licensed under CC BY-NC 4.0"), (24, "succ by"), (25, "All rights reserved.")]
     got = {r.doc_id: r for r in license_scan.scan(docs(spark, rows)).collect()}
@@ -276,6 +288,11 @@ def test_license_scan(spark):
     assert got[23].labels == "cc-by,cc-by-nc-4.0" and got[25].labels == "reserved" and got[25].n_base == 0
     assert got[1].n_words == 0 and got[1].first_word is None and got[1].score == 0.0
     assert license_scan.scan(docs(spark, [])).count() == 0
+    apart = "redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+    filler = " ".join(f"w{k}" for k in range(2000))
+    rows = [(1, f"Licensed under the Apache License, Version 2.0. {apart} ok"), (2, apart), (3, f"released {filler} under {filler} the mit {filler} license"), (4, "licensed under the apache license version 2.0. All rights reserved."), (None, "this work is licensed under the gnu general public license version 3"), (None, "all rights reserved"), (5, filler + " " + TEMPLATE_ENDS + " " + filler)]
+    got = sorted((str(r.doc_id), r.labels) for r in license_scan.scan(docs(spark, rows)).collect())
+    assert got == [("1", "apache,apache-2.0,bsd"), ("2", "bsd"), ("3", ""), ("4", "apache,apache-2.0,reserved"), ("5", "gpl,gpl-2"), ("None", "gpl,gpl-3"), ("None", "reserved")]
 
 
 def test_mixing(spark):
