@@ -1,6 +1,11 @@
 """The corpus pipeline: language ID, line dedup, near dedup, mixing, packing, each stage written and read again.
 
 Every stage works on all that its predecessor kept; all but the last return the columns of ``documents``.
+
+Defined cases: null texts and texts without a letter have no language and go in the first stage (if no row names a language, nothing
+can be learned and every text with a letter stays); texts of any length are read whole; rows that share a doc_id are one document after
+near dedup, for which the longest text stands; rows without a doc_id pass near dedup, are drawn first in mixing and packed as
+such; ties and repeated rows are settled alike in every run; an empty table gives empty stages; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -16,6 +21,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language (no letters) and those that no language claims with half the probability."""
+    if docs.where("lang IS NOT NULL").isEmpty():  # nothing to learn from
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     found = language_id.identify(docs)
     return found.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= language_id.MIN_SCORE)).select(*COLUMNS)
 
