@@ -1,17 +1,22 @@
 """WARC archives as a Spark data source, written with revisit records for repeated payloads.
 
-Every record is a gzip member of its own whose extra field ``sl`` holds the member's compressed and plain lengths.
-The reader plans one partition per archive file, parses the header lines of a record first, tests the
+Every record written is a gzip member of its own whose extra field ``sl`` holds the member's compressed and plain lengths; ``_manifest``
+lists the committed files with places where they can be split.
+The reader plans one partition per split, parses the header lines of a record first, tests the
 pushed-down predicates on them, and inflates a payload only if the record passes and the payload is asked for;
-otherwise it seeks to the next member.
+otherwise it seeks to the next member. Archives of other origin (``.warc.gz`` without skip lengths, plain ``.warc``, folders without a
+manifest) are read from begin to end, one partition a file, passing over unwanted blocks without keeping them.
 
-Defined cases: null html is an empty payload; a null url leaves out the target header; control characters in headers
-are percent-encoded; payloads below ``min_bytes`` are always written in full; equal payloads with equal ids repeat as
-responses of their own; an empty table gives an empty result; extra columns are ignored.
+Defined cases: null html is an empty payload; a null url leaves out the target header; a null page_id is written as ``urn:x-page:null`` and read as null;
+control characters in headers are percent-encoded; payloads below ``min_bytes`` are always written in full; equal payloads with equal ids
+repeat as responses of their own; writing into a folder again adds to it; a truncated or foreign file raises an error; header names are read in any
+case and folded lines are joined; payloads may be of any length, one at a time in memory; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import gzip
+import io
 import json
 import re
 import struct
@@ -27,6 +32,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from .common import fresh_path
 
 MIN_BYTES = 1000
+SPLIT_BYTES = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
 SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 PLAIN = ("record_id", "record_type", "target_uri", "payload_digest", "refers_to")
@@ -66,42 +72,109 @@ def record(record_id: str, record_type: str, uri: str | None, digest: str, paylo
     return member(("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + http, body[len(http) :] + b"\r\n\r\n")
 
 
-def parse_head(raw: bytes) -> dict:
-    """Header lines of the record and of the HTTP response in it."""
-    warc, _, rest = raw.partition(b"\r\n\r\n")
-    http = rest.partition(b"\r\n\r\n")[0]
-    fields = dict(line.split(": ", 1) for line in warc.decode().split("\r\n")[1:])
-    length = re.search(rb"(?i)\r\nContent-Length: (\d+)", b"\r\n" + http)
+def _fields(lines: list[bytes]) -> dict[str, str]:
+    """Header fields by lower-case name; a line that begins with white space goes on with the one before."""
+    out: dict[str, str] = {}
+    name = None
+    for line in lines:
+        text = line.decode("utf-8", "replace").rstrip("\r\n")
+        if text[:1] in (" ", "\t") and name:
+            out[name] += " " + text.strip()
+        elif ":" in text:
+            name, value = text.split(":", 1)
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
+def _head(fields: dict[str, str]) -> dict:
+    bare = lambda v: None if v is None else v[1:-1] if v[:1] == "<" and v[-1:] == ">" else v
     return {
-        "record_id": fields["WARC-Record-ID"][1:-1], "record_type": fields["WARC-Type"], "target_uri": fields.get("WARC-Target-URI"),
-        "payload_digest": fields.get("WARC-Payload-Digest", "").removeprefix("sha1:"), "payload_bytes": int(length[1]) if length else 0,
-        "refers_to": fields["WARC-Refers-To"][1:-1] if "WARC-Refers-To" in fields else None,
+        "record_id": bare(fields.get("warc-record-id")), "record_type": fields.get("warc-type"), "target_uri": bare(fields.get("warc-target-uri")),
+        "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:"), "refers_to": bare(fields.get("warc-refers-to")),
     }
 
 
-def scan(stream, wanted, need_payload: bool) -> Iterator[dict]:
-    """Records of an open, seekable archive that pass ``wanted(head)``."""
-    at, end = 0, stream.size()
+def _length(http: bytes) -> int:
+    found = re.search(rb"(?i)(?:^|\n)content-length:[ \t]*(\d+)", http)
+    return int(found[1]) if found else 0
+
+
+def _is_http(fields: dict[str, str]) -> bool:
+    return fields.get("content-type", "").lower().startswith("application/http")
+
+
+def records(plain, wanted, need_payload: bool) -> Iterator[dict]:
+    """Records of a plain stream of any origin, one after another; a block that is not wanted is passed over."""
+    while line := plain.readline():
+        if not line.strip():
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError("not a WARC record")
+        lines = []
+        while (line := plain.readline()).strip():
+            lines.append(line)
+        fields = _fields(lines)
+        left = int(fields["content-length"])
+        head, http = _head(fields), b""
+        if _is_http(fields):
+            while left and (line := plain.readline(left)):
+                http += line
+                left -= len(line)
+                if not line.strip():
+                    break
+        head["payload_bytes"] = _length(http) if head["record_type"] == "revisit" else left
+        keep = wanted(head)
+        block = io.BytesIO()
+        while left:
+            some = plain.read(min(left, 1 << 20))
+            if not some:
+                raise ValueError("truncated archive")
+            left -= len(some)
+            if keep and need_payload:
+                block.write(some)
+        if keep:
+            if need_payload:
+                head["payload"] = None if head["record_type"] == "revisit" else block.getvalue()
+            yield head
+
+
+def scan(stream, wanted, need_payload: bool, begin: int = 0, end: int | None = None) -> Iterator[dict]:
+    """Records of an open, seekable archive that pass ``wanted(head)``; begin and end are places of members with skip lengths."""
+    at, size_all = begin, stream.size()
+    end = size_all if end is None else end
     while at < end:
         stream.seek(at)
         raw = stream.read(4096)
-        extra = struct.unpack("<H", raw[10:12])[0]
-        size = struct.unpack("<HII", raw[14:24])[1] if raw[12:14] == b"sl" else None
-        if raw[:2] != b"\x1f\x8b" or size is None:
-            raise ValueError("not a gzip member with skip lengths")
+        skips = raw[:2] == b"\x1f\x8b" and len(raw) >= 24 and raw[3] & 4 and raw[12:14] == b"sl"
+        if not skips:
+            stream.seek(at)
+            plain = io.BufferedReader(stream) if raw[:2] != b"\x1f\x8b" else gzip.GzipFile(fileobj=stream)
+            try:
+                yield from records(plain, wanted, need_payload)
+            except EOFError as e:
+                raise ValueError("truncated archive") from e
+            return
+        extra, size = struct.unpack("<H", raw[10:12])[0], struct.unpack("<HII", raw[14:24])[1]
+        if at + size > size_all:
+            raise ValueError("truncated archive")
         unpacker = zlib.decompressobj(-15)
         got = unpacker.decompress(raw[12 + extra : size - 8])
         while got.count(b"\r\n\r\n") < 2 and len(raw) < size:
             more = stream.read(4096)
+            if not more:
+                raise ValueError("truncated archive")
             raw += more
             got += unpacker.decompress(more)
-        head = parse_head(got)
+        lines, _, rest = got.partition(b"\r\n\r\n")
+        http = rest.partition(b"\r\n\r\n")[0]
+        head = _head(_fields(lines.split(b"\r\n")[1:])) | {"payload_bytes": _length(http)}
         if wanted(head):
             if need_payload:
                 stream.seek(at)
                 whole = zlib.decompress(stream.read(size), 31)
-                begin = whole.index(b"\r\n\r\n", whole.index(b"\r\n\r\n") + 4) + 4
-                head["payload"] = whole[begin:-4] if head["record_type"] == "response" else None
+                first = whole.index(b"\r\n\r\n", whole.index(b"\r\n\r\n") + 4) + 4
+                head["payload"] = whole[first:-4] if head["record_type"] == "response" else None
             yield head
         at += size
 
@@ -109,35 +182,51 @@ def scan(stream, wanted, need_payload: bool) -> Iterator[dict]:
 @dataclass
 class _Written(WriterCommitMessage):
     file: str | None
+    splits: list[int]
 
 
 class _Part(InputPartition):
-    def __init__(self, file: str):
-        self.file = file
+    def __init__(self, file: str, begin: int = 0, end: int | None = None):
+        self.file, self.begin, self.end = file, begin, end
+
+
+def _listed(files, root: str) -> list[dict] | None:
+    """The manifest's entries; None if the folder has none."""
+    from pyarrow import fs
+
+    if files.get_file_info(f"{root}/_manifest").type == fs.FileType.NotFound:
+        return None
+    with files.open_input_stream(f"{root}/_manifest") as f:
+        return json.loads(f.read())
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, overwrite: bool):
+        self.folder, self.overwrite = folder, overwrite
         files, root = _file_system(folder)
         files.create_dir(root)
 
     def write(self, iterator):
         files, root = _file_system(self.folder)
-        name, out = f"part-{uuid.uuid4().hex}.warc.gz", None
+        name, out, at, splits = f"part-{uuid.uuid4().hex}.warc.gz", None, 0, [0]
         for batch in iterator:
             for row in batch.to_pylist():
                 if out is None:
                     out = files.open_output_stream(f"{root}/{name}", compression=None)
-                out.write(record(row["record_id"], row["record_type"], row["target_uri"], row["payload_digest"], row["payload_bytes"], row["refers_to"], row["payload"] or b""))
+                if at - splits[-1] >= SPLIT_BYTES:
+                    splits.append(at)
+                raw = record(row["record_id"], row["record_type"], row["target_uri"], row["payload_digest"], row["payload_bytes"], row["refers_to"], row["payload"] or b"")
+                out.write(raw)
+                at += len(raw)
         if out is not None:
             out.close()
-        return _Written(name if out is not None else None)
+        return _Written(name if out is not None else None, splits)
 
     def commit(self, messages):
         files, root = _file_system(self.folder)
+        before = [] if self.overwrite else _listed(files, root) or []
         with files.open_output_stream(f"{root}/_manifest") as out:
-            out.write(json.dumps([m.file for m in messages if m and m.file]).encode())
+            out.write(json.dumps(before + [{"file": m.file, "splits": m.splits} for m in messages if m and m.file]).encode())
 
     def abort(self, messages):
         files, root = _file_system(self.folder)
@@ -165,16 +254,21 @@ class _Reader(DataSourceReader):
         return True
 
     def partitions(self):
+        from pyarrow import fs
+
         files, root = _file_system(self.folder)
-        with files.open_input_stream(f"{root}/_manifest") as f:
-            return [_Part(x) for x in json.loads(f.read())] or [_Part("")]
+        listed = _listed(files, root)
+        if listed is None:
+            found = files.get_file_info(fs.FileSelector(root))
+            return [_Part(x.base_name) for x in found if x.base_name.endswith((".warc", ".warc.gz"))] or [_Part("")]
+        return [_Part(x["file"], b, e) for x in listed for b, e in zip(x["splits"], [*x["splits"][1:], None])] or [_Part("")]
 
     def read(self, partition):
         if not partition.file:
             return
         files, root = _file_system(self.folder)
         with files.open_input_file(f"{root}/{partition.file}") as f:
-            for r in scan(f, self.wanted, self.payload):
+            for r in scan(f, self.wanted, self.payload, partition.begin, partition.end):
                 yield (r["record_id"], r["record_type"], r["target_uri"], r["payload_digest"], r["payload_bytes"], r["refers_to"], r.get("payload"))
 
 
@@ -192,7 +286,7 @@ class WarcSource(DataSource):
         return _Reader(self.options["path"], self.options.get("payload", "true").lower() == "true")
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], overwrite)
 
 
 def write_warc(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> None:
@@ -202,7 +296,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> Non
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
     first = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = (F.col("payload_bytes") >= min_bytes) & (F.col("first") != F.col("page_id"))
-    name = lambda c: F.concat(F.lit("urn:x-page:"), c.cast("string"))
+    name = lambda c: F.concat(F.lit("urn:x-page:"), F.coalesce(c.cast("string"), F.lit("null")))
     rows = rows.join(first, "payload_digest", "left").select(
         name(F.col("page_id")).alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), "target_uri", "payload_digest", "payload_bytes",
         F.when(again, name(F.col("first"))).alias("refers_to"), F.when(again, F.lit(None)).otherwise(F.col("payload")).alias("payload"),
@@ -220,7 +314,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "warc")
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     back = read_warc(spark, folder)
-    page = lambda c: F.substring(c, 12, 99).cast("long")
+    page = lambda c: F.substring(c, 12, 99).try_cast("long")
     return back.select(
         page(F.col("record_id")).alias("page_id"), F.coalesce(F.octet_length("payload").cast("long"), "payload_bytes").alias("payload_bytes"),
         F.coalesce(F.sha1("payload"), "payload_digest").alias("payload_digest"), "record_type", page(F.col("refers_to")).alias("refers_to"),

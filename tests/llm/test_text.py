@@ -1,3 +1,4 @@
+import gzip
 import re
 import zlib
 from collections import Counter
@@ -342,6 +343,38 @@ def test_warc(spark):
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def test_warc_appends_and_null_ids(spark, tmp_path):
+    folder, schema = f"file://{tmp_path}/w", "page_id long, url string, html string"
+    warc.write_warc(spark.createDataFrame([(1, "u", "a"), (None, "u", "b" * 5000)], schema), folder)
+    warc.write_warc(spark.createDataFrame([(2, "u", "c")], schema), folder)
+    got = warc.read_warc(spark, folder).collect()
+    assert sorted((r.record_id, bytes(r.payload)[:2]) for r in got) == [("urn:x-page:1", b"a"), ("urn:x-page:2", b"c"), ("urn:x-page:null", b"bb")]
+    file = max((tmp_path / "w").glob("*.warc.gz"), key=lambda f: f.stat().st_size)
+    file.write_bytes(file.read_bytes()[:-20])
+    with pytest.raises(Exception, match="truncated archive"):
+        warc.read_warc(spark, folder).collect()
+
+
+def test_warc_of_other_origin(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    block = lambda kind, name, body, more=b"": b"WARC/1.0\r\nwarc-type: " + kind + b"\r\nWARC-Record-ID: <" + name + b">\r\n" + more + b"CONTENT-LENGTH: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    parts = [
+        block(b"warcinfo", b"i", b"software: x\r\n"), block(b"response", b"a", http + b"page\r\n\r\nend", b"Content-Type: application/http;\r\n  msgtype=response\r\nWARC-Target-URI: http://a\r\n"),
+        block(b"resource", b"b", b"z" * 3_000_000, b"Content-Type: text/plain\r\n"),
+    ]
+    want = [("a", "response", "http://a", b"page\r\n\r\nend"), ("b", "resource", None, b"z" * 3_000_000), ("i", "warcinfo", None, b"software: x\r\n")]
+    for name, raw in (("plain.warc", b"".join(parts)), ("members.warc.gz", b"".join(map(gzip.compress, parts))), ("one.warc.gz", gzip.compress(b"".join(parts)))):
+        folder = tmp_path / name.split(".")[0]
+        folder.mkdir()
+        (folder / name).write_bytes(raw)
+        got = warc.read_warc(spark, f"file://{folder}").collect()
+        assert sorted((r.record_id, r.record_type, r.target_uri, bytes(r.payload)) for r in got) == want
+        assert [r.payload_bytes for r in warc.read_warc(spark, f"file://{folder}", payload=False).where("record_type = 'response'").collect()] == [11]
+        (folder / name).write_bytes(raw[: len(raw) // 2])
+        with pytest.raises(Exception, match="truncated archive|not a WARC"):
+            warc.read_warc(spark, f"file://{folder}").collect()
+
+
 @pytest.mark.parametrize("n_words,sentences", [(50, 1), (50, 2), (60, 3), (80, 1), (80, 5)])
 def test_line_dedup_cuts_short_passages(spark, n_words, sentences):
     rng = np.random.default_rng(n_words + sentences)
