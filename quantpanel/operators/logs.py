@@ -9,11 +9,39 @@ from pyspark.sql import functions as F
 C = F.col
 # Keywords of headline categories, tested in this order.
 KEYWORDS = {
-    "ma": (" merger", " acquisition", " acquire", " takeover", " buyout"),
-    "guidance": (" guidance", " outlook", " forecast"),
-    "analyst": (" upgrade", " downgrade", " price target", " analyst"),
-    "earnings": (" earnings", " quarterly", " eps ", " revenue"),
-}
+    "ma": ("merger", "acquisition", "acquires", "takeover", "agreed to acquire", "agreed to merge", "agrees to buy", "going private", "tender offer", "hostile bid"),
+    "guidance": ("guidance", "forecast", "outlook", "raises guidance", "lowers guidance", "reaffirms", "raises target", "lowers target"),
+    "analyst": (
+        "upgrade", "downgrade", "price target", " rating ", "initiates", "overweight", "underweight", "outperform", "underperform", "buy rating", "sell rating", "hold rating",
+    ),
+    "earnings": ("earnings", " eps", " revenue", " profit", " quarter", " q1 ", " q2 ", " q3 ", " q4 ", " beats", " misses", "results", "per share"),
+}
+# Categories that alert when a position is open, and funds that never do.
+ALERT_CATEGORIES = ("earnings", "ma")
+NO_ALERT = ("SPY", "QQQ", "TLT", "GLD", "UUP", "DBC", "IWM", "EEM", "XLK", "XLF")
+
+
+def intraday_alerts(news: DataFrame, positions: DataFrame) -> DataFrame:
+    """news (ticker, category, ..) of open positions (symbol, qty) in an alerting category."""
+    held = positions.where(F.abs("qty") > 1e-6).select(C("symbol").alias("ticker")).distinct()
+    return news.where(C("category").isin(*ALERT_CATEGORIES) & ~C("ticker").isin(*NO_ALERT)).join(held, "ticker", "left_semi")
+
+
+def parsed_times(rows: DataFrame, column: str, by: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with a readable timestamp, counts of unreadable ones by ``by``)."""
+    read = rows.withColumn(column, F.try_to_timestamp(C(column)))
+    return read.where(C(column).isNotNull()), read.where(C(column).isNull()).groupBy(by).agg(F.count("*").alias("n_dropped"))
+
+
+def degraded_runs(responses: DataFrame, n_agents: int, ratio: float = 0.6) -> DataFrame:
+    """responses (plan_id, agent): a run is degraded when fewer than ceil(n_agents * ratio) agents answered."""
+    rows = responses.groupBy("plan_id").agg(F.countDistinct("agent").alias("responders"))
+    return rows.withColumn("degraded", C("responders") < F.ceil(F.lit(n_agents * ratio)))
+
+
+def failure_summary(failures: DataFrame) -> DataFrame:
+    """failures (agent, error, symbol): one row per agent and error."""
+    return failures.groupBy("agent", "error").agg(F.countDistinct("symbol").alias("symbols"), F.count("*").alias("n"))
 
 
 def migrate_decisions(old: DataFrame) -> DataFrame:
@@ -82,7 +110,8 @@ def headline_category(headline: Column, native: Column) -> Column:
         for w in words:
             hit = hit | F.contains(h, F.lit(w))
         out = out.when(hit, name)
-    return out.when(native.isNotNull() & (native != ""), native).otherwise("general")
+    own = F.lower(F.coalesce(native, F.lit("")))
+    return out.when(F.contains(own, F.lit("earnings")) | F.contains(own, F.lit("ipo")), "earnings").when(F.contains(own, F.lit("merger")), "ma").otherwise("general")
 
 
 def dedup_headlines(news: DataFrame) -> DataFrame:

@@ -193,3 +193,11 @@ def daily_from_windows(windows: DataFrame) -> DataFrame:
     rows = windows.withColumn("n", n).where("n > 0").withColumn("daily", F.pow(1 + C("ret"), 1 / C("n")) - 1)
     days = rows.select("agent", "daily", F.explode(F.sequence("start", "end")).alias("date")).where(F.weekday("date") < 5)
     return days.groupBy("agent", "date").agg(F.avg("daily").alias("ret"))
+
+
+def daily_from_trips(trips: DataFrame) -> DataFrame:
+    """trips (agent, entry, exit as dates, ret): the mean return of a day's exits, 0 on other business days from the first entry to the last exit."""
+    span = trips.groupBy("agent").agg(F.min("entry").alias("first"), F.max("exit").alias("last"))
+    days = span.select("agent", F.explode(F.sequence("first", "last")).alias("date")).where(F.weekday("date") < 5)
+    booked = trips.groupBy("agent", C("exit").alias("date")).agg(F.avg("ret").alias("ret"))
+    return days.join(booked, ["agent", "date"], "left").na.fill(0.0, ["ret"])

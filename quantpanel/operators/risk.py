@@ -117,3 +117,47 @@ def kelly_blend(live: Column, fallback: Column, n: Column, full: int = 20) -> Co
     """alpha = min(1, n / full) of the live value, the rest of the fallback."""
     alpha = clip(n / full, 0.0, 1.0)
     return alpha * live + (1 - alpha) * fallback
+
+
+def sharpe_variants(curve: DataFrame, by: str = "symbol", rf: float = 0.04, look: int = 126) -> DataFrame:
+    """curve (by, date, close): three guards around the same ratio, over all rows (engine, portfolio) or the last ``look`` (allocator)."""
+    order = W.partitionBy(by).orderBy("date")
+    rows = curve.withColumn("r", C("close") / F.lag("close").over(order) - 1).withColumn("back", F.row_number().over(W.partitionBy(by).orderBy(F.desc("date"))))
+    ratio = lambda r: (F.avg(r) - rf / 252) / F.nullif(F.stddev_samp(r), F.lit(0.0)) * F.sqrt(F.lit(252.0))
+    late = F.when(C("back") < look, C("r"))
+    out = rows.groupBy(by).agg(ratio(C("r")).alias("s"), ratio(late).alias("t"), F.count("r").alias("n"), F.count(late).alias("m"))
+    return out.select(
+        by, F.when(F.abs("s") <= 100, C("s")).otherwise(0.0).alias("engine"), F.when(C("n") >= 5, F.round(F.coalesce(clip(C("s"), -50.0, 50.0), F.lit(0.0)), 3)).otherwise(0.0).alias("portfolio"),
+        F.when(C("m") >= 5, F.coalesce(clip(C("t"), -500.0, 500.0), F.lit(0.0))).otherwise(0.0).alias("allocator"),
+    )
+
+
+def blended_best(backtest: DataFrame, live: DataFrame, full: int = 20) -> DataFrame:
+    """backtest (agent, symbol, sharpe), live (agent, symbol, live, n): blended by trades so far, and the best agent of each symbol (ties: first name)."""
+    mixed = F.when(C("live").isNull(), C("sharpe")).otherwise(kelly_blend(C("live"), C("sharpe"), C("n"), full))
+    rows = backtest.join(live, ["agent", "symbol"], "left").withColumn("blended", F.round(mixed, 4))
+    best = F.first("agent").over(W.partitionBy("symbol").orderBy(F.desc("blended"), "agent"))
+    return rows.withColumn("best", best)
+
+
+def annual_return(change: Column, days: Column) -> Column:
+    return F.when(days > 0, F.pow(1 + change, 252 / days) - 1).otherwise(0.0)
+
+
+def daily_return(change: Column, days: Column) -> Column:
+    return F.pow(1 + change, 1 / F.greatest(F.lit(1.0), days)) - 1
+
+
+def pair_signals(bars: DataFrame, pairs: DataFrame, window: int = 63) -> DataFrame:
+    """pairs (a, b, beta, extra): z-score of ln a - beta ln b; entry beyond 2, exit under .5, stop beyond 3.5. The legs are opposite."""
+    of = lambda x: bars.select(C("symbol").alias(x), "date", F.ln("close").alias(f"p{x}"))
+    rows = of("a").join(pairs, "a").join(of("b"), ["b", "date"]).withColumn("s", C("pa") - C("beta") * C("pb"))
+    w = W.partitionBy("a", "b").orderBy("date").rowsBetween(1 - window, 0)
+    sd = F.stddev_samp("s").over(w)
+    rows = rows.withColumn("z", F.when((F.count("s").over(w) == window) & (sd >= 1e-6), (C("s") - F.avg("s").over(w)) / sd)).where("z IS NOT NULL")
+    size = F.abs("z")
+    action = F.when(size > 3.5, "STOP").when(size > 2, "ENTER").when(size < 0.5, "EXIT").otherwise("HOLD")
+    sure = F.least(F.lit(0.93), F.least(F.lit(0.90), 0.60 + 0.1 * (size - 2)) + 0.03 * C("extra"))
+    rows = rows.withColumn("action", action).withColumn("confidence", F.when(C("action") == "ENTER", sure).otherwise(0.0))
+    side = F.when(C("action") == "ENTER", F.when(C("z") > 0, "SELL").otherwise("BUY"))
+    return rows.withColumn("side_a", side).withColumn("side_b", F.when(side == "SELL", "BUY").when(side == "BUY", "SELL")).select("a", "b", "date", "z", "action", "confidence", "side_a", "side_b")

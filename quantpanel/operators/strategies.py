@@ -123,19 +123,47 @@ def signals(features: DataFrame, names: list[str] | None = None) -> DataFrame:
     return out.select("symbol", "date", "agent_ord", "agent", "d.action", "d.confidence", "d.target_weight")
 
 
-def volatility_index_signal(vix: DataFrame) -> DataFrame:
-    """Extremes of a volatility index (columns close, vix_z, vix_mom5): BUY at >35 with z>1.5, or >25 with z>.8 and a 5-row rise under .05."""
-    buy = true((C("close") > 35) & (C("vix_z") > 1.5)) | true((C("close") > 25) & (C("vix_z") > 0.8) & (C("vix_mom5") < 0.05))
-    return vix.select("symbol", "date", F.when(buy, "BUY").otherwise("HOLD").alias("action"))
+def isolated_signals(features: DataFrame, names: list[str] | None = None) -> tuple[DataFrame | None, list[tuple[str, str]]]:
+    """(signals of the strategies that can be planned, (agent, error) of the others): a failing rule is absent, not a HOLD."""
+    good, failed = [], []
+    for name in names or list(_REGISTRY):
+        try:
+            signals(features, [name]).schema
+            good.append(name)
+        except Exception as e:  # a user's rule may raise anything
+            failed.append((name, type(e).__name__))
+    return (signals(features, good) if good else None), failed
+
+
+def volatility_index_signal(rows: DataFrame) -> DataFrame:
+    """Extremes of a volatility index (columns close, vix_z, vix_mom5, vix_ratio, held): a held name is sold on a spike or on complacency, another one bought in fear."""
+    spike = C("held") & ((C("vix_mom5") > 0.20) | (C("vix_ratio") > 1.40))
+    calm = C("held") & (C("close") < 15) & (C("vix_z") < -1.5)
+    extreme = ~C("held") & (C("close") > 35) & (C("vix_z") > 1.5)
+    fear = ~C("held") & (C("close") > 25) & (C("vix_z") > 0.8) & (C("vix_mom5") < 0.05)
+    pick = lambda a, b, c, d, e: F.when(spike, a).when(calm, b).when(extreme, c).when(fear, d).otherwise(e)
+    afraid = F.least(F.lit(0.82), 0.60 + (C("close") - 25) * 0.01)
+    return rows.withColumns({"action": pick("SELL", "SELL", "BUY", "BUY", "HOLD"), "confidence": pick(0.85, 0.70, 0.88, afraid, 0.3), "target_weight": pick(0.0, 0.0, 0.10, 0.08, 0.0)})
 
 
 def macro_points(rows: DataFrame) -> DataFrame:
-    """Risk-on and risk-off points of four indicators (yield_curve, credit_spread, inflation, unemployment_change); a null skips."""
-    on = _count(C("yield_curve") > 0.5, C("credit_spread") < 4.0, C("inflation") < 3.0, C("unemployment_change") <= 0)
-    off = _count(C("yield_curve") < 0, C("credit_spread") > 6.0, C("inflation") > 5.0, C("unemployment_change") > 0.5)
+    """Risk-on and risk-off points of four indicators (yield_curve, hy_spread, vix, fed_trend); a null skips."""
+    curve, spread, vix, fed = (C(c) for c in ("yield_curve", "hy_spread", "vix", "fed_trend"))
+    points = lambda *steps: F.coalesce(F.when(steps[0][0], steps[0][1]) if len(steps) == 1 else F.when(steps[0][0], steps[0][1]).when(steps[1][0], steps[1][1]), F.lit(0))
+    off = points((curve < -0.25, 2), (curve < 0, 1)) + points((spread > 600, 2), (spread > 450, 1)) + points((vix > 30, 2), (vix > 23, 1)) + points((fed > 0.75, 1))
+    on = points((curve > 1.0, 2), (curve > 0.5, 1)) + points((spread < 300, 2), (spread < 380, 1)) + points((vix < 15, 1)) + points((fed < -0.50, 1))
     return rows.withColumns({"risk_on": on, "risk_off": off})
 
 
+def macro_signal(rows: DataFrame, least: int = 4, confirm: float = 0.02) -> DataFrame:
+    """rows (risk_on, risk_off, mom63, regime, held): the ticker's own momentum must confirm the points."""
+    sell = C("held") & (C("risk_off") >= least) & (C("mom63") < -confirm)
+    buy = (C("risk_on") >= least) & (C("regime") != "bear") & (C("mom63") > confirm)
+    pick = lambda a, b, c: F.when(sell, a).when(buy, b).otherwise(c)
+    sure = F.least(F.lit(0.85), 0.60 + F.when(C("risk_on") >= least + 2, 0.10).otherwise(0.0))
+    return rows.withColumns({"action": pick("SELL", "BUY", "HOLD"), "confidence": pick(0.80, sure, 0.4), "target_weight": pick(0.0, 0.05, 0.0)})
+
+
 def scored_news_signal(scored: DataFrame, least: float = 0.55, weight: float = 0.10) -> DataFrame:
     """An already scored table (action, confidence): below ``least`` is HOLD; BUY carries the weight."""
     action = F.when(C("confidence") < least, "HOLD").otherwise(C("action"))

@@ -40,8 +40,9 @@ def _pairs(s, d):
 
 def _plans(s, d):
     last = risk.tail_closes(view(s, d, "bars"), 10).groupBy("symbol").agg(F.max_by("close", "date").alias("price"), F.avg("volume").alias("adv"))
-    rows = view(s, d, "decisions").where("action <> 'HOLD'").select(C("plan_id").alias("run_id"), "symbol", "action", "confidence", (1 + C("ordinal") % 50).cast("double").alias("qty"))
-    return rows.dropDuplicates(["run_id", "symbol"]).join(last, "symbol").withColumn("adv", C("adv") * 100)
+    rows = view(s, d, "decisions").where("action <> 'HOLD'").select(C("plan_id").alias("run_id"), "symbol", "action", "confidence", "timestamp", "ordinal", (1 + C("ordinal") % 50).cast("double").alias("qty"))
+    newest = rows.groupBy("run_id", "symbol").agg(F.max_by(F.struct("action", "confidence", "qty"), F.struct("timestamp", "ordinal")).alias("x")).select("run_id", "symbol", "x.*")
+    return newest.join(last, "symbol").withColumn("adv", C("adv") * 100)
 
 
 def _account(s, d):

@@ -108,7 +108,7 @@ add("d31_strategy_share", lambda s, d: (lambda w: w.groupBy("agent").agg(F.count
     duck("decisions") + " SELECT agent, COUNT(*) AS n, ROUND(COUNT(*) / SUM(COUNT(*)) OVER (), 6) AS share FROM decisions WHERE is_winner AND action <> 'HOLD' GROUP BY 1")
 _HASH = "SUBSTR(MD5(ARRAY_TO_STRING(LIST_SLICE(LIST_FILTER(STRING_SPLIT_REGEX(TRIM(REGEXP_REPLACE(LOWER(headline), '[^a-z0-9\\s]', '', 'g')), '\\s+'), lambda t: LENGTH(t) > 3), 1, 8), ' ')), 1, 12)"
 add("h01_headline_hash", lambda s, d: view(s, d, "news").select("ordinal", logs.headline_hash(C("headline")).alias("fingerprint")), duck("news") + f" SELECT ordinal, {_HASH} AS fingerprint FROM news")
-_CAT = "CASE " + " ".join(f"WHEN {' OR '.join(f'CONTAINS(h, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{n}'" for n, ws in logs.KEYWORDS.items()) + " WHEN native_category <> '' THEN native_category ELSE 'general' END"
+_CAT = "CASE " + " ".join(f"WHEN {' OR '.join(f'CONTAINS(h, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{n}'" for n, ws in logs.KEYWORDS.items()) + " WHEN CONTAINS(LOWER(native_category), 'earnings') OR CONTAINS(LOWER(native_category), 'ipo') THEN 'earnings' WHEN CONTAINS(LOWER(native_category), 'merger') THEN 'ma' ELSE 'general' END"
 add("h02_headline_category", lambda s, d: view(s, d, "news").groupBy(logs.headline_category(C("headline"), C("native_category")).alias("category")).agg(F.count("*").alias("n")),
     duck("news") + f" SELECT {_CAT} AS category, COUNT(*) AS n FROM (SELECT *, ' ' || LOWER(headline) || ' ' AS h FROM news) GROUP BY 1")
 add("g05_headline_dedup", lambda s, d: logs.dedup_headlines(view(s, d, "news")).select("ordinal", "ticker"), duck("news") + f" SELECT ordinal, ticker FROM (SELECT *, {_HASH} AS fp FROM news) QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker, fp ORDER BY ordinal) = 1")

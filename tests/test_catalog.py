@@ -1,7 +1,6 @@
 """Every registered query of the library with SQL against DuckDB on the smallest tables."""
 
-import math
-
+import pandas as pd
 import pytest
 
 from quantpanel.plans import catalog
@@ -11,7 +10,7 @@ from .conftest import SF
 
 def _rows(frame):
     frame = frame[sorted(frame.columns)]
-    plain = lambda v: None if v is None or isinstance(v, float) and math.isnan(v) else v.item() if hasattr(v, "item") else v
+    plain = lambda v: None if pd.isna(v) else v.item() if hasattr(v, "item") else v
     return sorted((tuple(plain(v) for v in r) for r in frame.astype(object).values.tolist()), key=str)
 
 
