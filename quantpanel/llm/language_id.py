@@ -29,7 +29,7 @@ from .common import materialize
 SAMPLE = 3000
 EPOCHS = 3
 BUCKETS = 1 << 15
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.5, 1e-4
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 1e-4
 LEAST_EACH = 50
 SMOOTHING = 0.01
 SEED = 7
@@ -187,6 +187,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = materialize(sampled(rows, sample).mapInArrow(_gram_counts, "lang string, h long, at array<int>, tf array<int>"), "language-sample")
     ordered = chosen.repartition(1).sortWithinPartitions("h", "lang")
     found = ordered.mapInArrow(_fit(idf), "langs array<string>, weights binary, bias array<double>, temperature double").first()
+    if found is None or not found.langs:
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), idf.astype(np.float32), 1.0)
     return Model(list(found.langs), np.frombuffer(found.weights, np.float32).reshape(BUCKETS, -1), np.array(found.bias), idf.astype(np.float32), found.temperature)
 
 

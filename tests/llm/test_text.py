@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -393,3 +394,41 @@ def test_line_dedup_cuts_short_passages(spark, n_words, sentences):
     cut = [len(t.split()) - len(got[i].split()) for i, t in rows if i >= 100]
     assert all(c <= n_words for c in cut) and sum(c >= n_words - 16 for c in cut) >= 18
     assert all(got[i].startswith(t[:200]) and got[i].endswith(t[-200:]) for i, t in rows if i >= 100)
+
+
+def test_language_model_is_sparse_and_calibrated(spark):
+    labelled = spark.read.parquet(f"{SF}/documents.parquet").where(~language_id.held_out(F.col("doc_id")))
+    model = language_id.train(labelled)
+    assert 0 < (model.table != 0).mean() < 0.25
+    assert 1e-3 < model.temperature < 1e3
+    z, y = np.array([[4.0, 0.0], [3.0, 0.0], [0.0, 5.0], [2.0, 0.0]]), np.array([0, 0, 1, 1])
+    loss = lambda t: -np.log((e := np.exp(z / t))[np.arange(4), y] / e.sum(axis=1)).mean()
+    best = language_id.fit_temperature(z, y, smoothing=0.0)
+    assert loss(best) <= min(loss(best * 1.1), loss(best / 1.1))
+
+
+def test_ftrl_against_plain_loop():
+    rng = np.random.default_rng(3)
+    ftrl = language_id.FTRL(6, 2, 0.5, 1.0, 0.05, 0.01)
+    z, n = np.zeros((6, 2)), np.zeros((6, 2))
+    for _ in range(40):
+        at, x, y = rng.choice(6, 3, replace=False), rng.random(3), int(rng.integers(2))
+        w = [[0.0 if abs(z[i, c]) <= 0.05 else -(z[i, c] - np.sign(z[i, c]) * 0.05) / ((1.0 + n[i, c] ** 0.5) / 0.5 + 0.01) for c in range(2)] for i in range(6)]
+        s = [sum(x[k] * w[i][c] for k, i in enumerate(at)) for c in range(2)]
+        p = [np.exp(v) / sum(np.exp(u) for u in s) for v in s]
+        for k, i in enumerate(at):
+            for c in range(2):
+                g = x[k] * (p[c] - (c == y))
+                z[i, c] += g - ((n[i, c] + g * g) ** 0.5 - n[i, c] ** 0.5) / 0.5 * w[i][c]
+                n[i, c] += g * g
+        ftrl.step(at, x, y)
+        assert np.allclose(ftrl.z, z) and np.allclose(ftrl.n, n)
+
+
+def test_range_coder_beats_the_static_entropy():
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].combine_chunks()
+    encode = tokens.Encoder(tokens.token_path("word_bpe_49k.json"), "word")
+    ids = np.concatenate([encode(texts.slice(a, b - a))[0] for a, b in tokens.slices(texts, 4_000_000)])
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    words = range_coder.encode_block(ids[: range_coder.BLOCK_IDS], 49409)
+    assert words.nbytes * 8 / min(len(ids), range_coder.BLOCK_IDS) < -(share * np.log2(share)).sum() - 0.2
