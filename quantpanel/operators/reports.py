@@ -49,12 +49,12 @@ def crosstab(rows: DataFrame) -> DataFrame:
     return rows.groupBy("old", "new").agg(F.count("*").alias("n")).withColumn("share", share)
 
 
-def aligned_portfolio(curves: DataFrame, by: str = "symbol") -> DataFrame:
-    """date -> sum of the curves, each carried forward from its first value; symbols are few, dates a calendar."""
-    grid = curves.select("date").distinct().join(F.broadcast(curves.select(by).distinct()))
-    rows = grid.join(curves, ["date", by], "left")
-    held = F.last("close", ignorenulls=True).over(W.partitionBy(by).orderBy("date"))
-    return rows.withColumn("v", held).groupBy("date").agg(F.sum("v").alias("value"), F.count("v").alias("n"))
+def aligned_portfolio(curves: DataFrame, by: str = "symbol", book: str = "book") -> DataFrame:
+    """(book, date) -> sum of the book's curves, each carried forward from its first value."""
+    grid = curves.select(book, "date").distinct().join(curves.select(book, by).distinct(), book)
+    rows = grid.join(curves, [book, "date", by], "left")
+    held = F.last("close", ignorenulls=True).over(W.partitionBy(book, by).orderBy("date"))
+    return rows.withColumn("v", held).groupBy(book, "date").agg(F.sum("v").alias("value"), F.count("v").alias("n"))
 
 
 def entry_book(plans: DataFrame) -> DataFrame:
@@ -74,12 +74,12 @@ def drift_alerts(live: DataFrame, walk: DataFrame, least: float = 0.5) -> DataFr
     return rows.where(C("gap") > least).orderBy(F.desc("gap"))
 
 
-def beta_matched(returns: DataFrame) -> DataFrame:
-    """returns (date, r, rb) -> beta, beta-matched excess return and its information ratio."""
-    beta = F.broadcast(returns.agg(F.regr_slope("r", "rb").alias("beta")))
-    rows = returns.join(beta).withColumn("naive", C("beta") * C("rb") + (1 - C("beta")) * 0.04 / 252).withColumn("d", C("r") - C("naive"))
+def beta_matched(returns: DataFrame, *by: str) -> DataFrame:
+    """returns (by, date, r, rb) -> beta, beta-matched excess return and its information ratio."""
+    beta = returns.groupBy(*by).agg(F.regr_slope("r", "rb").alias("beta"))
+    rows = returns.join(beta, list(by)).withColumn("naive", C("beta") * C("rb") + (1 - C("beta")) * 0.04 / 252).withColumn("d", C("r") - C("naive"))
     grow = lambda c: F.exp(F.sum(F.log1p(c)))
-    return rows.agg(F.first("beta").alias("beta"), (grow("r") - grow("naive")).alias("excess"), (F.try_divide(F.avg("d"), F.stddev_samp("d")) * F.sqrt(F.lit(252.0))).alias("information_ratio"))
+    return rows.groupBy(*by).agg(F.first("beta").alias("beta"), (grow("r") - grow("naive")).alias("excess"), (F.try_divide(F.avg("d"), F.stddev_samp("d")) * F.sqrt(F.lit(252.0))).alias("information_ratio"))
 
 
 def non_overlapping(windows: DataFrame) -> DataFrame:

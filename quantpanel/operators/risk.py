@@ -23,19 +23,18 @@ def tail_closes(bars: DataFrame, n: int) -> DataFrame:
 
 
 def historical_var(bars: DataFrame, positions: DataFrame, days: int = 253, least: int = 21) -> DataFrame:
-    """VaR at 95 and 99 % and CVaR at 99 % of long positions from the dates that all of them share, also as a share of their value."""
-    held = positions.where("qty > 0")
-    rows = tail_closes(bars.join(F.broadcast(held), "symbol"), days)
-    enough = rows.groupBy("symbol").agg(F.count("*").alias("n"), F.max_by("close", "date").alias("last")).where(C("n") >= least)
-    rows = rows.join(F.broadcast(enough), "symbol")
-    n_symbols = F.broadcast(enough.agg(F.count("*").alias("n_symbols"), F.lit(1).alias("one")))
-    shared = rows.groupBy("date").agg(F.count("*").alias("k")).join(n_symbols).where("k = n_symbols").select("date")
-    rows = rows.join(F.broadcast(shared), "date").withColumn("ret", C("close") / F.lag("close", 1).over(by_symbol()) - 1)
-    pnl = rows.where("ret IS NOT NULL").groupBy("date").agg(F.sum(C("ret") * C("qty") * C("last")).alias("pnl"))
-    cut = pnl.agg(F.percentile("pnl", F.array(F.lit(0.05), F.lit(0.01))).alias("q"), F.count("*").alias("n_days"))
-    tail = pnl.join(F.broadcast(cut)).agg(F.first("n_days").alias("n_days"), -F.first("q")[0].alias("var95"), -F.first("q")[1].alias("var99"), -F.avg(F.when(C("pnl") <= C("q")[1], C("pnl"))).alias("cvar99"))
-    value = enough.join(held, "symbol").agg(F.sum(C("qty") * C("last")).alias("value"))
-    tail = tail.toDF("n_days", "var95", "var99", "cvar99").join(F.broadcast(value))
+    """Per book VaR at 95 and 99 % and CVaR at 99 % of its long positions (book, symbol, qty) from the dates that all of them share, also as a share of their value."""
+    one = W.partitionBy("book", "symbol").orderBy("date")
+    rows = tail_closes(bars, days).join(positions.where("qty > 0"), "symbol")
+    enough = rows.groupBy("book", "symbol").agg(F.count("*").alias("n"), F.max_by("close", "date").alias("last"), F.first("qty").alias("qty")).where(C("n") >= least)
+    rows = rows.drop("qty").join(enough, ["book", "symbol"])
+    books = enough.groupBy("book").agg(F.count("*").alias("n_symbols"), F.sum(C("qty") * C("last")).alias("value"))
+    shared = rows.groupBy("book", "date").agg(F.count("*").alias("k")).join(books, "book").where("k = n_symbols").select("book", "date")
+    rows = rows.join(shared, ["book", "date"]).withColumn("ret", C("close") / F.lag("close", 1).over(one) - 1)
+    pnl = rows.where("ret IS NOT NULL").groupBy("book", "date").agg(F.sum(C("ret") * C("qty") * C("last")).alias("pnl"))
+    cut = pnl.groupBy("book").agg(F.percentile("pnl", F.array(F.lit(0.05), F.lit(0.01))).alias("q"), F.count("*").alias("n_days"))
+    tail = pnl.join(cut, "book").groupBy("book").agg(F.first("n_days").alias("n_days"), -F.first("q")[0].alias("var95"), -F.first("q")[1].alias("var99"), -F.avg(F.when(C("pnl") <= C("q")[1], C("pnl"))).alias("cvar99"))
+    tail = tail.toDF("book", "n_days", "var95", "var99", "cvar99").join(books.select("book", "value"), "book")
     return tail.withColumn("var99_pct", C("var99") / C("value"))
 
 
@@ -50,9 +49,9 @@ def correlations(bars: DataFrame, days: int = 60, least: int = 20) -> DataFrame:
 def spread_stats(bars: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per candidate pair (a, b): hedge ratio (slope of log a on log b), zero crossings of the demeaned spread, half-life of its reversion."""
     px = bars.select("symbol", "date", F.log("close").alias("p"))
-    rows = px.withColumnsRenamed({"symbol": "a", "p": "pa"}).join(F.broadcast(pairs), "a").join(px.withColumnsRenamed({"symbol": "b", "p": "pb"}), ["b", "date"])
+    rows = px.withColumnsRenamed({"symbol": "a", "p": "pa"}).join(pairs, "a").join(px.withColumnsRenamed({"symbol": "b", "p": "pb"}), ["b", "date"])
     beta = rows.groupBy("a", "b").agg(F.regr_slope("pa", "pb").alias("beta"), F.count("*").alias("n"))
-    rows = rows.join(F.broadcast(beta), ["a", "b"]).withColumn("s", C("pa") - C("beta") * C("pb"))
+    rows = rows.join(beta, ["a", "b"]).withColumn("s", C("pa") - C("beta") * C("pb"))
     w = W.partitionBy("a", "b").orderBy("date")
     rows = rows.withColumn("side", (C("s") - F.avg("s").over(W.partitionBy("a", "b")) >= 0).cast("int")).withColumn("s0", F.lag("s").over(w)).withColumn("crossed", (C("side") != F.lag("side").over(w)).cast("int"))
     b = F.regr_slope(C("s") - C("s0"), C("s0"))
@@ -60,14 +59,13 @@ def spread_stats(bars: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("beta").alias("beta"), F.sum("crossed").alias("crossings"), half.alias("half_life"))
 
 
-def spread_zscore(bars: DataFrame, a: str, b: str, beta: float, n: int = 63) -> DataFrame:
-    """(log a - beta log b) against its rolling mean and deviation; null where the deviation is under 1e-6."""
-    x, y = (bars.where(C("symbol") == s).select("date", F.log("close").alias(k)) for s, k in ((a, "pa"), (b, "pb")))
-    rows = x.join(y, "date").withColumn("s", C("pa") - beta * C("pb")).withColumn("pair", F.lit(f"{a}/{b}"))
-    frame = W.partitionBy("pair").orderBy("date").rowsBetween(-(n - 1), 0)
-    sd = F.stddev_samp("s").over(frame)
-    z = F.when((F.count("s").over(frame) == n) & (sd >= 1e-6), (C("s") - F.avg("s").over(frame)) / sd)
-    return rows.select("date", "s", z.alias("z"))
+def spread_zscore(bars: DataFrame, pairs: DataFrame, n: int = 63) -> DataFrame:
+    """pairs (a, b, beta): ln a - beta ln b (s) against its rolling mean and deviation (z); null where the deviation is under 1e-6."""
+    of = lambda x: bars.select(C("symbol").alias(x), "date", F.ln("close").alias(f"p{x}"))
+    rows = of("a").join(pairs, "a").join(of("b"), ["b", "date"]).withColumn("s", C("pa") - C("beta") * C("pb"))
+    w = W.partitionBy("a", "b").orderBy("date").rowsBetween(1 - n, 0)
+    sd = F.stddev_samp("s").over(w)
+    return rows.withColumn("z", F.when((F.count("s").over(w) == n) & (sd >= 1e-6), (C("s") - F.avg("s").over(w)) / sd))
 
 
 def earnings_blackout(buys: DataFrame, earnings: DataFrame, days: int = 3) -> DataFrame:
@@ -149,12 +147,8 @@ def daily_return(change: Column, days: Column) -> Column:
 
 
 def pair_signals(bars: DataFrame, pairs: DataFrame, window: int = 63) -> DataFrame:
-    """pairs (a, b, beta, extra): z-score of ln a - beta ln b; entry beyond 2, exit under .5, stop beyond 3.5. The legs are opposite."""
-    of = lambda x: bars.select(C("symbol").alias(x), "date", F.ln("close").alias(f"p{x}"))
-    rows = of("a").join(pairs, "a").join(of("b"), ["b", "date"]).withColumn("s", C("pa") - C("beta") * C("pb"))
-    w = W.partitionBy("a", "b").orderBy("date").rowsBetween(1 - window, 0)
-    sd = F.stddev_samp("s").over(w)
-    rows = rows.withColumn("z", F.when((F.count("s").over(w) == window) & (sd >= 1e-6), (C("s") - F.avg("s").over(w)) / sd)).where("z IS NOT NULL")
+    """pairs (a, b, beta, extra) by the z-score of their spread: entry beyond 2, exit under .5, stop beyond 3.5. The legs are opposite."""
+    rows = spread_zscore(bars, pairs, window).where("z IS NOT NULL")
     size = F.abs("z")
     action = F.when(size > 3.5, "STOP").when(size > 2, "ENTER").when(size < 0.5, "EXIT").otherwise("HOLD")
     sure = F.least(F.lit(0.93), F.least(F.lit(0.90), 0.60 + 0.1 * (size - 2)) + 0.03 * C("extra"))

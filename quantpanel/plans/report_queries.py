@@ -10,6 +10,7 @@ from quantpanel.operators import ranking, reports, risk, trades
 
 from .common import Catalog, duck, view
 from .log_queries import TRIPS, _trips
+from .risk_queries import BOOKS, PAIRS, books, neighbours
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -49,10 +50,10 @@ c AS (SELECT day, symbol, CASE WHEN ABS(score) * SQRT(part) < 0.15 THEN 'NONE' W
 bo AS (SELECT COALESCE(o.day, c.day) AS day, COALESCE(o.symbol, c.symbol) AS symbol, COALESCE(old, '-') AS old, COALESCE(new, '-') AS new FROM o FULL JOIN c ON o.day = c.day AND o.symbol = c.symbol)"""
 add("c23_old_and_new_decisions", _both, _OLDNEW + " SELECT day, symbol, old, new FROM bo", ("day",))
 add("d25_crosstab", lambda s, d: reports.crosstab(_both(s, d)), _OLDNEW + " SELECT old, new, COUNT(*) AS n, ROUND(COUNT(*) / SUM(COUNT(*)) OVER (), 6) AS share FROM bo GROUP BY 1, 2")
-add("c14_aligned_portfolio", lambda s, d: reports.aligned_portfolio(bars(s, d).where("symbol IN ('S1', 'S2', 'S3', 'S4')").select("symbol", "date", "close")),
-    duck("bars") + """, x AS (SELECT symbol, date, close FROM bars WHERE symbol IN ('S1', 'S2', 'S3', 'S4')), g AS (SELECT * FROM (SELECT DISTINCT date FROM x) CROSS JOIN (SELECT DISTINCT symbol FROM x)),
-    h AS (SELECT g.date, g.symbol, LAST_VALUE(close IGNORE NULLS) OVER (PARTITION BY g.symbol ORDER BY g.date) AS v FROM g LEFT JOIN x ON x.date = g.date AND x.symbol = g.symbol)
-    SELECT date, ROUND(SUM(v), 6) AS value, COUNT(v) AS n FROM h GROUP BY 1""", ("date",))
+add("c14_aligned_portfolio", lambda s, d: reports.aligned_portfolio(bars(s, d).join(books(s, d), "symbol").select("book", "symbol", "date", "close")),
+    duck("bars", "sectors") + f""", {BOOKS}, x AS (SELECT book, symbol, date, close FROM bars JOIN books USING (symbol)), g AS (SELECT * FROM (SELECT DISTINCT book, date FROM x) JOIN (SELECT DISTINCT book, symbol FROM x) USING (book)),
+    h AS (SELECT g.book, g.date, LAST_VALUE(close IGNORE NULLS) OVER (PARTITION BY g.book, g.symbol ORDER BY g.date) AS v FROM g LEFT JOIN x ON x.date = g.date AND x.symbol = g.symbol)
+    SELECT book, date, ROUND(SUM(v), 6) AS value, COUNT(v) AS n FROM h GROUP BY 1, 2""", ("date",))
 
 
 def _book(s, d):
@@ -67,17 +68,16 @@ _SH = "ROUND(CASE WHEN COUNT(*) >= 3 THEN (AVG(ret) - 0.04 * AVG(holding_days) /
 add("d16_drift_alerts", lambda s, d: reports.drift_alerts(trades.trip_metrics(_trips(s, d)).select("agent", "sharpe"), view(s, d, "decisions").select("agent", (C("confidence") * 6).alias("oos_sharpe"))).select("agent", "oos", "sharpe", F.round("gap", 3).alias("gap")),
     TRIPS + f""", l AS (SELECT agent, {_SH} AS sharpe FROM trips GROUP BY 1), w AS (SELECT agent, AVG(confidence * 6) AS oos FROM decisions GROUP BY 1)
     SELECT agent, ROUND(oos, 6) AS oos, ROUND(sharpe, 6) AS sharpe, ROUND(ROUND_EVEN(oos - sharpe, 4), 3) AS gap FROM l JOIN w USING (agent) WHERE ROUND_EVEN(oos - sharpe, 4) > 0.5""")
-_R2 = f"""r AS (SELECT symbol, date, close / LAG(close) {_P} - 1 AS ret FROM bars), j AS (SELECT x.date, x.ret AS r, y.ret AS rb FROM r x JOIN r y ON x.date = y.date WHERE x.symbol = 'S1' AND y.symbol = 'S2' AND x.ret IS NOT NULL AND y.ret IS NOT NULL)"""
-
-
-def _two(s, d):
+def _matched(s, d):
     rows = risk.daily_returns(bars(s, d)).where("ret IS NOT NULL")
-    return rows.where("symbol = 'S1'").select("date", C("ret").alias("r")).join(rows.where("symbol = 'S2'").select("date", C("ret").alias("rb")), "date")
+    of = lambda x, r: rows.select(C("symbol").alias(x), "date", C("ret").alias(r))
+    return of("a", "r").join(neighbours(s, d), "a").join(of("b", "rb"), ["b", "date"])
 
 
-add("d21_beta_matched", lambda s, d: reports.beta_matched(_two(s, d)),
-    duck("bars") + f""", {_R2}, b AS (SELECT REGR_SLOPE(r, rb) AS beta FROM j), n AS (SELECT r, beta, beta * rb + (1 - beta) * 0.04 / 252 AS naive FROM j, b)
-    SELECT ROUND(ANY_VALUE(beta), 6) AS beta, ROUND(EXP(SUM(LN(1 + r))) - EXP(SUM(LN(1 + naive))), 6) AS excess, ROUND(AVG(r - naive) / STDDEV_SAMP(r - naive) * SQRT(252), 6) AS information_ratio FROM n""")
+add("d21_beta_matched", lambda s, d: reports.beta_matched(_matched(s, d), "a", "b"),
+    duck("bars", "sectors") + f""", {PAIRS}, r AS (SELECT symbol, date, close / LAG(close) {_P} - 1 AS ret FROM bars), j AS (SELECT a, b, x.ret AS r, y.ret AS rb FROM pairs JOIN r x ON x.symbol = a JOIN r y ON y.symbol = b AND x.date = y.date WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL),
+    e AS (SELECT a, b, REGR_SLOPE(r, rb) AS beta FROM j GROUP BY 1, 2), n AS (SELECT j.*, beta, beta * rb + (1 - beta) * 0.04 / 252 AS naive FROM j JOIN e USING (a, b))
+    SELECT a, b, ROUND(ANY_VALUE(beta), 6) AS beta, ROUND(EXP(SUM(LN(1 + r))) - EXP(SUM(LN(1 + naive))), 6) AS excess, ROUND(AVG(r - naive) / STDDEV_SAMP(r - naive) * SQRT(252), 6) AS information_ratio FROM n GROUP BY 1, 2""")
 _WIN = duck("bars") + f""", i AS (SELECT symbol, date, close, ROW_NUMBER() {_P} - 1 AS i, COUNT(*) OVER (PARTITION BY symbol) AS n FROM bars),
 k AS (SELECT symbol, UNNEST(GENERATE_SERIES(0, n - 504, 63)) AS st FROM (SELECT DISTINCT symbol, n FROM i WHERE n >= 504)),
 wr AS (SELECT k.symbol, CAST(st / 63 AS INT) AS w, ROUND_EVEN(MAX(close) FILTER (i = st + 503) / MAX(close) FILTER (i = st + 378) - 1, 4) AS r FROM k JOIN i USING (symbol) GROUP BY 1, 2)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantpanel.functions.panel import weekdays_after
@@ -20,35 +21,42 @@ def bars(s, d):
     return view(s, d, "bars")
 
 
-_HELD = "symbol IN ('S1', 'S2', 'S3')"
-add("d26_historical_var", lambda s, d: risk.historical_var(bars(s, d), bars(s, d).where(_HELD).select("symbol", F.lit(100.0).alias("qty")).distinct(), 1500),
-    duck("bars") + f""", t AS (SELECT *, 100.0 AS qty FROM bars WHERE {_HELD} {_TAIL.format(n=1500)}), n AS (SELECT symbol, COUNT(*) AS n, ARG_MAX(close, date) AS last FROM t GROUP BY 1 HAVING COUNT(*) >= 21),
-    r AS (SELECT t.*, last FROM t JOIN n USING (symbol)), sh AS (SELECT date FROM r GROUP BY 1 HAVING COUNT(*) = (SELECT COUNT(*) FROM n)),
-    x AS (SELECT *, close / LAG(close) {_P} - 1 AS ret FROM r WHERE date IN (SELECT date FROM sh)), p AS (SELECT date, SUM(ret * qty * last) AS pnl FROM x WHERE ret IS NOT NULL GROUP BY 1),
-    q AS (SELECT QUANTILE_CONT(pnl, 0.05) AS a, QUANTILE_CONT(pnl, 0.01) AS b, COUNT(*) AS c FROM p), v AS (SELECT SUM(last * 100.0) AS value FROM n)
-    SELECT c AS n_days, ROUND(-a, 6) AS var95, ROUND(-b, 6) AS var99, ROUND(-(SELECT AVG(pnl) FROM p WHERE pnl <= b), 6) AS cvar99, ROUND(value, 6)::DOUBLE AS value, ROUND(-b / value, 6) AS var99_pct FROM q, v""")
+def books(s, d):
+    """Books of three neighbouring symbols of a sector."""
+    rank = F.row_number().over(W.partitionBy("sector").orderBy("ticker")) - 1
+    return view(s, d, "sectors").select(F.concat_ws("/", "sector", F.floor(rank / 3).cast("string")).alias("book"), C("ticker").alias("symbol"))
+
+
+def neighbours(s, d):
+    """(a, b): every symbol and the next one of its sector."""
+    following = F.lead("ticker").over(W.partitionBy("sector").orderBy("ticker"))
+    return view(s, d, "sectors").select(C("ticker").alias("a"), following.alias("b")).where("b IS NOT NULL")
+
+
+BOOKS = "books AS (SELECT sector || '/' || CAST((ROW_NUMBER() OVER (PARTITION BY sector ORDER BY ticker) - 1) // 3 AS VARCHAR) AS book, ticker AS symbol FROM sectors)"
+PAIRS = "pairs AS (SELECT a, b FROM (SELECT ticker AS a, LEAD(ticker) OVER (PARTITION BY sector ORDER BY ticker) AS b FROM sectors) WHERE b IS NOT NULL)"
+add("d26_historical_var", lambda s, d: risk.historical_var(bars(s, d), books(s, d).withColumn("qty", F.lit(100.0)), 1500),
+    duck("bars", "sectors") + f""", {BOOKS}, t AS (SELECT b.*, book FROM (SELECT * FROM bars {_TAIL.format(n=1500)}) b JOIN books USING (symbol)), n AS (SELECT book, symbol, ARG_MAX(close, date) AS last FROM t GROUP BY 1, 2 HAVING COUNT(*) >= 21),
+    k AS (SELECT book, COUNT(*) AS k, SUM(last * 100.0) AS value FROM n GROUP BY 1), r AS (SELECT t.*, last FROM t JOIN n USING (book, symbol)), sh AS (SELECT book, date FROM r JOIN k USING (book) GROUP BY book, date, k HAVING COUNT(*) = k),
+    x AS (SELECT r.*, close / LAG(close) OVER (PARTITION BY book, symbol ORDER BY date) - 1 AS ret FROM r JOIN sh USING (book, date)), p AS (SELECT book, date, SUM(ret * 100.0 * last) AS pnl FROM x WHERE ret IS NOT NULL GROUP BY 1, 2),
+    q AS (SELECT book, QUANTILE_CONT(pnl, 0.05) AS a, QUANTILE_CONT(pnl, 0.01) AS b, COUNT(*) AS c FROM p GROUP BY 1), c AS (SELECT book, AVG(pnl) FILTER (pnl <= b) AS m FROM p JOIN q USING (book) GROUP BY 1)
+    SELECT book, c AS n_days, ROUND(-a, 6) AS var95, ROUND(-b, 6) AS var99, ROUND(-m, 6) AS cvar99, ROUND(value, 6)::DOUBLE AS value, ROUND(-b / value, 6) AS var99_pct FROM q JOIN c USING (book) JOIN k USING (book)""")
 add("d27_correlations", lambda s, d: risk.correlations(bars(s, d), 400, 5),
     duck("bars") + f""", t AS (SELECT * FROM bars {_TAIL.format(n=401)}), r AS (SELECT symbol, date, close / LAG(close) {_P} - 1 AS ret FROM t)
     SELECT x.symbol AS a, y.symbol AS b, COUNT(*) AS n, ROUND(CORR(x.ret, y.ret), 6) AS corr FROM r x JOIN r y ON x.date = y.date AND x.symbol < y.symbol WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY 1, 2 HAVING COUNT(*) >= 5""")
 
 
-def _pairs(s, d):
-    names = bars(s, d).where("symbol IN ('S1', 'S2', 'S3', 'S4', 'S5', 'S6')").select("symbol").distinct()
-    return names.withColumnRenamed("symbol", "a").join(names.withColumnRenamed("symbol", "b"), C("a") < C("b"))
-
-
-_SPREAD = duck("bars") + """, px AS (SELECT symbol, date, LN(close) AS p FROM bars WHERE symbol IN ('S1', 'S2', 'S3', 'S4', 'S5', 'S6')),
-j AS (SELECT x.symbol AS a, y.symbol AS b, x.date, x.p AS pa, y.p AS pb FROM px x JOIN px y ON x.date = y.date AND x.symbol < y.symbol), be AS (SELECT a, b, REGR_SLOPE(pa, pb) AS beta, COUNT(*) AS n FROM j GROUP BY 1, 2),
+_SPREAD = duck("bars", "sectors") + f""", {PAIRS}, px AS (SELECT symbol, date, LN(close) AS p FROM bars),
+j AS (SELECT x.symbol AS a, y.symbol AS b, x.date, x.p AS pa, y.p AS pb FROM pairs JOIN px x ON x.symbol = a JOIN px y ON y.symbol = b AND x.date = y.date), be AS (SELECT a, b, REGR_SLOPE(pa, pb) AS beta, COUNT(*) AS n FROM j GROUP BY 1, 2),
 sp AS (SELECT j.*, beta, n, pa - beta * pb AS s FROM j JOIN be USING (a, b)), sd AS (SELECT *, CAST(s - AVG(s) OVER (PARTITION BY a, b) >= 0 AS INT) AS side, LAG(s) OVER (PARTITION BY a, b ORDER BY date) AS s0 FROM sp),
 cr AS (SELECT *, CAST(side <> LAG(side) OVER (PARTITION BY a, b ORDER BY date) AS INT) AS crossed FROM sd)"""
-add("e23_spread_statistics", lambda s, d: risk.spread_stats(bars(s, d), _pairs(s, d)),
+add("e23_spread_statistics", lambda s, d: risk.spread_stats(bars(s, d), neighbours(s, d)),
     _SPREAD + """ SELECT a, b, ANY_VALUE(n) AS n, ROUND(ANY_VALUE(beta), 6) AS beta, CAST(SUM(crossed) AS BIGINT) AS crossings, ROUND(CASE WHEN COUNT(s0) >= 20 AND REGR_SLOPE(s - s0, s0) < 0 THEN LN(2) / -REGR_SLOPE(s - s0, s0) END, 6) AS half_life FROM cr GROUP BY a, b""")
-add("c13_pair_alignment", lambda s, d: bars(s, d).withColumnsRenamed({"symbol": "a", "close": "ca"}).join(F.broadcast(_pairs(s, d)), "a").join(bars(s, d).withColumnsRenamed({"symbol": "b", "close": "cb"}).select("b", "date", "cb"), ["b", "date"]).groupBy("a", "b").agg(F.count("*").alias("n"), F.avg(C("ca") / C("cb")).alias("mean_ratio")),
-    duck("bars") + """ SELECT x.symbol AS a, y.symbol AS b, COUNT(*) AS n, ROUND(AVG(x.close / y.close), 6) AS mean_ratio FROM bars x JOIN bars y ON x.date = y.date AND x.symbol < y.symbol
-    WHERE x.symbol IN ('S1', 'S2', 'S3', 'S4', 'S5', 'S6') AND y.symbol IN ('S1', 'S2', 'S3', 'S4', 'S5', 'S6') GROUP BY 1, 2""")
-add("e22_spread_zscore", lambda s, d: risk.spread_zscore(bars(s, d), "S1", "S2", 0.5),
-    duck("bars") + """, j AS (SELECT x.date, LN(x.close) - 0.5 * LN(y.close) AS s FROM bars x JOIN bars y ON x.date = y.date WHERE x.symbol = 'S1' AND y.symbol = 'S2'),
-    w AS (SELECT *, COUNT(s) OVER v AS n, AVG(s) OVER v AS m, STDDEV_SAMP(s) OVER v AS sd FROM j WINDOW v AS (ORDER BY date ROWS 62 PRECEDING)) SELECT date, ROUND(s, 6) AS s, ROUND(CASE WHEN n = 63 AND sd >= 1e-6 THEN (s - m) / sd END, 6) AS z FROM w""", ("date",))
+add("c13_pair_alignment", lambda s, d: bars(s, d).withColumnsRenamed({"symbol": "a", "close": "ca"}).join(neighbours(s, d), "a").join(bars(s, d).withColumnsRenamed({"symbol": "b", "close": "cb"}).select("b", "date", "cb"), ["b", "date"]).groupBy("a", "b").agg(F.count("*").alias("n"), F.avg(C("ca") / C("cb")).alias("mean_ratio")),
+    duck("bars", "sectors") + f""", {PAIRS} SELECT a, b, COUNT(*) AS n, ROUND(AVG(x.close / y.close), 6) AS mean_ratio FROM pairs JOIN bars x ON x.symbol = a JOIN bars y ON y.symbol = b AND x.date = y.date GROUP BY 1, 2""")
+add("e22_spread_zscore", lambda s, d: risk.spread_zscore(bars(s, d), neighbours(s, d).withColumn("beta", F.lit(0.5))).select("a", "b", "date", "s", "z"),
+    duck("bars", "sectors") + f""", {PAIRS}, j AS (SELECT a, b, x.date, LN(x.close) - 0.5 * LN(y.close) AS s FROM pairs JOIN bars x ON x.symbol = a JOIN bars y ON y.symbol = b AND x.date = y.date),
+    w AS (SELECT *, COUNT(s) OVER v AS n, AVG(s) OVER v AS m, STDDEV_SAMP(s) OVER v AS sd FROM j WINDOW v AS (PARTITION BY a, b ORDER BY date ROWS 62 PRECEDING)) SELECT a, b, date, ROUND(s, 6) AS s, ROUND(CASE WHEN n = 63 AND sd >= 1e-6 THEN (s - m) / sd END, 6) AS z FROM w""", ("date",))
 
 
 def _earnings(s, d):
@@ -71,9 +79,10 @@ wf AS (SELECT k.symbol, CAST(st / 63 AS INT) AS "window", MAX(date) FILTER (i =
 add("e19_walk_forward_windows", lambda s, d: risk.walk_forward_windows(bars(s, d)), _WF + " SELECT * FROM wf", ("train_start", "train_end", "test_start", "test_end"))
 add("c21_buy_and_hold", lambda s, d: risk.buy_and_hold(risk.walk_forward_windows(bars(s, d)), bars(s, d)),
     _WF + """ SELECT wf.symbol, wf."window", ROUND_EVEN(ARG_MAX(close, date) / ARG_MIN(close, date) - 1, 4) AS asset_return FROM wf JOIN bars b ON wf.symbol = b.symbol AND date BETWEEN test_start AND test_end GROUP BY 1, 2""")
-add("d20_monthly_returns", lambda s, d: risk.monthly_returns(bars(s, d)).select("symbol", "year", "m01", "m06", "m12"),
-    duck("bars") + """, l AS (SELECT symbol, YEAR(date) AS y, MONTH(date) AS m, ARG_MAX(close, date) AS v FROM bars GROUP BY 1, 2, 3), c AS (SELECT *, v / LAG(v) OVER (PARTITION BY symbol ORDER BY y, m) - 1 AS r FROM l)
-    SELECT symbol, CAST(y AS INT) AS year, ROUND(MAX(r) FILTER (m = 1), 6) AS m01, ROUND(MAX(r) FILTER (m = 6), 6) AS m06, ROUND(MAX(r) FILTER (m = 12), 6) AS m12 FROM c GROUP BY 1, 2""")
+_MONTHS = ", ".join(f"ROUND(MAX(r) FILTER (m = {m}), 6) AS m{m:02d}" for m in range(1, 13))
+add("d20_monthly_returns", lambda s, d: risk.monthly_returns(bars(s, d)),
+    duck("bars") + f""", l AS (SELECT symbol, YEAR(date) AS y, MONTH(date) AS m, ARG_MAX(close, date) AS v FROM bars GROUP BY 1, 2, 3), c AS (SELECT *, v / LAG(v) OVER (PARTITION BY symbol ORDER BY y, m) - 1 AS r FROM l)
+    SELECT symbol, CAST(y AS INT) AS year, {_MONTHS} FROM c GROUP BY 1, 2""")
 add("h07_dividend_net_edge", lambda s, d: bars(s, d).select("symbol", "date", risk.dividend_net_edge(0.005 + C("volume") / 1000, F.lit(9.0), C("high") / C("low") - 1).alias("edge")),
     duck("bars") + " SELECT symbol, date, ROUND((0.005 + volume / 1000) * 0.85 - 0.04 * 9 / 365 - 0.0009 - 0.5 * 1.645 * (high / low - 1) * SQRT(9.0::DOUBLE), 6) AS edge FROM bars", ("date",))
 add("h10_business_days", lambda s, d: bars(s, d).select("symbol", "date", weekdays_after(C("date"), F.date_add("date", C("volume").cast("int") % 20)).alias("n")),
