@@ -167,13 +167,15 @@ def _fit(idf: np.ndarray):
 def sampled(rows: DataFrame, sample: int) -> DataFrame:
     """rows: text, lang, h. Of each language those of smallest h.
 
-    A rank limit is taken in every task before rows meet, and only the cut of each language is joined back.
+    A threshold from each language's number of texts leaves little more than those to rank, at any number of tasks, and only the
+    cut of each language is joined back.
     """
-    distinct = rows.groupBy("lang", "h").agg(F.count("*").alias("n"))
-    langs = distinct.select("lang").distinct().count()
-    each = max(LEAST_EACH, sample // max(langs, 1))
+    sizes = materialize(rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")), "language-sizes")
+    each = max(LEAST_EACH, sample // max(sizes.count(), 1))
+    upto = F.least(F.lit(1.0), (1.3 * each + 200) / F.greatest("n", F.lit(1))) * 2.0**64 - 2.0**63
+    near = rows.join(sizes, "lang").where(F.col("h").cast("double") <= upto).select("lang", "h").distinct()
     nth = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    cuts = materialize(distinct.withColumn("k", nth).where(F.col("k") <= each).groupBy("lang").agg(F.max("h").alias("cut")), "language-cuts")
+    cuts = materialize(near.withColumn("k", nth).where(F.col("k") <= each).groupBy("lang").agg(F.max("h").alias("cut")), "language-cuts")
     return rows.join(cuts, "lang").where("h <= cut").dropDuplicates(["lang", "h"]).select("text", "lang", "h")
 
 
