@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, language_id, license_scan, line_dedup, mixing, near_dedup, packing, token_output, warc
+from . import alignment, ann, chat_format, exact_dedup, language_id, license_scan, line_dedup, mixing, near_dedup, packing, token_output, warc, whitening
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_token_output": token_output.op8_token_output,
         "op9_warc": warc.op9_warc,
         "op10_mixing": mixing.op10_mixing,
+        "op11_chat_format": chat_format.op11_chat_format,
+        "op12_alignment": alignment.op12_alignment,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op4_license_scan": license_scan.OP4_SQL, "op9_warc": warc.OP9_SQL, "op10_mixing": mixing.OP10_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op4_license_scan": license_scan.OP4_SQL, "op9_warc": warc.OP9_SQL, "op10_mixing": mixing.OP10_SQL, "op11_chat_format": chat_format.OP11_SQL}
