@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantpanel.functions.panel import wilson
+from quantpanel.sources.scratch import written
 
 MATERIAL = 0.0030
 MIN_DATES = 60
@@ -34,8 +36,13 @@ def base_rates(returns: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def labelled(signals: DataFrame, returns: DataFrame) -> DataFrame:
-    """Directional signals with their forward returns and labels; rows without a return are left out."""
-    rows = signals.where("action <> 'HOLD'").join(returns, ["symbol", "date"]).where("fwd IS NOT NULL")
+    """Directional signals with their forward returns and labels; rows without a return are left out. Signals that carry fwd_h columns need no join."""
+    rows = signals.where("action <> 'HOLD'")
+    own = [c for c in signals.columns if c.startswith("fwd_")]
+    if own:
+        rows = rows.select("*", F.inline(F.array(*(F.struct(F.lit(int(c[4:])).alias("horizon"), C(c).alias("fwd")) for c in own)))).drop(*own).where("fwd IS NOT NULL")
+    else:
+        rows = rows.join(returns, ["symbol", "date"]).where("fwd IS NOT NULL")
     return rows.withColumn("hit", success(C("action"), C("fwd")))
 
 
@@ -46,7 +53,7 @@ def agent_edge(signals: DataFrame, returns: DataFrame) -> DataFrame:
     agg = rows.groupBy("agent", "horizon").agg(
         F.count("*").alias("n"), F.countDistinct("date").alias("n_dates"), F.count_if(C("action") == "BUY").alias("n_buy"), F.count_if(C("action") == "SELL").alias("n_sell"), F.sum("hit").alias("hits")
     )
-    every = signals.select("agent").distinct().join(F.broadcast(base))
+    every = signals.select("agent").distinct().join(F.broadcast(base))  # a row per horizon
     out = every.join(agg, ["agent", "horizon"], "left").na.fill(0, ["n", "n_dates", "n_buy", "n_sell", "hits"])
     out = out.withColumn("hit", F.try_divide(C("hits"), C("n"))).withColumn("expected", F.try_divide(C("n_buy") * C("base_buy") + C("n_sell") * C("base_sell"), C("n")))
     low, high = wilson(C("hits"), C("n"))
@@ -97,34 +104,70 @@ def regime_excess(signals: DataFrame, returns: DataFrame, drawdowns: DataFrame,
     return own.join(F.broadcast(base), "bucket").select("agent", "bucket", "n", F.when(C("n") >= least, C("mean") - C("base")).alias("excess"))
 
 
-def block_starts(n: int, block: int, draws: int, seed: int) -> np.ndarray:
-    """(draws, n) row numbers: circular blocks whose starts come from integer mixing that any engine can repeat."""
-    per = -(-n // block)
-    b, k = np.arange(draws, dtype=np.uint64)[:, None], np.arange(per, dtype=np.uint64)[None, :]
-    x = b * np.uint64(0x9E3779B97F4A7C15) + k * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(seed)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
-    start = ((x ^ (x >> np.uint64(31))) % np.uint64(n)).astype(np.int64)
-    return ((start[:, :, None] + np.arange(block)[None, None, :]) % n).reshape(draws, -1)[:, :n]
+PRIME = 2147483647
+
+
+def drawn(draw, block, seed: int):
+    """A whole number under ``PRIME`` for a draw and a block (columns or arrays of long), by products of whole numbers that any engine repeats."""
+    x = (draw * 48271 + block * 69621 + seed) % PRIME
+    x = (x * 16807 + 12345) % PRIME
+    x = (x * x + 7) % PRIME
+    return (x * 48271 + 1) % PRIME
+
+
+DRAWS_A_TASK = 50
+
+
+def block_draws(series: DataFrame, by: list[str], block: Column, draws: int, seed: int, sums: dict[str, str]) -> DataFrame:
+    """Circular block bootstrap: (by.., draw, n, sums..) of ``draws`` resamples of each group of ``series`` (by.., date, columns to add up).
+
+    A resample is n rows in blocks of ``block`` rows whose starts are ``drawn``; the last block is cut to fit. A group is as long as the
+    calendar, so its running sums fit in an array, and a block's sum is a difference of two of them. Draws are dealt out in slices, each of
+    which carries the group's running sums once.
+    """
+    one = W.partitionBy(*by).orderBy("date")
+    rows = series.withColumn("i", F.row_number().over(one)).withColumns({k: F.sum(C(c).cast("double")).over(one.rowsBetween(W.unboundedPreceding, 0)) for k, c in sums.items()})
+    groups = rows.groupBy(*by).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("i", *sums))).alias("marks"))
+    groups = groups.select(*by, "n", block.cast("long").alias("block"), *(F.concat(F.array(F.lit(0.0)), C("marks")[k]).alias(f"{k}_upto") for k in sums))
+    slices = groups.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(DRAWS_A_TASK)))).repartition(*by, "slice")
+
+    def resample(n: pd.Series, width: pd.Series, first: pd.Series, *upto: pd.Series) -> pd.Series:
+        out = []
+        for size, wide, low, *sums_upto in zip(n, width, first, *upto):
+            draw, part = np.arange(low, min(low + DRAWS_A_TASK, draws)), np.arange(-(-size // wide))
+            start = drawn(draw[:, None], part[None, :], seed) % size
+            end = start + np.minimum(wide, size - part * wide)[None, :]
+            wraps = end > size
+            end = np.where(wraps, end - size, end)
+            found = [(u[end] - u[start] + np.where(wraps, u[size], 0.0)).sum(axis=1) for u in sums_upto]
+            out.append([(int(d), *map(float, f)) for d, *f in zip(draw, *found)])
+        return pd.Series(out)
+
+    resample.__annotations__ = {"n": pd.Series, "width": pd.Series, "first": pd.Series, "upto": pd.Series, "return": pd.Series}
+    made = F.pandas_udf(resample, f"array<struct<draw: int, {', '.join(f'{k}: double' for k in sums)}>>")
+    return slices.select(*by, "n", F.inline(made("n", "block", "slice", *(f"{k}_upto" for k in sums))))
+
+
+def mean_interval(series: DataFrame, value: str, by: list[str], block: int, draws: int = 2000, seed: int = 1, least: int = 30) -> DataFrame:
+    """Per group of a series (by.., date, ``value``): n, mean, the 95 % interval of the resampled mean and whether it leaves zero. Groups under ``least`` rows go."""
+    series = series.where(C(value).isNotNull())
+    boot = block_draws(series, by, F.lit(block), draws, seed, {"total": value}).where(C("n") >= least)
+    shares = F.percentile(C("total") / C("n"), F.array(F.lit(0.025), F.lit(0.975)))
+    bounds = boot.groupBy(*by).agg(shares.alias("q"))
+    out = series.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(bounds, by)
+    low, high = C("q")[0], C("q")[1]
+    return out.select(*by, "n", "mean", low.alias("low"), high.alias("high"), F.when(low > 0, "positive").when(high < 0, "negative").otherwise("none").alias("verdict"))
 
 
 def excess_intervals(signals: DataFrame, returns: DataFrame, draws: int = 2000, seed: int = 1) -> DataFrame:
-    """95 % circular block-bootstrap interval of the excess per (agent, horizon). Dates are summed first; a group is as long as the calendar."""
-    base = F.broadcast(base_rates(returns, signals))
-    rows = labelled(signals, returns).join(base, "horizon")
+    """95 % circular block-bootstrap interval of the excess per (agent, horizon), blocks of ``horizon`` dates. Dates are summed first; a group is as long as the calendar."""
+    rows = labelled(signals, returns).join(base_rates(returns, signals), "horizon")
     rows = rows.withColumn("expected", F.when(C("action") == "BUY", C("base_buy")).otherwise(C("base_sell")))
-    daily = rows.groupBy("agent", "horizon", "date").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"), F.sum("expected").alias("exp"))
-
-    def interval(key, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("date")
-        n, gap = g["n"].to_numpy(float), (g["hits"] - g["exp"]).to_numpy(float)
-        low = high = None
-        if len(g) >= 2:
-            stats = []
-            for part in np.array_split(np.arange(draws), max(1, draws * len(g) // 2_000_000)):
-                rows_ = block_starts(len(g), int(key[1]), draws, seed)[part]
-                stats.append(gap[rows_].sum(axis=1) / n[rows_].sum(axis=1))
-            low, high = np.percentile(np.concatenate(stats), [2.5, 97.5])
-        return pd.DataFrame({"agent": [key[0]], "horizon": [key[1]], "n_dates": [len(g)], "excess": [gap.sum() / n.sum()], "low": [low], "high": [high]})
-
-    out = daily.groupBy("agent", "horizon").applyInPandas(interval, "agent string, horizon int, n_dates long, excess double, low double, high double")
+    by = ["agent", "horizon"]
+    daily = rows.groupBy(*by, "date").agg(F.count("*").alias("n_rows"), (F.sum("hit") - F.sum("expected")).alias("gap"))
+    daily = written(daily.withColumn("gap", F.round("gap", 9)), "daily-gaps")  # a few rows a date
+    boot = block_draws(daily, by, C("horizon"), draws, seed, {"gap": "gap", "rows": "n_rows"})
+    bounds = boot.where("n >= 2").groupBy(*by).agg(F.percentile(C("gap") / C("rows"), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    out = daily.groupBy(*by).agg(F.count("*").alias("n_dates"), (F.sum("gap") / F.sum("n_rows")).alias("excess")).join(bounds, by, "left")
+    out = out.select(*by, "n_dates", "excess", C("q")[0].alias("low"), C("q")[1].alias("high"))
     return out.withColumn("verdict", verdict(C("n_dates"), C("low"), C("high")))

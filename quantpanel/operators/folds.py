@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 C = F.col
@@ -15,34 +17,115 @@ FIRST_BAR, COOLDOWN = 210, 20
 METRICS = "total_return double, annual_return double, sharpe double, max_drawdown double, n_trades long, win_rate double, win_rate_ref double"
 
 
-def risk_budget(plans: DataFrame, account: DataFrame, max_name: float = 0.20, net_cap: float = 1.0, cash_floor: float = 0.30, adv_share: float = 0.01, least: float = 0.25) -> DataFrame:
-    """plans (run_id, symbol, action, qty, price, confidence, adv) against account (run_id, netliq, cash, net_long).
-
-    SELLs pass first and free budget; BUYs follow by confidence, notional (both falling), symbol, each cut to what the name limit, the net-long
-    room, the cash floor and the average daily volume leave, in whole shares, or rejected under ``least`` of its size.
+# How much of the net-long room a regime leaves.
+REGIME_ROOM = {"bull_quiet": 1.00, "bull_volatile": 0.75, "sideways": 0.60, "bear": 0.35}
+PLAN_COLUMNS = {"strategy": "directional", "current_qty": 0.0}
+ACCOUNT_COLUMNS = {"regime": None, "sell_only": False}
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Shares of the net asset value: a name, net long, cash, gross of pairs and of trend; of the average daily volume; the least part of a plan worth trading."""
+
+    name: float = 0.20
+    net_long: float = 1.0
+    cash: float = 0.30
+    pairs: float = 0.30
+    trend: float = 0.60
+    volume: float = 0.01
+    least: float = 0.25
+
+
+class RunBudget:
+    """What is left of one run's budgets while its plans are taken in order."""
+
+    def __init__(self, limits: Limits, row):
+        self.limits, self.nav, self.cash, self.sell_only = limits, float(row.netliq), float(row.cash), bool(row.sell_only)
+        self.long = float(row.net_long) + float(row.planned_long)
+        self.gross = {"market_neutral": float(row.planned_pairs), "cta_trend": float(row.planned_trend)}
+        self.net_cap = limits.net_long * REGIME_ROOM.get(row.regime or "", 1.0)
+
+    def _enter_gross(self, kind: str, cap: float, notional: float) -> tuple[bool, str]:
+        if self.sell_only:
+            return False, "sell only"
+        if self.nav <= 0 or (self.gross[kind] + notional) / self.nav > cap:
+            return False, kind
+        self.gross[kind] += notional
+        return True, ""
+
+    def take(self, row) -> tuple[float, str, str]:
+        """(approved quantity, outcome, what binds)."""
+        qty, notional, kind = float(row.qty), float(row.notional), row.strategy
+        if row.action == "HOLD":
+            return qty, "approved", ""
+        closes = (row.action == "SELL" and row.current_qty > 0) or (row.action == "BUY" and row.current_qty < 0)
+        if kind == "cta_trend":  # opening a short is an entry too
+            if closes:
+                self.gross[kind] = max(0.0, self.gross[kind] - notional)
+                return qty, "approved", ""
+            ok, why = self._enter_gross(kind, self.limits.trend, notional)
+            return (qty, "approved", "") if ok else (0.0, "rejected", why)
+        if row.action == "SELL":
+            if kind == "market_neutral":  # legs fund each other
+                self.gross[kind] = max(0.0, self.gross[kind] - notional)
+            else:
+                self.long, self.cash = max(0.0, self.long - notional), self.cash + notional
+            return qty, "approved", ""
+        if kind == "market_neutral":
+            ok, why = self._enter_gross(kind, self.limits.pairs, notional)
+            return (qty, "approved", "") if ok else (0.0, "rejected", why)
+        if self.sell_only:
+            return 0.0, "rejected", "sell only"
+        rooms = [(self.limits.name * self.nav, "name"), (self.net_cap * self.nav - self.long, "net long"), (self.cash - self.limits.cash * self.nav, "cash")]
+        if row.adv > 0 and row.price > 0:
+            rooms.append((self.limits.volume * row.adv * row.price, "volume"))
+        allowed, why = min(rooms, key=lambda r: r[0])
+        if allowed <= 0:
+            return 0.0, "rejected", why
+        outcome = "approved"
+        if notional > allowed:
+            qty = float(allowed // row.price) if row.price > 0 else 0.0
+            if qty < 1 or qty * row.price < self.limits.least * notional:
+                return 0.0, "rejected", why
+            outcome, notional = "trimmed", qty * row.price
+        self.long, self.cash = self.long + notional, self.cash - notional
+        return qty, outcome, why if outcome == "trimmed" else ""
+
+
+def risk_budget(plans: DataFrame, account: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """plans (run_id, symbol, action, qty, price, confidence, adv, and where there are ``strategy`` and ``current_qty``) against
+    account (run_id, netliq, cash, net_long of positions without a plan, and where there are ``regime`` and ``sell_only``).
+
+    What frees budget (SELL, HOLD, an order toward zero) passes first; the rest follow by confidence, notional (both falling), symbol. Directional
+    buys are cut to what the name, the net-long room of the regime, the cash floor and the volume leave, in whole shares, or rejected under ``least`` of
+    their size. Pairs (market_neutral) and trend (cta_trend) plans have gross caps of their own and leave the other budgets alone. ``sell_only``
+    rejects every entry. Runs are sorted and taken row by row, so memory does not follow the size of a run.
     """
-
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
-        nav, cash, room = (float(g[c].iloc[0]) for c in ("netliq", "cash", "net_long"))
-        room = net_cap * nav - room
-        g = g.assign(notional=g["qty"] * g["price"], first=(g["action"] != "SELL").astype(int)).sort_values(["first", "confidence", "notional", "symbol"], ascending=[True, False, False, True])
-        out = []
-        for r in g.itertuples():
-            if r.action == "SELL":
-                cash, room = cash + r.notional, room + r.notional
-                out.append((r.run_id, r.symbol, r.action, float(r.qty), "approved"))
-                continue
-            allowed = min(max_name * nav, room, cash - cash_floor * nav, adv_share * r.adv * r.price)
-            qty = int(min(r.notional, allowed) / r.price) if allowed > 0 and r.price > 0 else 0
-            if qty < 1 or qty * r.price < least * r.notional:
-                out.append((r.run_id, r.symbol, r.action, 0.0, "rejected"))
-                continue
-            cash, room = cash - qty * r.price, room - qty * r.price
-            out.append((r.run_id, r.symbol, r.action, float(qty), "approved" if qty == int(r.qty) else "trimmed"))
-        return pd.DataFrame(out, columns=["run_id", "symbol", "action", "approved_qty", "outcome"])
-
-    rows = plans.join(F.broadcast(account), "run_id")
-    return rows.groupBy("run_id").applyInPandas(run, "run_id string, symbol string, action string, approved_qty double, outcome string")
+    for name, value in PLAN_COLUMNS.items():
+        plans = plans if name in plans.columns else plans.withColumn(name, F.lit(value))
+    for name, value in ACCOUNT_COLUMNS.items():
+        account = account if name in account.columns else account.withColumn(name, F.lit(value).cast("string" if value is None else "boolean"))
+    signed = F.when(C("action") == "BUY", C("qty")).when(C("action") == "SELL", -C("qty")).otherwise(0.0)
+    frees = C("action").isin("SELL", "HOLD") | (F.abs(C("current_qty") + signed) < F.abs("current_qty") - 1e-9)
+    run, held = W.partitionBy("run_id"), F.abs("current_qty") * C("price")
+    total = lambda kind: F.sum(F.when(kind, held).otherwise(0.0)).over(run)
+    rows = plans.repartition("run_id").withColumns({
+        "notional": C("qty") * C("price"), "frees": frees, "planned_pairs": total(C("strategy") == "market_neutral"), "planned_trend": total(C("strategy") == "cta_trend"),
+        "planned_long": total(~C("strategy").isin("market_neutral", "cta_trend") & (C("current_qty") > 0)),
+    })
+    rows = rows.join(account, "run_id").sortWithinPartitions("run_id", F.desc("frees"), F.desc("confidence"), F.desc("notional"), "symbol", "action")
+
+    def walk(batches):
+        run_id, budget = None, None
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                if budget is None or r.run_id != run_id:
+                    run_id, budget = r.run_id, RunBudget(limits, r)
+                out.append((r.run_id, r.symbol, r.strategy, r.action, *budget.take(r)))
+            yield pd.DataFrame(out, columns=["run_id", "symbol", "strategy", "action", "approved_qty", "outcome", "reason"])
+
+    return rows.mapInPandas(walk, "run_id string, symbol string, strategy string, action string, approved_qty double, outcome string, reason string")
 
 
 def correlation_veto(buys: DataFrame, held: DataFrame, corr: DataFrame, limit: float = 0.70) -> DataFrame:
@@ -65,6 +148,13 @@ def correlation_veto(buys: DataFrame, held: DataFrame, corr: DataFrame, limit: f
     return rows.groupBy("run_id").applyInPandas(run, "run_id string, symbol string, approved boolean")
 
 
+def wanted_pairs(buys: DataFrame, held: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs whose correlation a run asks for, a bought name with a held or another bought one; distinct within runs before runs are put together."""
+    names = buys.select("run_id", "symbol").union(held.select("run_id", "symbol")).distinct()
+    both = buys.select("run_id", C("symbol").alias("x")).distinct().join(names.withColumnRenamed("symbol", "y"), "run_id")
+    return both.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def simulate(close: np.ndarray, action: np.ndarray, confidence: np.ndarray, regime: np.ndarray, first: int = FIRST_BAR) -> tuple[np.ndarray, list[tuple[str, float]]]:
     """(equity per bar from ``first``, trades): BUY when flat, SELL when held, each after the cooldown; a bull market keeps what is not sold surely."""
     cash, qty, last, equity, done = 100_000.0, 0, -COOLDOWN, [], []

@@ -33,10 +33,12 @@ def parsed_times(rows: DataFrame, column: str, by: str) -> tuple[DataFrame, Data
     return read.where(C(column).isNotNull()), read.where(C(column).isNull()).groupBy(by).agg(F.count("*").alias("n_dropped"))
 
 
-def degraded_runs(responses: DataFrame, n_agents: int, ratio: float = 0.6) -> DataFrame:
-    """responses (plan_id, agent): a run is degraded when fewer than ceil(n_agents * ratio) agents answered."""
-    rows = responses.groupBy("plan_id").agg(F.countDistinct("agent").alias("responders"))
-    return rows.withColumn("degraded", C("responders") < F.ceil(F.lit(n_agents * ratio)))
+def degraded_runs(responses: DataFrame, n_agents: int, ratio: float = 0.5, runs: DataFrame | None = None, key: tuple[str, ...] = ("plan_id",)) -> DataFrame:
+    """responses (key.., agent): a run is degraded when fewer than ceil(n_agents * ratio) agents, and at least one, answered. ``runs`` (key..) lists those without an answer too."""
+    rows = responses.groupBy(*key).agg(F.countDistinct("agent").alias("responders"))
+    if runs is not None:
+        rows = runs.select(*key).distinct().join(rows, list(key), "left").na.fill(0, ["responders"])
+    return rows.withColumn("degraded", C("responders") < F.greatest(F.lit(1), F.ceil(F.lit(n_agents * ratio))))
 
 
 def failure_summary(failures: DataFrame) -> DataFrame:
@@ -124,8 +126,9 @@ def dedup_across_tickers(news: DataFrame) -> DataFrame:
     """Of equal fingerprints the newest; a later one in the walk that names its own ticker replaces a keeper whose ticker it does not name."""
     rows = news.withColumn("fingerprint", headline_hash(C("headline")))
     item = F.struct(C("age_minutes").alias("age"), C("ordinal").alias("ordinal"), C("ticker").alias("ticker"), C("headline").alias("headline"))
-    walk = rows.groupBy("fingerprint").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    fold = "aggregate(slice(items, 2, size(items)), items[0], (e, i) -> if(not contains(upper(i.headline), upper(e.ticker)) and contains(upper(i.headline), upper(i.ticker)), i, e))"
+    named = F.contains(F.upper("headline"), F.upper("ticker"))  # others can never replace a keeper
+    walk = rows.groupBy("fingerprint").agg(F.min(item).alias("newest"), F.array_sort(F.collect_list(F.when(named, item))).alias("items"))
+    fold = "aggregate(items, newest, (e, i) -> if(contains(upper(i.headline), upper(e.ticker)), e, i))"
     return walk.select("fingerprint", F.expr(fold).alias("k")).select("fingerprint", "k.ordinal", "k.ticker", "k.headline")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quantpanel.functions.asof import last_before, points_inside
+
 C = F.col
 STALE_DAYS = 730
 
@@ -58,20 +60,24 @@ def accruals(facts: DataFrame) -> DataFrame:
 def accruals_on(panel: DataFrame, dates: DataFrame, stale_days: int = STALE_DAYS) -> DataFrame:
     """For each ranking date the ticker's latest visible period; then those too stale go.
 
-    A ticker's rows become validity intervals (until a later period is available), so each date meets one interval a ticker.
+    A ticker's rows become validity intervals that do not overlap: until a later period is available, or the row is stale.
     """
     w = W.partitionBy("ticker").orderBy("available", "period_end")
     newest = panel.withColumn("best", F.max("period_end").over(w.rowsBetween(W.unboundedPreceding, -1)))
-    newest = newest.where("best IS NULL OR period_end > best").withColumn("until", F.lead("available").over(w))
-    hit = newest.join(F.broadcast(dates), (C("date") >= C("available")) & (C("until").isNull() | (C("date") < C("until"))))
-    return hit.where(F.datediff("date", "period_end") <= stale_days).select("date", "ticker", "period_end", "accruals")
+    newest = newest.where("best IS NULL OR period_end > best").withColumn("until", F.least(F.lead("available").over(w), F.date_add("period_end", stale_days + 1)))
+    return points_inside(newest, dates, "available", "until", "date").select("date", "ticker", "period_end", "accruals")
 
 
 def members_on(bars: DataFrame, membership: DataFrame) -> DataFrame:
-    """Bars whose symbol belongs to the most recent membership snapshot on or before the date. Snapshots are few; the dates' intervals are broadcast."""
+    """Bars whose symbol belongs to the most recent membership snapshot on or before the date.
+
+    A bar meets the newest snapshot of its own symbol by one sort, and stays while no later snapshot (of any symbol) has come. The snapshots'
+    dates, at most one a calendar day, are put in order in one task.
+    """
     snaps = membership.select("as_of").distinct().withColumn("until", F.lead("as_of").over(W.orderBy("as_of")))
-    held = membership.join(F.broadcast(snaps), "as_of").select(C("ticker").alias("symbol"), "as_of", "until")
-    return bars.join(held, "symbol").where("date >= as_of AND (until IS NULL OR date < until)").drop("until")
+    held = membership.select(C("ticker").alias("symbol"), "as_of").distinct().join(snaps, "as_of").withColumn("date", C("as_of"))
+    seen = last_before(bars, held, "symbol", "date", F.struct("as_of", "until"), "_snap")
+    return seen.where("_snap IS NOT NULL AND (_snap.until IS NULL OR date < _snap.until)").select("*", "_snap.as_of").drop("_snap")
 
 
 def ever_members(membership: DataFrame, start: str, end: str) -> DataFrame:

@@ -50,11 +50,17 @@ def crosstab(rows: DataFrame) -> DataFrame:
 
 
 def aligned_portfolio(curves: DataFrame, by: str = "symbol", book: str = "book") -> DataFrame:
-    """(book, date) -> sum of the book's curves, each carried forward from its first value."""
-    grid = curves.select(book, "date").distinct().join(curves.select(book, by).distinct(), book)
-    rows = grid.join(curves, [book, "date", by], "left")
-    held = F.last("close", ignorenulls=True).over(W.partitionBy(book, by).orderBy("date"))
-    return rows.withColumn("v", held).groupBy(book, "date").agg(F.sum("v").alias("value"), F.count("v").alias("n"))
+    """(book, date) -> sum of the book's curves, each carried forward from its first value, and the number of curves that have begun.
+
+    A curve adds its change on its own dates, so the sum is a running total of the book's daily changes and no grid of dates and curves is made.
+    """
+    before = F.last("close", ignorenulls=True).over(W.partitionBy(book, by).orderBy("date").rowsBetween(W.unboundedPreceding, -1))
+    rows = curves.withColumn("before", before)
+    change = F.when(C("close").isNotNull(), C("close") - F.coalesce("before", F.lit(0.0))).otherwise(0.0)
+    daily = rows.groupBy(book, "date").agg(F.sum(change).alias("change"), F.count_if(C("close").isNotNull() & C("before").isNull()).alias("begun"))
+    upto = W.partitionBy(book).orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    n = F.sum("begun").over(upto)
+    return daily.select(book, "date", F.when(n > 0, F.sum("change").over(upto)).alias("value"), n.alias("n"))
 
 
 def entry_book(plans: DataFrame) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantpanel.functions.panel import by_symbol, clip, true, weekdays_after
+from quantpanel.sources.scratch import written
 
 C = F.col
 
@@ -23,27 +26,73 @@ def tail_closes(bars: DataFrame, n: int) -> DataFrame:
 
 
 def historical_var(bars: DataFrame, positions: DataFrame, days: int = 253, least: int = 21) -> DataFrame:
-    """Per book VaR at 95 and 99 % and CVaR at 99 % of its long positions (book, symbol, qty) from the dates that all of them share, also as a share of their value."""
+    """Per book VaR at 95 and 99 % and CVaR at 99 % of its long positions (book, symbol, qty) from the dates that all of them share, also as a share of their value.
+
+    The positions' closes are written once with what their book needs; a book's rows are never brought together whole but in daily sums.
+    """
     one = W.partitionBy("book", "symbol").orderBy("date")
-    rows = tail_closes(bars, days).join(positions.where("qty > 0"), "symbol")
-    enough = rows.groupBy("book", "symbol").agg(F.count("*").alias("n"), F.max_by("close", "date").alias("last"), F.first("qty").alias("qty")).where(C("n") >= least)
-    rows = rows.drop("qty").join(enough, ["book", "symbol"])
-    books = enough.groupBy("book").agg(F.count("*").alias("n_symbols"), F.sum(C("qty") * C("last")).alias("value"))
-    shared = rows.groupBy("book", "date").agg(F.count("*").alias("k")).join(books, "book").where("k = n_symbols").select("book", "date")
-    rows = rows.join(shared, ["book", "date"]).withColumn("ret", C("close") / F.lag("close", 1).over(one) - 1)
-    pnl = rows.where("ret IS NOT NULL").groupBy("book", "date").agg(F.sum(C("ret") * C("qty") * C("last")).alias("pnl"))
+    whole = W.partitionBy("book", "symbol")
+    rows = tail_closes(bars, days).join(positions.where("qty > 0"), "symbol").select("book", "symbol", "date", "close", "qty")
+    rows = rows.withColumns({"n": F.count("*").over(whole), "last": F.max_by("close", "date").over(whole), "first": F.row_number().over(one) == 1}).where(C("n") >= least)
+    rows = written(rows, "book-closes")
+    books = rows.where("first").groupBy("book").agg(F.count("*").alias("n_symbols"), F.sum(C("qty") * C("last")).alias("value"))
+    shared = rows.withColumn("k", F.count("*").over(W.partitionBy("book", "date"))).join(books.select("book", "n_symbols"), "book").where("k = n_symbols")
+    shared = shared.withColumn("ret", C("close") / F.lag("close", 1).over(one) - 1)
+    pnl = written(shared.where("ret IS NOT NULL").groupBy("book", "date").agg(F.sum(C("ret") * C("qty") * C("last")).alias("pnl")), "book-pnl")
     cut = pnl.groupBy("book").agg(F.percentile("pnl", F.array(F.lit(0.05), F.lit(0.01))).alias("q"), F.count("*").alias("n_days"))
     tail = pnl.join(cut, "book").groupBy("book").agg(F.first("n_days").alias("n_days"), -F.first("q")[0].alias("var95"), -F.first("q")[1].alias("var99"), -F.avg(F.when(C("pnl") <= C("q")[1], C("pnl"))).alias("cvar99"))
     tail = tail.toDF("book", "n_days", "var95", "var99", "cvar99").join(books.select("book", "value"), "book")
     return tail.withColumn("var99_pct", C("var99") / C("value"))
 
 
-def correlations(bars: DataFrame, days: int = 60, least: int = 20) -> DataFrame:
-    """(a, b, corr), a < b, of the last ``days`` rows' returns on the dates that a pair shares, ``least`` of them."""
-    rows = daily_returns(tail_closes(bars, days + 1)).where("ret IS NOT NULL").select("symbol", "date", "ret")
-    other = rows.select(C("symbol").alias("b"), "date", C("ret").alias("ret_b"))
-    pairs = rows.withColumnRenamed("symbol", "a").join(other, "date").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("ret", "ret_b").alias("corr")).where(C("n") >= least)
+def _recent_returns(bars: DataFrame, days: int) -> DataFrame:
+    return daily_returns(tail_closes(bars, days + 1)).where("ret IS NOT NULL").select("symbol", "date", "ret")
+
+
+def _block_moments(least: int):
+    """Moments of all pairs of two blocks of symbols, by matrix products over their dates; a missing date weighs nothing."""
+
+    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+        wide = g.pivot_table(index="date", columns="symbol", values="ret", aggfunc="first")
+        names, block = wide.columns.to_numpy(), g.drop_duplicates("symbol").set_index("symbol")["block"].reindex(wide.columns).to_numpy()
+        x = wide.to_numpy(float)
+        x = x - np.nanmean(x, axis=0)  # moments lose no digits about the mean
+        have = np.isfinite(x).astype(float)
+        x = np.where(have > 0, x, 0.0)
+        a, b = np.flatnonzero(block == key[0]), np.flatnonzero(block == key[1])
+        xa, xb, ha, hb = x[:, a], x[:, b], have[:, a], have[:, b]
+        n, sa, sb, saa, sbb, sab = ha.T @ hb, xa.T @ hb, ha.T @ xb, (xa * xa).T @ hb, ha.T @ (xb * xb), xa.T @ xb
+        with np.errstate(divide="ignore", invalid="ignore"):
+            va, vb = saa - sa * sa / n, sbb - sb * sb / n
+            corr = np.where((va > 1e-20) & (vb > 1e-20), (sab - sa * sb / n) / np.sqrt(va * vb), np.nan)
+        i, j = np.nonzero(n >= least)
+        if key[0] == key[1]:
+            i, j = i[i < j], j[i < j]
+        first, second = names[a[i]], names[b[j]]
+        turned = first > second
+        return pd.DataFrame({"a": np.where(turned, second, first), "b": np.where(turned, first, second), "n": n[i, j].astype(np.int64), "corr": np.clip(corr[i, j], -1, 1)})
+
+    return run
+
+
+def correlations(bars: DataFrame, days: int = 60, least: int = 20, blocks: int = 8) -> DataFrame:
+    """(a, b, n, corr), a < b, of the last ``days`` rows' returns on the dates that a pair shares, ``least`` of them, for all pairs.
+
+    Symbols are dealt to ``blocks``; two blocks meet in one group of at most (days + 1) x two blocks of returns, so a return travels ``blocks``
+    times and not once a partner. Choose about one block for every 250 symbols.
+    """
+    rows = _recent_returns(bars, days).withColumn("block", F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int"))
+    both = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    both = both.select(F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "symbol", "date", "ret", "block")
+    return both.groupBy("p", "q").applyInPandas(_block_moments(least), "a string, b string, n long, corr double")
+
+
+def pair_correlations(bars: DataFrame, pairs: DataFrame, days: int = 60, least: int = 20) -> DataFrame:
+    """``correlations`` of the wanted pairs (a, b) alone."""
+    rows = _recent_returns(bars, days)
+    both = rows.withColumnsRenamed({"symbol": "a", "ret": "ra"}).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "a")
+    both = both.join(rows.withColumnsRenamed({"symbol": "b", "ret": "rb"}), ["b", "date"])
+    return both.groupBy("a", "b").agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb")).alias("corr")).where(C("n") >= least)
 
 
 def spread_stats(bars: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -69,10 +118,14 @@ def spread_zscore(bars: DataFrame, pairs: DataFrame, n: int = 63) -> DataFrame:
 
 
 def earnings_blackout(buys: DataFrame, earnings: DataFrame, days: int = 3) -> DataFrame:
-    """BUY rows (symbol, date) with an earnings date 0 to ``days`` business days ahead; one on the weekend just before blocks too."""
-    near = buys.join(earnings, "symbol").where("earnings_date BETWEEN date_sub(date, 2) AND date_add(date, 7)")
+    """BUY rows (symbol, date) with an earnings date 0 to ``days`` business days ahead; one on the weekend just before blocks too.
+
+    An earnings date stands for the few dates that it can block, so buys meet them by equality.
+    """
+    reach = days + 2 * -(-days // 5) + 2
+    near = earnings.where("earnings_date IS NOT NULL").select("symbol", "earnings_date", F.explode(F.sequence(F.date_sub("earnings_date", reach), F.date_add("earnings_date", 2))).alias("date"))
     ahead = F.when(C("earnings_date") >= C("date"), weekdays_after(C("date"), C("earnings_date"))).otherwise(-weekdays_after(C("earnings_date"), C("date")))
-    return near.where(ahead.between(0, days)).select("symbol", "date").distinct()
+    return buys.select("symbol", "date").distinct().join(near.where(ahead.between(0, days)), ["symbol", "date"], "left_semi")
 
 
 def next_open_fills(orders: DataFrame, bars: DataFrame) -> DataFrame:
@@ -133,7 +186,7 @@ def sharpe_variants(curve: DataFrame, by: str = "symbol", rf: float = 0.04, look
 def blended_best(backtest: DataFrame, live: DataFrame, full: int = 20) -> DataFrame:
     """backtest (agent, symbol, sharpe), live (agent, symbol, live, n): blended by trades so far, and the best agent of each symbol (ties: first name)."""
     mixed = F.when(C("live").isNull(), C("sharpe")).otherwise(kelly_blend(C("live"), C("sharpe"), C("n"), full))
-    rows = backtest.join(live, ["agent", "symbol"], "left").withColumn("blended", F.round(mixed, 4))
+    rows = backtest.join(live, ["agent", "symbol"], "left").withColumn("blended", F.round(F.round(mixed, 9), 4))
     best = F.first("agent").over(W.partitionBy("symbol").orderBy(F.desc("blended"), "agent"))
     return rows.withColumn("best", best)
 
@@ -146,12 +199,32 @@ def daily_return(change: Column, days: Column) -> Column:
     return F.pow(1 + change, 1 / F.greatest(F.lit(1.0), days)) - 1
 
 
-def pair_signals(bars: DataFrame, pairs: DataFrame, window: int = 63) -> DataFrame:
-    """pairs (a, b, beta, extra) by the z-score of their spread: entry beyond 2, exit under .5, stop beyond 3.5. The legs are opposite."""
+def pair_signals(bars: DataFrame, pairs: DataFrame, window: int = 63, entry: float = 2.0, exit: float = 0.5, stop: float = 3.5) -> DataFrame:
+    """pairs (a, b, beta, extra, and ``active_until``: the last date on which the pair is cointegrated, null: still) by the z-score of their spread.
+
+    A flat pair enters beyond ``entry``, however far; a held one is closed when the pair breaks (BREAK), beyond ``stop`` (STOP) and under
+    ``exit`` (EXIT), and else waits. Whether a pair is held follows from the rows before: one under ``exit`` or after the break leaves it
+    flat, one between ``entry`` and ``stop`` held, one beyond ``stop`` turns it, any other keeps it. So it is held if the last settling row says
+    so, turned by the count of stops since. The side is that of the row that opened the episode; the legs are opposite. Rows without a
+    z-score are left out and change nothing.
+    """
+    pairs = pairs if "active_until" in pairs.columns else pairs.withColumn("active_until", F.lit(None).cast("date"))
     rows = spread_zscore(bars, pairs, window).where("z IS NOT NULL")
-    size = F.abs("z")
-    action = F.when(size > 3.5, "STOP").when(size > 2, "ENTER").when(size < 0.5, "EXIT").otherwise("HOLD")
-    sure = F.least(F.lit(0.93), F.least(F.lit(0.90), 0.60 + 0.1 * (size - 2)) + 0.03 * C("extra"))
-    rows = rows.withColumn("action", action).withColumn("confidence", F.when(C("action") == "ENTER", sure).otherwise(0.0))
-    side = F.when(C("action") == "ENTER", F.when(C("z") > 0, "SELL").otherwise("BUY"))
-    return rows.withColumn("side_a", side).withColumn("side_b", F.when(side == "SELL", "BUY").when(side == "BUY", "SELL")).select("a", "b", "date", "z", "action", "confidence", "side_a", "side_b")
+    order = W.partitionBy("a", "b").orderBy("date")
+    upto, size = order.rowsBetween(W.unboundedPreceding, 0), F.abs("z")
+    broken = true(C("date") > C("active_until"))
+    settles = F.when(broken | (size < exit), 0).when((size > entry) & (size <= stop), 1)
+    turns = (~broken & (size > stop)).cast("int")
+    rows = rows.withColumns({"broken": broken, "settles": settles, "turns": F.sum(turns).over(upto)})
+    rows = rows.withColumn("settled", F.last(F.when(C("settles").isNotNull(), F.struct("settles", "turns")), ignorenulls=True).over(upto))
+    after = (F.coalesce(C("settled.settles"), F.lit(0)) + C("turns") - F.coalesce(C("settled.turns"), F.lit(0))) % 2 == 1
+    rows = rows.withColumn("after", after).withColumn("held", F.coalesce(F.lag("after").over(order), F.lit(False)))
+    opened = F.when(C("after") & ~C("held"), F.when(C("z") > 0, "SELL").otherwise("BUY"))
+    rows = rows.withColumn("side", F.last(opened, ignorenulls=True).over(upto))
+    leaves = F.when(C("broken"), "BREAK").when(size > stop, "STOP").when(size < exit, "EXIT").otherwise("HOLD")
+    action = F.when(C("held"), leaves).when(C("after"), "ENTER").otherwise("HOLD")
+    sure = F.round(F.least(F.lit(0.93), F.least(F.lit(0.90), 0.60 + 0.1 * (size - entry)) + 0.03 * C("extra")), 3)
+    rows = rows.withColumn("action", action)
+    rows = rows.withColumn("confidence", F.when(C("action") == "ENTER", sure).when(C("action") == "BREAK", 0.99).when(C("action") == "STOP", 0.98).when(C("action") == "EXIT", 0.90).otherwise(0.0))
+    side = F.when(C("held") | C("after"), C("side"))
+    return rows.withColumn("side_a", side).withColumn("side_b", F.when(side == "SELL", "BUY").when(side == "BUY", "SELL")).select("a", "b", "date", "z", "held", "action", "confidence", "side_a", "side_b")

@@ -7,8 +7,12 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quantpanel.operators.risk import tail_closes
+from quantpanel.sources.scratch import written
+
 C = F.col
 MIN_ROWS = 60
 # MacKinnon (2010) response surface, two variables with a constant, 5 % and 10 % (c0 + c1/T + c2/T^2).
@@ -55,18 +59,64 @@ def newey_west(y: np.ndarray, x: np.ndarray) -> dict:
     return {"beta": beta, "t": tv, "p": [math.erfc(abs(v) / math.sqrt(2)) for v in tv], "r2": r2, "adj_r2": 1 - (1 - r2) * (t - 1) / max(t - k, 1), "resid_vol": sd * math.sqrt(252), "n": t}
 
 
-def factor_regressions(returns: DataFrame, factors: DataFrame, names: list[str], by: str = "agent") -> DataFrame:
-    """returns (by, date, ret) on factors (date, names…, rf): alpha and betas, long by term. Groups under 60 rows or 60 distinct returns are refused."""
-    rows = returns.join(F.broadcast(factors), "date").select(by, "date", (C("ret") - C("rf")).alias("y"), *names).na.drop()
+#: Lags of a series of up to a million dates.
+MOST_LAGS = 31
+
+
+def regression_rows(returns: DataFrame, factors: DataFrame, names: list[str], by: str = "agent") -> DataFrame:
+    """(by, date, y, x): excess returns and the regressors, a constant first."""
+    rows = returns.join(factors, "date").select(by, "date", (C("ret") - C("rf")).alias("y"), *names).na.drop()
+    return rows.select(by, "date", "y", F.array(F.lit(1.0), *(C(n).cast("double") for n in names)).alias("x"))
 
-    def fit(key, g: pd.DataFrame) -> pd.DataFrame:
-        if len(g) < MIN_ROWS or g["y"].round(12).nunique() < MIN_ROWS:
-            return pd.DataFrame(columns=[by, "term", "coef", "t", "p", "r2", "adj_r2", "resid_vol", "n"])
-        g = g.sort_values("date")
-        r = newey_west(g["y"].to_numpy(), np.column_stack([np.ones(len(g)), g[names].to_numpy()]))
-        return pd.DataFrame({by: key[0], "term": ["alpha", *names], "coef": r["beta"], "t": r["t"], "p": r["p"], "r2": r["r2"], "adj_r2": r["adj_r2"], "resid_vol": r["resid_vol"], "n": r["n"]})
 
-    return rows.groupBy(by).applyInPandas(fit, f"{by} string, term string, coef double, t double, p double, r2 double, adj_r2 double, resid_vol double, n long")
+def regression_moments(rows: DataFrame, k: int, by: str = "agent") -> DataFrame:
+    """Per group of ``regression_rows``: n, distinct returns, mean and square sum of y, and the normal equations xx (k x k, by rows) and xy."""
+    xx = F.array(*(F.sum(C("x")[i] * C("x")[j]) for i in range(k) for j in range(k)))
+    xy = F.array(*(F.sum(C("x")[i] * C("y")) for i in range(k)))
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.countDistinct(F.round("y", 12)).alias("n_distinct"), F.avg("y").alias("mean"), (F.var_pop("y") * F.count("*")).alias("total"), xx.alias("xx"), xy.alias("xy"))
+
+
+def factor_regressions(returns: DataFrame, factors: DataFrame, names: list[str], by: str = "agent") -> DataFrame:
+    """returns (by, date, ret) on factors (date, names.., rf): alpha and betas with Newey-West errors, long by term. Groups under 60 rows or 60 distinct returns are refused.
+
+    The normal equations are sums over a group. Residuals then meet their own past within a window of ``MOST_LAGS`` rows, weighted by the
+    triangle of the group's number of lags, and sums again make the covariance of the scores. Only k x k figures of a group are solved in numpy.
+    """
+    k, solved = len(names) + 1, "beta array<double>, inverse array<double>"
+    rows = written(regression_rows(returns, factors, names, by), "regression-rows")
+    moments = regression_moments(rows, k, by).where((C("n") >= MIN_ROWS) & (C("n_distinct") >= MIN_ROWS))
+
+    @F.pandas_udf(solved)
+    def solve(xx: pd.Series, xy: pd.Series) -> pd.DataFrame:
+        inverses = [np.linalg.pinv(np.array(a, float).reshape(k, k)) for a in xx]
+        return pd.DataFrame({"beta": [i @ np.array(b, float) for i, b in zip(inverses, xy)], "inverse": [i.ravel() for i in inverses]})
+
+    fits = moments.withColumn("fit", solve("xx", "xy")).withColumn("lags", F.greatest(F.lit(1), F.floor(4 * F.pow(C("n") / 100, F.lit(2 / 9))).cast("int"))).select(by, "n", "total", "lags", "fit.*")
+    dot = sum((C("x")[i] * C("beta")[i] for i in range(k)), F.lit(0.0))
+    scores = rows.join(fits.select(by, "beta", "lags"), by).withColumn("e", C("y") - dot).select(by, "date", "e", "lags", F.transform("x", lambda v: v * C("e")).alias("u"))
+    past = F.reverse(F.collect_list("u").over(W.partitionBy(by).orderBy("date").rowsBetween(-MOST_LAGS, -1)))
+    scores = scores.withColumn("past", past).withColumn("past", F.slice("past", F.lit(1), C("lags")))
+    triangle = lambda j: F.transform("past", lambda u, l: u[j] * (1 - (l + 1) / (C("lags") + 1)))
+    weighted = [F.aggregate(triangle(j), F.lit(0.0), lambda a, v: a + v) for j in range(k)]
+    scores = scores.withColumn("v", F.array(*weighted))
+    sums = lambda a: F.array(*(F.sum(C("u")[i] * C(a)[j]) for i in range(k) for j in range(k)))
+    errors = scores.groupBy(by).agg(sums("u").alias("own"), sums("v").alias("lagged"), F.sum(C("e") * C("e")).alias("sse"), F.avg("e").alias("e_mean"))
+
+    @F.pandas_udf("array<struct<term: string, coef: double, t: double, p: double>>")
+    def judge(beta: pd.Series, inverse: pd.Series, own: pd.Series, lagged: pd.Series) -> pd.Series:
+        out = []
+        for b, i, o, m in zip(beta, inverse, own, lagged):
+            i, o, m = (np.array(a, float).reshape(k, k) for a in (i, o, m))
+            se = np.sqrt(np.maximum(np.diag(i @ (o + m + m.T) @ i), 0))
+            t = np.divide(b, se, out=np.zeros(k), where=se > 0)
+            out.append([{"term": n, "coef": float(c), "t": float(v), "p": math.erfc(abs(v) / math.sqrt(2))} for n, c, v in zip(["alpha", *names], b, t)])
+        return pd.Series(out)
+
+    both = fits.join(errors, by)
+    r2 = F.when(C("total") > 0, 1 - C("sse") / C("total")).otherwise(0.0)
+    spread = F.sqrt((C("sse") - C("n") * C("e_mean") * C("e_mean")) / (C("n") - k)) * math.sqrt(252)
+    both = both.select(by, "n", r2.alias("r2"), (1 - (1 - r2) * (C("n") - 1) / F.greatest(C("n") - k, F.lit(1))).alias("adj_r2"), spread.alias("resid_vol"), F.explode(judge("beta", "inverse", "own", "lagged")).alias("f"))
+    return both.select(by, "f.term", "f.coef", "f.t", "f.p", "r2", "adj_r2", "resid_vol", "n")
 
 
 def factor_verdict(fits: DataFrame, by: str = "agent") -> DataFrame:
@@ -113,10 +163,30 @@ def critical_value(level: int, t: int) -> float:
     return c[0] + c[1] / t + c[2] / t**2
 
 
+def sketch_candidates(bars: DataFrame, groups: DataFrame, days: int = 504, bits: int = 128, band: int = 8, seed: int = 5) -> DataFrame:
+    """(a, b), a < b: pairs of a group (symbol, sector) whose last log prices move alike, by banded sign sketches.
+
+    Bit k of a symbol is the sign of its centred log prices summed with a plus or minus drawn for (k, date), so two symbols agree on a
+    bit with odds 1 - angle / pi. Symbols that share ``band`` bits in a row are candidates: what moves together meets in some band, what does not
+    seldom does, and no symbol is set against all others. A cointegrated pair with a positive ratio moves together; returns alone need not show it.
+    Symbols without a change of price have no sketch.
+    """
+    rows = tail_closes(bars, days).select("symbol", "date", F.log("close").alias("p"))
+    rows = rows.withColumn("p", C("p") - F.avg("p").over(W.partitionBy("symbol")))
+    draws = [F.xxhash64(F.lit(seed + k), "date").alias(f"h{k}") for k in range(-(-bits // 64))]
+    rows = rows.select("symbol", "p", *draws)
+    sign = lambda k: F.when(F.getbit(C(f"h{k // 64}"), F.lit(k % 64)) == 1, C("p")).otherwise(-C("p"))
+    sums = rows.groupBy("symbol").agg(F.max(F.abs("p")).alias("widest"), *(F.sum(sign(k)).alias(f"s{k}") for k in range(bits))).where("widest > 0")
+    codes = [sum((F.when(C(f"s{b + i}") > 0, 1 << i).otherwise(0) for i in range(band)), F.lit(0)) for b in range(0, bits, band)]
+    bands = sums.join(groups.select("symbol", "sector"), "symbol").select("symbol", "sector", F.posexplode(F.array(*codes)).alias("band", "code"))
+    other = bands.withColumnRenamed("symbol", "b")
+    return bands.withColumnRenamed("symbol", "a").join(other, ["sector", "band", "code"]).where("a < b").select("a", "b").distinct()
+
+
 def validate_pairs(bars: DataFrame, pairs: DataFrame, lengths: tuple[int, ...] = (126, 252, 504)) -> DataFrame:
     """Candidate pairs (a, b): cointegration in at least two windows with a positive ratio, rolling failures at most a fifth, half-life 5 to 60, Hurst under one half, 12 crossings; all reasons listed."""
     px = bars.select("symbol", "date", F.log("close").alias("p"))
-    rows = px.withColumnsRenamed({"symbol": "a", "p": "pa"}).join(F.broadcast(pairs), "a").join(px.withColumnsRenamed({"symbol": "b", "p": "pb"}), ["b", "date"]).select("a", "b", "date", "pa", "pb")
+    rows = px.withColumnsRenamed({"symbol": "a", "p": "pa"}).join(pairs, "a").join(px.withColumnsRenamed({"symbol": "b", "p": "pb"}), ["b", "date"]).select("a", "b", "date", "pa", "pb")
 
     def check(key, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("date").tail(max(lengths))
@@ -145,9 +215,14 @@ def validate_pairs(bars: DataFrame, pairs: DataFrame, lengths: tuple[int, ...] =
                 reasons.append("hurst")
             if crossings < 12:
                 reasons.append("crossings")
-        return pd.DataFrame({"a": [key[0]], "b": [key[1]], "beta": [beta], "half_life": [life], "hurst": [h], "crossings": [crossings], "valid": [not reasons], "reasons": [", ".join(reasons)]})
+        return pd.DataFrame({"a": [key[0]], "b": [key[1]], "beta": [beta], "half_life": [life], "hurst": [h], "crossings": [crossings], "valid": [not reasons], "reasons": [", ".join(reasons)], "score": [int(passed)]})
+
+    return rows.groupBy("a", "b").applyInPandas(check, "a string, b string, beta double, half_life double, hurst double, crossings long, valid boolean, reasons string, score int")
+
 
-    return rows.groupBy("a", "b").applyInPandas(check, "a string, b string, beta double, half_life double, hurst double, crossings long, valid boolean, reasons string")
+def tradable(validated: DataFrame, least: int = 2) -> DataFrame:
+    """Valid pairs as ``risk.pair_signals`` takes them: a, b, beta and the windows passed beyond ``least``."""
+    return validated.where("valid").select("a", "b", "beta", F.greatest(F.lit(0), C("score") - least).alias("extra"))
 
 
 def path_bootstrap(returns: DataFrame, paths: int, days: int, by: str = "agent", scale: float = 1.0, cost: float = 0.0, seed: int = 7) -> DataFrame:

@@ -1,6 +1,6 @@
 """Rule strategies over a feature table: long signals (symbol, date, agent, action, confidence, target_weight, meta).
 
-A strategy is a function from the feature table's columns to a struct (action, confidence, target_weight); ``signals`` evaluates
+A strategy is a function from the feature table's columns to a struct (action, confidence, target_weight, error); ``signals`` evaluates
 all of them on each row once and unfolds them, so the features are computed and read one time. A missing value
 makes a comparison false. ``in_position`` is a column of the input (no position where absent). ``register_strategy`` adds one.
 """
@@ -10,12 +10,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantpanel.functions.panel import true
 
 C = F.col
+ERROR_CHARS = 200
 
 
 @dataclass(frozen=True)
@@ -40,7 +44,45 @@ def register_strategy(name: str, min_bars: int = 0) -> Callable:
 
 def decision(action: Column | str, confidence: Column | float, weight: Column | float = 0.0) -> Column:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.struct(lit(action).alias("action"), lit(confidence).cast("double").alias("confidence"), lit(weight).cast("double").alias("target_weight"))
+    return F.struct(lit(action).alias("action"), lit(confidence).cast("double").alias("confidence"), lit(weight).cast("double").alias("target_weight"), F.lit(None).cast("string").alias("error"))
+
+
+def failure(error: Column | str) -> Column:
+    """A rule's answer that it has none: the error travels as data, and no signal comes of it."""
+    none = lambda t: F.lit(None).cast(t)
+    return F.struct(none("string").alias("action"), none("double").alias("confidence"), none("double").alias("target_weight"), F.substring(error if isinstance(error, Column) else F.lit(error), 1, ERROR_CHARS).alias("error"))
+
+
+def guarded(fn: Callable[[pd.DataFrame], pd.DataFrame], *columns: str) -> Column:
+    """A rule in pandas: ``fn`` gets rows of ``columns`` and returns action, confidence and target_weight for each.
+
+    Where it raises, the rows are halved until those that raise stand alone; they fail with the error's text, all others are answered.
+    """
+
+    def run(*series: pd.Series) -> pd.DataFrame:
+        rows = pd.concat(series, axis=1, keys=columns).reset_index(drop=True)
+        n = len(rows)
+        out = {"action": np.full(n, None, object), "confidence": np.full(n, np.nan), "target_weight": np.full(n, np.nan), "error": np.full(n, None, object)}
+        waiting = [(0, n)] if n else []
+        while waiting:
+            low, high = waiting.pop()
+            try:
+                said = fn(rows.iloc[low:high])
+                found = [said[c].to_numpy() for c in ("action", "confidence", "target_weight")]
+                if len(found[0]) != high - low:
+                    raise ValueError(f"{len(found[0])} answers for {high - low} rows")
+                for name, values in zip(out, found):
+                    out[name][low:high] = values
+            except Exception as e:  # a user's rule may raise anything
+                if high - low > 1:
+                    middle = (low + high) // 2
+                    waiting += [(low, middle), (middle, high)]
+                else:
+                    out["error"][low] = f"{type(e).__name__}: {e}"[:ERROR_CHARS]
+        return pd.DataFrame(out)
+
+    run.__annotations__ = {"series": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(run, "action string, confidence double, target_weight double, error string")(*columns)
 
 
 def _count(*conditions: Column) -> Column:
@@ -111,28 +153,61 @@ def long_short_trend() -> Column:
     return F.when(strong & up & known, decision("BUY", conf, weight)).when(strong & down & known, decision("SELL", conf, -weight)).otherwise(flat)
 
 
-def signals(features: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Long signals of the named (default: all registered) strategies. A symbol without history has no row for a strategy."""
+def _ready(features: DataFrame) -> DataFrame:
     rows = features
     for column, value in (("in_position", F.lit(False)), ("market_drawdown", F.lit(None).cast("double"))):
         if column not in rows.columns:
             rows = rows.withColumn(column, value)
-    chosen = [_REGISTRY[n] for n in (names or list(_REGISTRY))]
-    each = F.array(*(F.struct(F.lit(k).alias("agent_ord"), F.lit(s.name).alias("agent"), F.when(C("n_bars") >= s.min_bars, s.rule()).alias("d")) for k, s in enumerate(chosen)))
-    out = rows.select("symbol", "date", F.inline(each)).where("d IS NOT NULL")
-    return out.select("symbol", "date", "agent_ord", "agent", "d.action", "d.confidence", "d.target_weight")
-
-
-def isolated_signals(features: DataFrame, names: list[str] | None = None) -> tuple[DataFrame | None, list[tuple[str, str]]]:
-    """(signals of the strategies that can be planned, (agent, error) of the others): a failing rule is absent, not a HOLD."""
-    good, failed = [], []
-    for name in names or list(_REGISTRY):
-        try:
-            signals(features, [name]).schema
-            good.append(name)
-        except Exception as e:  # a user's rule may raise anything
-            failed.append((name, type(e).__name__))
-    return (signals(features, good) if good else None), failed
+    return rows
+
+
+def decided(features: DataFrame, names: list[str | Strategy] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(symbol, date, keep.., said): what each strategy says of a row with enough history, a signal or an error, in an array.
+
+    A rule that cannot be planned, one that says ``failure(..)`` and a ``guarded`` one that raises all end in an error and leave the other
+    strategies alone. A native rule keeps to the ``try_`` forms where a value may not be computable.
+    """
+    rows = features
+    for column, value in (("in_position", F.lit(False)), ("market_drawdown", F.lit(None).cast("double"))):
+        if column not in rows.columns:
+            rows = rows.withColumn(column, value)
+    chosen = [_REGISTRY[n] if isinstance(n, str) else n for n in (names or list(_REGISTRY))]
+
+    def planned(check: bool) -> DataFrame:
+        each = []
+        for k, s in enumerate(chosen):
+            try:
+                said = s.rule()
+                if check:
+                    rows.select(said).schema
+            except Exception as e:  # a user's rule may raise anything
+                said = failure(f"{type(e).__name__}: {e}".split("\n")[0])
+            each.append(F.struct(F.lit(k).alias("agent_ord"), F.lit(s.name).alias("agent"), F.when(C("n_bars") >= s.min_bars, F.coalesce(said, failure("None: the rule gave nothing"))).alias("d")))
+        return rows.select("symbol", "date", *keep, F.array(*each).alias("said"))
+
+    try:
+        return planned(False)
+    except AnalysisException:
+        return planned(True)
+
+
+def unfolded(decided_rows: DataFrame) -> DataFrame:
+    """A row per strategy that had enough history: action, confidence, target_weight, or an error and nothing else."""
+    keep = [c for c in decided_rows.columns if c != "said"]
+    out = decided_rows.select(*keep, F.inline("said")).where("d IS NOT NULL")
+    error = F.coalesce("d.error", F.when(C("d.action").isNull(), "None: the rule gave no action"))
+    return out.select(*keep, "agent_ord", "agent", "d.action", "d.confidence", "d.target_weight", error.alias("error"))
+
+
+def signals(features: DataFrame, names: list[str | Strategy] | None = None) -> DataFrame:
+    """Long signals of the named (default: all registered) strategies. A symbol without history has no row for a strategy, nor has a row on which its rule fails."""
+    return unfolded(decided(features, names)).where("error IS NULL").drop("error")
+
+
+def isolated_signals(features: DataFrame, names: list[str | Strategy] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(signals, failures (symbol, date, agent, error)): a failing rule is absent from the signals, not a HOLD."""
+    said = unfolded(decided(features, names))
+    return said.where("error IS NULL").drop("error"), said.where("error IS NOT NULL").select("symbol", "date", "agent", "error")
 
 
 def volatility_index_signal(rows: DataFrame) -> DataFrame:

@@ -112,7 +112,21 @@ _CAT = "CASE " + " ".join(f"WHEN {' OR '.join(f'CONTAINS(h, {chr(39)}{w}{chr(39)
 add("h02_headline_category", lambda s, d: view(s, d, "news").groupBy(logs.headline_category(C("headline"), C("native_category")).alias("category")).agg(F.count("*").alias("n")),
     duck("news") + f" SELECT {_CAT} AS category, COUNT(*) AS n FROM (SELECT *, ' ' || LOWER(headline) || ' ' AS h FROM news) GROUP BY 1")
 add("g05_headline_dedup", lambda s, d: logs.dedup_headlines(view(s, d, "news")).select("ordinal", "ticker"), duck("news") + f" SELECT ordinal, ticker FROM (SELECT *, {_HASH} AS fp FROM news) QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker, fp ORDER BY ordinal) = 1")
-add("g06_cross_ticker_dedup", lambda s, d: logs.dedup_across_tickers(view(s, d, "news")).select("fingerprint", "ticker", "ordinal"))
+
+
+def _shared_news(s, d):
+    """Headlines that several tickers carry, some of which name one."""
+    k = C("ordinal") % 40
+    return view(s, d, "news").withColumn("headline", F.concat(F.lit("Quarterly report and outlook, part "), k.cast("string").substr(1, 1), F.when(C("ordinal") % 3 == 0, F.concat(F.lit(" "), F.lower("ticker"))).when(C("ordinal") % 7 == 0, " s1").otherwise("")))
+
+
+# the keeper goes from item to item
+add("g06_cross_ticker_dedup", lambda s, d: logs.dedup_across_tickers(_shared_news(s, d)).select("fingerprint", "ticker", "ordinal"),
+    "WITH RECURSIVE " + duck("news")[5:] + f""", sh AS (SELECT ordinal, ticker, age_minutes, 'Quarterly report and outlook, part ' || SUBSTR(CAST(ordinal % 40 AS VARCHAR), 1, 1) || CASE WHEN ordinal % 3 = 0 THEN ' ' || LOWER(ticker) WHEN ordinal % 7 = 0 THEN ' s1' ELSE '' END AS headline FROM news),
+    it AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY fp ORDER BY age_minutes, ordinal) AS k FROM (SELECT *, {_HASH} AS fp FROM sh)),
+    st AS (SELECT fp, k, ticker, ordinal FROM it WHERE k = 1 UNION ALL SELECT it.fp, it.k, CASE WHEN NOT CONTAINS(UPPER(headline), UPPER(st.ticker)) AND CONTAINS(UPPER(headline), UPPER(it.ticker)) THEN it.ticker ELSE st.ticker END,
+      CASE WHEN NOT CONTAINS(UPPER(headline), UPPER(st.ticker)) AND CONTAINS(UPPER(headline), UPPER(it.ticker)) THEN it.ordinal ELSE st.ordinal END FROM st JOIN it ON it.fp = st.fp AND it.k = st.k + 1)
+    SELECT fp AS fingerprint, ticker, ordinal FROM st QUALIFY ROW_NUMBER() OVER (PARTITION BY fp ORDER BY k DESC) = 1""")
 add("f07_top_news", lambda s, d: logs.top_news(view(s, d, "news").withColumn("category", logs.headline_category(C("headline"), C("native_category"))), ["S1", "S2", "S3", "S4", "S5"]).select("ordinal", "ticker", "score"),
     duck("news") + f""", c AS (SELECT *, {_CAT} AS category FROM (SELECT *, ' ' || LOWER(headline) || ' ' AS h FROM news)),
     s AS (SELECT *, CAST(CASE WHEN ticker IN ('S1', 'S2', 'S3', 'S4', 'S5') THEN 3 ELSE 1 END + CASE WHEN category IN ('ma', 'earnings', 'guidance') THEN 2 WHEN category = 'analyst' THEN 0.5 ELSE 0 END + CASE WHEN age_minutes < 720 THEN 1 ELSE 0 END AS DOUBLE) AS score FROM c),

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quantpanel.operators import features, pit, ranking
+from quantpanel.sources import lake
+from quantpanel.sources.scratch import scratch_folder
 
 from .common import Catalog, duck, view
 
@@ -97,3 +101,19 @@ add(
     ROUND(COALESCE(MAX(CASE WHEN date < DATE '2000-01-01' THEN CASE WHEN volume > 40 THEN ABS((close * 1.01::DOUBLE - close) / close) ELSE 0 END END), 0), 6) AS max_abs,
     MIN(CASE WHEN date < DATE '2000-01-01' AND volume > 40 THEN date END) AS first_changed, COUNT_IF(date >= DATE '2000-01-01') AS rows_added FROM bars GROUP BY symbol""", ("first_changed",),
 )
+_LINE = "STRFTIME(date, '%Y-%m-%d')" + "".join(f" || '|' || PRINTF('%.6f', {c})" for c in ("open", "high", "low", "close"))
+_MANIFEST = f""", hx AS (SELECT symbol, date, SHA256({_LINE}) AS h FROM {{t}}), mf AS (SELECT symbol, COUNT(*) AS n_rows, MIN(date) AS first_date, MAX(date) AS last_date,
+    SUBSTR(SHA256(COUNT(*) || '|' || SUM(CAST('0x' || SUBSTR(h, 1, 15) AS BIGINT)) || '|' || SUM(CAST('0x' || SUBSTR(h, 16, 15) AS BIGINT))), 1, 16) AS checksum FROM hx GROUP BY 1)"""
+add("a03_manifest", lambda s, d: lake.manifest(view(s, d, "bars")), duck("bars") + _MANIFEST.format(t="bars") + " SELECT * FROM mf", ("first_date", "last_date"))
+
+
+def _verified(s, d):
+    """A written snapshot against bars in which one close moved and a symbol went."""
+    path = f"{scratch_folder(s)}/snapshot-{uuid.uuid4().hex[:12]}"
+    lake.write_snapshot(view(s, d, "bars"), path)
+    rows, listed = lake.read_snapshot(s, path)
+    moved = F.when((F.col("symbol") == "S3") & (F.month("date") == 6), F.col("close") + 0.01).otherwise(F.col("close"))
+    return lake.changed(listed, rows.where("symbol <> 'S5'").withColumn("close", moved)).select("symbol", F.col("now").isNull().alias("missing"))
+
+
+add("a04_tampered", _verified, "SELECT * FROM (VALUES ('S3', FALSE), ('S5', TRUE)) AS v(symbol, missing) WHERE symbol IN (SELECT 'S' || l_suppkey FROM lineitem)")

@@ -10,7 +10,7 @@ from quantpanel.operators import ranking, reports, risk, trades
 
 from .common import Catalog, duck, view
 from .log_queries import TRIPS, _trips
-from .risk_queries import BOOKS, PAIRS, books, neighbours
+from .risk_queries import BOOKS, PAIRS, WALK_FORWARD, books, neighbours
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -106,7 +106,10 @@ _DIV = duck("bars") + f", dv AS (SELECT symbol, date AS ex_date, 0.005 * close A
 add("d36_dividend_regularity", lambda s, d: reports.dividend_regularity(_dividends(s, d), "2000-06-30"),
     _DIV + """ SELECT symbol, COUNT(*) AS n, ROUND(CASE WHEN COUNT(*) < 2 THEN 0.5 ELSE GREATEST(0, LEAST(1, 1 - STDDEV_POP(amount) / AVG(amount))) END, 6)::DOUBLE AS regularity, MAX(amount) > 2 * AVG(amount) AS special
     FROM dv WHERE ex_date <= DATE '2000-06-30' AND ex_date > DATE '1997-06-30' GROUP BY 1""")
-add("d39_independent_dates", lambda s, d: reports.independent_dates(bars(s, d).select(C("symbol").alias("agent"), "date")))
+add("d39_independent_dates", lambda s, d: reports.independent_dates(bars(s, d).select(C("symbol").alias("agent"), "date")),
+    "WITH RECURSIVE " + duck("bars")[5:] + """, dd AS (SELECT symbol AS agent, date, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY date) AS k FROM (SELECT DISTINCT symbol, date FROM bars)),
+    st AS (SELECT agent, k, date AS last, 1 AS n FROM dd WHERE k = 1 UNION ALL SELECT dd.agent, dd.k, CASE WHEN dd.date - st.last >= 7 THEN dd.date ELSE st.last END, CASE WHEN dd.date - st.last >= 7 THEN st.n + 1 ELSE st.n END FROM st JOIN dd ON dd.agent = st.agent AND dd.k = st.k + 1)
+    SELECT agent, CAST(MAX(k) AS INT) AS n_dates, MAX(n) AS n_independent FROM st GROUP BY 1""")
 add("d41_dividend_trades", lambda s, d: reports.dividend_trades(bars(s, d).where("volume > 40").select("symbol", "date", C("open").alias("entry"), C("close").alias("exit"), C("volume").alias("shares"), F.lit(0.5).alias("dividend"))).groupBy("symbol").agg(F.count("*").alias("n"), F.avg((C("pnl") > 0).cast("double")).alias("win_rate")),
     duck("bars") + " SELECT symbol, COUNT(*) AS n, ROUND(AVG(CAST(ROUND((close - open) * volume + 0.5 * volume * 0.85 - (open + close) * volume * 0.00045, 2) > 0 AS INT)), 6) AS win_rate FROM bars WHERE volume > 40 GROUP BY 1")
 
@@ -139,4 +142,8 @@ add("h11_kelly_scale", lambda s, d: view(s, d, "decisions").select("ordinal", re
     duck("decisions") + " SELECT ordinal, ROUND(confidence + 0.25 * (1 - confidence), 6) AS scale FROM decisions")
 add("f06_normalized_confidence", lambda s, d: (lambda t: ranking.normalize_confidence(t, t.groupBy("agent").agg(F.percentile("confidence", F.lit(0.1)).alias("lo"), F.percentile("confidence", F.lit(0.9)).alias("hi"))).select("ordinal", "confidence"))(view(s, d, "decisions")),
     duck("decisions") + ", r AS (SELECT agent, QUANTILE_CONT(confidence, 0.1) AS lo, QUANTILE_CONT(confidence, 0.9) AS hi FROM decisions GROUP BY 1) SELECT ordinal, ROUND(CASE WHEN hi > lo THEN GREATEST(0, LEAST(1, (confidence - lo) / (hi - lo))) ELSE confidence END, 6)::DOUBLE AS confidence FROM decisions JOIN r USING (agent)")
-add("e20_daily_from_windows", lambda s, d: reports.daily_from_windows(risk.buy_and_hold(risk.walk_forward_windows(bars(s, d)), bars(s, d)).join(risk.walk_forward_windows(bars(s, d)), ["symbol", "window"]).select(C("symbol").alias("agent"), C("test_start").alias("start"), C("test_end").alias("end"), C("asset_return").alias("ret"))).groupBy("agent").agg(F.count("*").alias("n_days"), F.avg("ret").alias("mean_ret")))
+add("e20_daily_from_windows", lambda s, d: reports.daily_from_windows(risk.buy_and_hold(risk.walk_forward_windows(bars(s, d)), bars(s, d)).join(risk.walk_forward_windows(bars(s, d)), ["symbol", "window"]).select(C("symbol").alias("agent"), C("test_start").alias("start"), C("test_end").alias("end"), C("asset_return").alias("ret"))).groupBy("agent").agg(F.count("*").alias("n_days"), F.avg("ret").alias("mean_ret")),
+    WALK_FORWARD + """, ar AS (SELECT wf.symbol, wf."window", test_start AS a, test_end AS z, ROUND_EVEN(ARG_MAX(close, date) / ARG_MIN(close, date) - 1, 4) AS ret FROM wf JOIN bars b ON wf.symbol = b.symbol AND date BETWEEN test_start AND test_end GROUP BY ALL),
+    dy AS (SELECT symbol, "window", ret, CAST(UNNEST(GENERATE_SERIES(a::TIMESTAMP, z::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS date FROM ar), wk AS (SELECT *, COUNT(*) OVER (PARTITION BY symbol, "window") AS n FROM dy WHERE ISODOW(date) < 6),
+    m AS (SELECT symbol, date, AVG(POW(1 + ret, 1 / n) - 1) AS r FROM wk GROUP BY 1, 2) SELECT symbol AS agent, COUNT(*) AS n_days, ROUND(AVG(r), 6) AS mean_ret FROM m GROUP BY 1""")
+

@@ -73,7 +73,7 @@ add("c19_earnings_blackout", lambda s, d: risk.earnings_blackout(bars(s, d).sele
 add("e27_next_open_fills", lambda s, d: risk.next_open_fills(bars(s, d).select("symbol", "date", F.when(C("volume") > 25, "BUY").otherwise("SELL").alias("side"), C("close").alias("limit")), bars(s, d)).groupBy("side").agg(F.count("*").alias("n"), F.avg(C("filled").cast("double")).alias("fill_rate"), F.avg("fill_price").alias("mean_price")),
     duck("bars") + f""", o AS (SELECT CASE WHEN volume > 25 THEN 'BUY' ELSE 'SELL' END AS side, close AS lim, LEAD(open) {_P} AS nx FROM bars), f AS (SELECT *, COALESCE(CASE WHEN side = 'BUY' THEN nx <= lim ELSE nx >= lim END, FALSE) AS filled FROM o)
     SELECT side, COUNT(*) AS n, ROUND(AVG(CAST(filled AS INT)), 6) AS fill_rate, ROUND(AVG(CASE WHEN filled THEN nx END), 6) AS mean_price FROM f GROUP BY 1""")
-_WF = duck("bars") + f""", i AS (SELECT symbol, date, close, ROW_NUMBER() {_P} - 1 AS i, COUNT(*) OVER (PARTITION BY symbol) AS n FROM bars),
+WALK_FORWARD = _WF = duck("bars") + f""", i AS (SELECT symbol, date, close, ROW_NUMBER() {_P} - 1 AS i, COUNT(*) OVER (PARTITION BY symbol) AS n FROM bars),
 k AS (SELECT symbol, UNNEST(GENERATE_SERIES(0, n - 504, 63)) AS st FROM (SELECT DISTINCT symbol, n FROM i WHERE n >= 504)),
 wf AS (SELECT k.symbol, CAST(st / 63 AS INT) AS "window", MAX(date) FILTER (i = st) AS train_start, MAX(date) FILTER (i = st + 377) AS train_end, MAX(date) FILTER (i = st + 378) AS test_start, MAX(date) FILTER (i = st + 503) AS test_end FROM k JOIN i USING (symbol) GROUP BY 1, 2)"""
 add("e19_walk_forward_windows", lambda s, d: risk.walk_forward_windows(bars(s, d)), _WF + " SELECT * FROM wf", ("train_start", "train_end", "test_start", "test_end"))

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quantpanel.operators import dividends, logs, reports, risk, strategies, trades
+from quantpanel.functions.ranks import numbered
+from quantpanel.operators import dividends, features, logs, regimes, reports, risk, strategies, trades
+from quantpanel.sources.scratch import written
 
-from .common import Catalog, back, duck, view
+from .common import Catalog, back, duck, guarded, view
 from .feature_queries import CATALOG as FEATURES
 from .log_queries import _CAT, TRIPS, _trips
+from .signal_queries import RULES
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -40,7 +43,7 @@ add("i10_dividend_capture", lambda s, d: dividends.capture_signals(_payments(s,
     a AS (SELECT *, CASE WHEN held AND reason IS NOT NULL THEN 'SELL' WHEN NOT held AND days_to_ex BETWEEN 2 AND 7 AND y >= 0.003 AND net_edge > 0 AND confidence >= 0.5 THEN 'BUY' ELSE 'HOLD' END AS action FROM r)
     SELECT symbol, date, action, reason, confidence, CASE WHEN action = 'BUY' THEN 0.08 ELSE 0 END::DOUBLE AS target_weight FROM a""", ("date",))
 add("i11_dividend_window", lambda s, d: dividends.window_signals(_payments(s, d)).select("symbol", "date", "action", "confidence"),
-    _PAY + """, a AS (SELECT *, CASE WHEN held AND days_to_ex < 0 THEN 'SELL' WHEN NOT held AND days_to_ex > 0 AND days_to_ex <= 3 AND y >= 0.003 THEN 'BUY' ELSE 'HOLD' END AS action FROM pay JOIN (SELECT symbol, date, y FROM pc) USING (symbol, date))
+    _PAY + """, a AS (SELECT *, CASE WHEN held AND days_to_ex < 0 THEN 'SELL' WHEN NOT held AND days_to_ex > 0 AND days_to_ex <= 3 AND y >= 0.003 THEN 'BUY' ELSE 'HOLD' END AS action FROM pc)
     SELECT symbol, date, action, ROUND(CASE action WHEN 'SELL' THEN 0.90 WHEN 'BUY' THEN LEAST(0.85, 0.60 + 50 * y) ELSE 0.2 END, 6)::DOUBLE AS confidence FROM a""", ("date",))
 add("f11_dividend_calendar", lambda s, d: dividends.calendar(_payments(s, d)).select("symbol", "date", "days_to_ex", "edge", "active").orderBy("days_to_ex", "symbol", "date"),
     _PAY + " SELECT symbol, date, days_to_ex, ROUND(10000 * net_edge, 6) AS edge, days_to_ex BETWEEN 2 AND 7 AS active FROM pay WHERE days_to_ex BETWEEN 0 AND 30", ("date",))
@@ -94,19 +97,48 @@ def _blend(s, d):
 
 add("d30_blended_best", lambda s, d: _blend(s, d).select("agent", "symbol", "blended", "best"),
     duck("decisions") + """, b AS (SELECT agent, symbol, AVG(confidence) AS bt, AVG(target_weight) FILTER (action = 'BUY') AS live, COUNT(*) FILTER (action = 'BUY') AS n FROM decisions GROUP BY 1, 2),
-    m AS (SELECT agent, symbol, ROUND(CASE WHEN live IS NULL THEN bt ELSE (1 - LEAST(1, n / 20)) * bt + LEAST(1, n / 20) * live END, 4)::DOUBLE AS blended FROM b) SELECT agent, symbol, blended, FIRST_VALUE(agent) OVER (PARTITION BY symbol ORDER BY blended DESC, agent) AS best FROM m""")
+    m AS (SELECT agent, symbol, ROUND(CAST(CASE WHEN live IS NULL THEN bt ELSE (1 - LEAST(1, n / 20)) * bt + LEAST(1, n / 20) * live END AS DECIMAL(18, 9)), 4)::DOUBLE AS blended FROM b) SELECT agent, symbol, blended, FIRST_VALUE(agent) OVER (PARTITION BY symbol ORDER BY blended DESC, agent) AS best FROM m""")
 add("e21_daily_from_trips", lambda s, d: reports.daily_from_trips(_trips(s, d).select("agent", F.to_date("entry_ts").alias("entry"), F.to_date("exit_ts").alias("exit"), "ret")),
     TRIPS + """, t AS (SELECT agent, CAST(entry_ts AS DATE) AS e, CAST(exit_ts AS DATE) AS x, ret FROM trips), days AS (SELECT agent, CAST(UNNEST(GENERATE_SERIES(MIN(e)::TIMESTAMP, MAX(x)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS date FROM t GROUP BY 1),
     k AS (SELECT agent, x AS date, AVG(ret) AS ret FROM t GROUP BY 1, 2) SELECT agent, date, ROUND(COALESCE(ret, 0), 6) AS ret FROM days LEFT JOIN k USING (agent, date) WHERE ISODOW(date) < 6""", ("date",))
-add("f12_leaderboard", lambda s, d: bars(s, d).groupBy("symbol").agg((F.max_by("close", "date") / F.min_by("close", "date") - 1).alias("ret")).withColumn("place", F.row_number().over(W.orderBy(F.desc(F.round("ret", 6)), "symbol"))),
+add("f12_leaderboard", lambda s, d: numbered(bars(s, d).groupBy("symbol").agg(F.round(F.max_by("close", "date") / F.min_by("close", "date") - 1, 6).alias("ret")), [F.desc("ret"), "symbol"]),
     duck("bars") + ", r AS (SELECT symbol, ROUND(ARG_MAX(close, date) / ARG_MIN(close, date) - 1, 6) AS ret FROM bars GROUP BY 1) SELECT symbol, ret, ROW_NUMBER() OVER (ORDER BY ret DESC, symbol) AS place FROM r")
 add("b10_intraday_alerts", lambda s, d: logs.intraday_alerts(view(s, d, "news").withColumn("category", logs.headline_category(C("headline"), F.when(C("ordinal") % 4 == 0, "merger news").when(C("ordinal") % 4 == 1, "earnings"))), trades.net_positions(view(s, d, "executions"))).select("ordinal", "ticker", "category"),
     duck("news", "executions") + f""", c AS (SELECT ordinal, ticker, {_CAT} AS category FROM (SELECT ordinal, ticker, ' ' || LOWER(headline) || ' ' AS h, CASE ordinal % 4 WHEN 0 THEN 'merger news' WHEN 1 THEN 'earnings' END AS native_category FROM news)),
     p AS (SELECT symbol FROM executions GROUP BY 1 HAVING ABS(SUM(CASE WHEN side = 'BUY' THEN qty ELSE -qty END)) > 1e-6) SELECT ordinal, ticker, category FROM c WHERE category IN ('earnings', 'ma') AND ticker IN (SELECT symbol FROM p)""")
 add("b12_unreadable_timestamps", lambda s, d: logs.parsed_times(view(s, d, "decisions").select("agent", F.when(C("ordinal") % 9 == 0, "soon").otherwise(C("timestamp").cast("string")).alias("timestamp")), "timestamp", "agent")[1],
     duck("decisions") + " SELECT agent, COUNT(*) AS n_dropped FROM decisions WHERE ordinal % 9 = 0 GROUP BY 1")
-add("k02_degraded_runs", lambda s, d: logs.degraded_runs(view(s, d, "decisions").where("action <> 'SELL'"), 7),
-    duck("decisions") + " SELECT plan_id, COUNT(DISTINCT agent) AS responders, COUNT(DISTINCT agent) < CEIL(7 * 0.6) AS degraded FROM decisions WHERE action <> 'SELL' GROUP BY 1")
+add("k02_degraded_runs", lambda s, d: logs.degraded_runs(view(s, d, "decisions").where("action = 'HOLD'"), 7, runs=view(s, d, "decisions")),
+    duck("decisions") + " SELECT plan_id, COUNT(DISTINCT CASE WHEN action = 'HOLD' THEN agent END) AS responders, COUNT(DISTINCT CASE WHEN action = 'HOLD' THEN agent END) < GREATEST(1, CEIL(7 * 0.5)) AS degraded FROM decisions GROUP BY 1")
+
+
+def _odd_volume(rows):
+    """A rule that has no answer for some rows."""
+    if (rows["volume"] % 47 == 0).any():
+        raise ValueError("volume is a multiple of 47")
+    return rows.assign(action="HOLD", confidence=0.5, target_weight=0.0)
+
+
+def _isolated(s, d):
+    """(panel, answers, failures) of all rules, one that fails on some rows, one that says so itself and one that cannot be planned."""
+    own = [
+        strategies.Strategy("odd_volume", 1, lambda: strategies.guarded(_odd_volume, "volume")),
+        strategies.Strategy("shy", 30, lambda: F.when(C("volume") % 5 == 0, strategies.failure(F.concat(F.lit("no answer on "), C("symbol")))).otherwise(strategies.decision("HOLD", 0.1))),
+        strategies.Strategy("misspelt", 100, lambda: strategies.decision("BUY", C("no_such_feature"))),
+    ]
+    panel = features.features(bars(s, d))
+    rows = written(strategies.decided(panel, [*RULES, *own]), "answers")
+    said = strategies.unfolded(rows)
+    return rows, said.where("error IS NULL"), said.where("error IS NOT NULL")
+
+
+_N = duck("bars") + ", n AS (SELECT symbol, date, CAST(volume AS INT) AS v, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY date) AS n FROM bars)"
+_HEALTHY = " + ".join(f"CAST(n >= {r[0]} AS INT)" for r in RULES.values()) + " + CAST(v % 47 <> 0 AS INT) + CAST(n >= 30 AND v % 5 <> 0 AS INT)"
+add("k02_isolated_runs", lambda s, d: (lambda rows, good, _: logs.degraded_runs(good, 8, runs=rows, key=("symbol", "date")))(*_isolated(s, d)),
+    _N + f", h AS (SELECT symbol, date, CAST({_HEALTHY} AS BIGINT) AS responders FROM n) SELECT symbol, date, responders, responders < 4 AS degraded FROM h", ("date",))
+add("k02_isolated_failures", lambda s, d: logs.failure_summary(_isolated(s, d)[2].withColumn("error", F.when(C("agent") == "misspelt", F.regexp_extract("error", r"(no_such_feature)", 1)).otherwise(C("error")))),
+    _N + """, f AS (SELECT 'odd_volume' AS agent, 'ValueError: volume is a multiple of 47' AS error, symbol FROM n WHERE v % 47 = 0 UNION ALL SELECT 'shy', 'no answer on ' || symbol, symbol FROM n WHERE n >= 30 AND v % 5 = 0 UNION ALL SELECT 'misspelt', 'no_such_feature', symbol FROM n WHERE n >= 100)
+    SELECT agent, error, COUNT(DISTINCT symbol) AS symbols, COUNT(*) AS n FROM f GROUP BY 1, 2""")
 add("k02_failure_summary", lambda s, d: logs.failure_summary(view(s, d, "decisions").where("action = 'SELL'").select("agent", C("regime").alias("error"), "symbol")),
     duck("decisions") + " SELECT agent, regime AS error, COUNT(DISTINCT symbol) AS symbols, COUNT(*) AS n FROM decisions WHERE action = 'SELL' GROUP BY 1, 2")
 
@@ -117,14 +149,26 @@ def _neighbours(s, d):
     return names.select(C("ticker").alias("a"), F.lead("ticker").over(W.partitionBy("sector").orderBy("k")).alias("b"), F.lit(0.5).alias("beta"), (C("k") % 3).alias("extra")).where("b IS NOT NULL")
 
 
-add("i12_pair_signals", lambda s, d: risk.pair_signals(bars(s, d), _neighbours(s, d)),
-    duck("bars", "sectors") + """, pr AS (SELECT ticker AS a, LEAD(ticker) OVER (PARTITION BY sector ORDER BY CAST(SUBSTR(ticker, 2) AS INT)) AS b, CAST(SUBSTR(ticker, 2) AS INT) % 3 AS extra FROM sectors),
+def _breaking(s, d):
+    """Every third pair is cointegrated until the middle of 1996 only."""
+    return _neighbours(s, d).withColumn("active_until", F.when(C("extra") == 2, F.lit("1996-06-30").cast("date")))
+
+
+# the state goes from row to row; nothing is shared with the windows of the operator
+add("i12_pair_signals", lambda s, d: risk.pair_signals(bars(s, d), _breaking(s, d)),
+    "WITH RECURSIVE " + duck("bars", "sectors")[5:] + """, pr AS (SELECT ticker AS a, LEAD(ticker) OVER (PARTITION BY sector ORDER BY CAST(SUBSTR(ticker, 2) AS INT)) AS b, CAST(SUBSTR(ticker, 2) AS INT) % 3 AS extra FROM sectors),
     j AS (SELECT a, b, extra, x.date, LN(x.close) - 0.5 * LN(y.close) AS s FROM pr JOIN bars x ON x.symbol = a JOIN bars y ON y.symbol = b AND y.date = x.date), w AS (SELECT *, COUNT(s) OVER v AS n, AVG(s) OVER v AS m, STDDEV_SAMP(s) OVER v AS sd FROM j WINDOW v AS (PARTITION BY a, b ORDER BY date ROWS 62 PRECEDING)),
-    z AS (SELECT a, b, extra, date, (s - m) / sd AS z FROM w WHERE n = 63 AND sd >= 1e-6), c AS (SELECT *, CASE WHEN ABS(z) > 3.5 THEN 'STOP' WHEN ABS(z) > 2 THEN 'ENTER' WHEN ABS(z) < 0.5 THEN 'EXIT' ELSE 'HOLD' END AS action FROM z)
-    SELECT a, b, date, ROUND(z, 6) AS z, action, ROUND(CASE WHEN action = 'ENTER' THEN LEAST(0.93, LEAST(0.90, 0.60 + 0.1 * (ABS(z) - 2)) + 0.03 * extra) ELSE 0 END, 6)::DOUBLE AS confidence, CASE WHEN action = 'ENTER' THEN CASE WHEN z > 0 THEN 'SELL' ELSE 'BUY' END END AS side_a,
-    CASE WHEN action = 'ENTER' THEN CASE WHEN z > 0 THEN 'BUY' ELSE 'SELL' END END AS side_b FROM c""", ("date",))
-add("j03_pair_plans", lambda s, d: reports.pair_plans(_neighbours(s, d).select("a", "b", F.when(C("extra") == 0, "BUY").otherwise("SELL").alias("side")), bars(s, d).groupBy("symbol").agg((F.max_by("close", "date") * F.when(F.max("volume") > 45, 200.0).otherwise(1.0)).alias("price")), 10_000.0).select("a", "b", "symbol", "leg_side", C("qty").cast("double").alias("qty")),
-    duck("bars", "sectors") + """, pr AS (SELECT ticker AS a, LEAD(ticker) OVER (PARTITION BY sector ORDER BY CAST(SUBSTR(ticker, 2) AS INT)) AS b, CAST(SUBSTR(ticker, 2) AS INT) % 3 AS extra FROM sectors), px AS (SELECT symbol, ARG_MAX(close, date) * CASE WHEN MAX(volume) > 45 THEN 200.0 ELSE 1.0 END AS price FROM bars GROUP BY 1),
+    z AS (SELECT a, b, extra, date, (s - m) / sd AS z, extra = 2 AND date > DATE '1996-06-30' AS gone, ROW_NUMBER() OVER (PARTITION BY a, b ORDER BY date) AS k FROM w WHERE n = 63 AND sd >= 1e-6),
+    st AS (SELECT a, b, CAST(0 AS BIGINT) AS k, CAST(NULL AS DATE) AS date, CAST(0 AS DOUBLE) AS z, FALSE AS held, '' AS action, CAST(NULL AS VARCHAR) AS side, CAST(NULL AS VARCHAR) AS shown, 0 AS extra FROM (SELECT DISTINCT a, b FROM z)
+      UNION ALL SELECT z.a, z.b, z.k, z.date, z.z, st.side IS NOT NULL,
+        CASE WHEN st.side IS NOT NULL THEN CASE WHEN gone THEN 'BREAK' WHEN ABS(z.z) > 3.5 THEN 'STOP' WHEN ABS(z.z) < 0.5 THEN 'EXIT' ELSE 'HOLD' END WHEN NOT gone AND ABS(z.z) > 2 THEN 'ENTER' ELSE 'HOLD' END,
+        CASE WHEN st.side IS NOT NULL THEN CASE WHEN gone OR ABS(z.z) > 3.5 OR ABS(z.z) < 0.5 THEN NULL ELSE st.side END WHEN NOT gone AND z.z > 2 THEN 'SELL' WHEN NOT gone AND z.z < -2 THEN 'BUY' END,
+        CASE WHEN st.side IS NOT NULL THEN st.side WHEN NOT gone AND z.z > 2 THEN 'SELL' WHEN NOT gone AND z.z < -2 THEN 'BUY' END, z.extra
+      FROM st JOIN z ON z.a = st.a AND z.b = st.b AND z.k = st.k + 1)
+    SELECT a, b, date, ROUND(z, 6) AS z, held, action, CASE action WHEN 'ENTER' THEN ROUND(LEAST(0.93, LEAST(0.90, 0.60 + 0.1 * (ABS(z) - 2)) + 0.03 * extra), 3) WHEN 'BREAK' THEN 0.99 WHEN 'STOP' THEN 0.98 WHEN 'EXIT' THEN 0.90 ELSE 0 END::DOUBLE AS confidence,
+    shown AS side_a, CASE shown WHEN 'SELL' THEN 'BUY' WHEN 'BUY' THEN 'SELL' END AS side_b FROM st WHERE k > 0""", ("date",))
+add("j03_pair_plans", lambda s, d: reports.pair_plans(_neighbours(s, d).select("a", "b", F.when(C("extra") == 0, "BUY").otherwise("SELL").alias("side")), bars(s, d).groupBy("symbol").agg((F.max_by("close", "date") * F.when(F.substring("symbol", 2, 9).cast("int") % 4 == 0, 200.0).otherwise(1.0)).alias("price")), 10_000.0).select("a", "b", "symbol", "leg_side", C("qty").cast("double").alias("qty")),
+    duck("bars", "sectors") + """, pr AS (SELECT ticker AS a, LEAD(ticker) OVER (PARTITION BY sector ORDER BY CAST(SUBSTR(ticker, 2) AS INT)) AS b, CAST(SUBSTR(ticker, 2) AS INT) % 3 AS extra FROM sectors), px AS (SELECT symbol, ARG_MAX(close, date) * CASE WHEN CAST(SUBSTR(symbol, 2) AS INT) % 4 = 0 THEN 200.0 ELSE 1.0 END AS price FROM bars GROUP BY 1),
     l AS (SELECT a, b, a AS symbol, CASE WHEN extra = 0 THEN 'BUY' ELSE 'SELL' END AS leg_side FROM pr WHERE b IS NOT NULL UNION ALL SELECT a, b, b, CASE WHEN extra = 0 THEN 'SELL' ELSE 'BUY' END FROM pr WHERE b IS NOT NULL), q AS (SELECT l.*, TRUNC(10000 / price)::DOUBLE AS qty FROM l LEFT JOIN px USING (symbol))
     SELECT a, b, symbol, leg_side, qty FROM q QUALIFY COUNT(*) FILTER (qty >= 1) OVER (PARTITION BY a, b) = 2""")
 
@@ -140,3 +184,25 @@ def _chain(s, d):
 add("c24_put_call_flags", lambda s, d: reports.put_call_flags(_chain(s, d)).select("ticker", "expiry", "strike", "gap", "flag"),
     duck("bars") + """, k AS (SELECT symbol AS ticker, date AS expiry, close AS spot, CAST(volume AS INT) % 60 AS days, ROUND(close + 1.0::DOUBLE, 2) AS strike FROM bars), g AS (SELECT *, ABS((0 + days / 50.0::DOUBLE) - (1.0::DOUBLE + days / 50.0::DOUBLE) - (spot - strike * EXP(-0.04::DOUBLE * GREATEST(days / 365.0::DOUBLE, 1 / 365.0::DOUBLE)) - 0.4::DOUBLE)) / spot AS gap FROM k)
     SELECT ticker, expiry, strike, ROUND(gap, 6) AS gap, gap > 0.005 AS flag FROM g""", ("expiry",))
+
+
+FEATURES_SQL = duck("bars") + f""", r1 AS (SELECT *, close / {back('close', 1)} - 1 AS ret1, GREATEST(high - low, ABS(high - {back('close', 1)}), ABS(low - {back('close', 1)})) AS tr FROM bars),
+m1 AS (SELECT symbol, date, {guarded('STDDEV_SAMP', 'ret1', 5)} AS v5, ({guarded('STDDEV_SAMP', 'ret1', 21)}) * SQRT(252) AS v21, close / {back('close', 10)} - 1 AS m10, close / {back('close', 30)} - 1 AS m30, {guarded('SUM', 'ret1', 21)} AS r21, {guarded('AVG', 'tr', 14)} AS atr FROM r1),
+mx AS (SELECT * REPLACE (ROUND(r21, 9) AS r21) FROM m1 WHERE v5 IS NOT NULL AND v21 IS NOT NULL AND m10 IS NOT NULL AND m30 IS NOT NULL AND r21 IS NOT NULL AND atr IS NOT NULL)"""
+
+
+def _matrix(s, d):
+    return features.regime_matrix(features.volatility(features.average_true_range(bars(s, d))))
+
+
+def _regimes(s, d):
+    matrix = written(_matrix(s, d), "regime-matrix")
+    return regimes.regime_series(bars(s, d), regimes.regime_posteriors(regimes.fit_regimes(matrix), matrix))
+
+
+# the fit has no SQL; the naming of components has, on the means of four groups of each symbol's rows
+add("i15_regime_clusters", _regimes)
+add("i15_component_names", lambda s, d: regimes.name_components(_matrix(s, d).withColumn("component", F.ntile(4).over(W.partitionBy("symbol").orderBy(F.round("ret_21d", 9), "date"))).groupBy("symbol", "component").agg(F.round(F.avg("mom_30d"), 9).alias("mom_30d"), F.round(F.avg("vol_21d"), 9).alias("vol_21d")), ("symbol",)),
+    FEATURES_SQL + """, g AS (SELECT symbol, NTILE(4) OVER (PARTITION BY symbol ORDER BY r21, date) AS component, m30, v21 FROM mx), c AS (SELECT symbol, CAST(component AS INT) AS component, ROUND(AVG(m30), 9) AS mom_30d, ROUND(AVG(v21), 9) AS vol_21d FROM g GROUP BY 1, 2),
+    low AS (SELECT *, RANK() OVER (PARTITION BY symbol ORDER BY mom_30d, component) <= 2 AS low FROM c), o AS (SELECT l.*, (SELECT MAX((m.vol_21d, -m.component)) FROM low m WHERE m.symbol = l.symbol AND m.low = l.low) = (l.vol_21d, -l.component) AS wild FROM low l)
+    SELECT symbol, component, ROUND(mom_30d, 6) AS mom_30d, ROUND(vol_21d, 6) AS vol_21d, CASE WHEN low AND wild THEN 'bear' WHEN low THEN 'sideways' WHEN wild THEN 'bull_volatile' ELSE 'bull_quiet' END AS regime FROM o""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quantpanel.operators import edge, features, ranking, strategies
+from quantpanel.sources.scratch import written
 
 from .common import Catalog, back, duck, guarded, view
 
@@ -24,6 +25,13 @@ def _returns(s, d):
     return edge.long_returns(features.forward_returns(view(s, d, "bars")))
 
 
+def edge_tables(s, d):
+    """(signals with their forward returns, long returns), both from one written pass over the bars."""
+    fwd = tuple(f"fwd_{h}" for h in features.HORIZONS)
+    rows = written(strategies.decided(_panel(s, d), keep=fwd), "decided")
+    return strategies.unfolded(rows).where("error IS NULL").drop("error"), edge.long_returns(rows)
+
+
 _P = "OVER (PARTITION BY symbol ORDER BY date)"
 FEATURES = duck("bars") + f""",
 f1 AS (SELECT *, ROW_NUMBER() {_P} AS n_bars, {back('close', 1)} AS pc, {back('high', 1)} AS ph, {back('low', 1)} AS pl,
@@ -90,7 +98,7 @@ add("c01_signals_with_returns", lambda s, d: edge.labelled(_signals(s, d), _retu
 add("d01_base_rates", lambda s, d: edge.base_rates(_returns(s, d), _signals(s, d)), SIGNALS + RETURNS + BASE + " SELECT horizon, ROUND(base_buy, 6) AS base_buy, ROUND(base_sell, 6) AS base_sell, ROUND(base_mean, 6) AS base_mean FROM base")
 _Z = 1.959964
 add(
-    "d02_agent_edge", lambda s, d: edge.agent_edge(_signals(s, d), _returns(s, d)),
+    "d02_agent_edge", lambda s, d: edge.agent_edge(*edge_tables(s, d)),
     SIGNALS + RETURNS + BASE + LABELS + f""", a AS (SELECT agent, horizon, COUNT(*) AS n, COUNT(DISTINCT date) AS n_dates, COUNT_IF(action = 'BUY') AS n_buy, COUNT_IF(action = 'SELL') AS n_sell, SUM(hit) AS hits FROM lab GROUP BY 1, 2),
     e AS (SELECT g.agent, base.horizon, COALESCE(n, 0) AS n, COALESCE(n_dates, 0) AS n_dates, COALESCE(n_buy, 0) AS n_buy, COALESCE(n_sell, 0) AS n_sell, COALESCE(hits, 0) AS hits, base_buy, base_sell
           FROM (SELECT DISTINCT agent FROM signals) g CROSS JOIN base LEFT JOIN a ON a.agent = g.agent AND a.horizon = base.horizon),
@@ -122,7 +130,23 @@ add("d11_regime_excess", lambda s, d: edge.regime_excess(_signals(s, d), _return
     al AS (SELECT fw.*, bucket FROM fw JOIN bk USING (date) WHERE horizon = 5 AND fwd IS NOT NULL), bs AS (SELECT bucket, AVG(fwd) AS b FROM al GROUP BY 1),
     ow AS (SELECT agent, bucket, COUNT(*) AS n, AVG(al.fwd) AS m FROM signals JOIN al USING (symbol, date) WHERE action = 'BUY' GROUP BY 1, 2)
     SELECT agent, bucket, n, ROUND(CASE WHEN n >= 50 THEN m - b END, 6) AS excess FROM ow JOIN bs USING (bucket)""")
-add("d09_excess_intervals", lambda s, d: edge.excess_intervals(_signals(s, d), _returns(s, d)))
+_MIX = "((((({x} * 16807 + 12345) % 2147483647) * (({x} * 16807 + 12345) % 2147483647) + 7) % 2147483647) * 48271 + 1) % 2147483647".replace("{x}", "((draw * 48271 + part * 69621 + {seed}) % 2147483647)")
+
+
+def bootstrap_sql(source: str, by: str, block: str, sums: dict[str, str], seed: int, draws: int = 2000) -> str:
+    """CTEs ending in ``boot`` (by, draw, n, sums): every row of every resample is fetched on its own."""
+    same = " AND ".join(f"o.{c} = nb.{c}" for c in by.split(", "))
+    return f"""o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {by} ORDER BY date) - 1 AS i, COUNT(*) OVER (PARTITION BY {by}) AS n FROM {source}),
+    gr AS (SELECT DISTINCT {by}, n, {block} AS block FROM o), pt AS (SELECT *, UNNEST(GENERATE_SERIES(0, CAST(CEIL(n / block) AS BIGINT) - 1)) AS part FROM (SELECT *, UNNEST(GENERATE_SERIES(0, {draws - 1})) AS draw FROM gr)),
+    sr AS (SELECT *, {_MIX.replace("{seed}", str(seed))} % n AS start FROM pt), nb AS (SELECT *, UNNEST(GENERATE_SERIES(0, LEAST(block, n - part * block) - 1)) AS step FROM sr),
+    boot AS (SELECT {", ".join("nb." + c for c in by.split(", "))}, draw, ANY_VALUE(nb.n) AS n, {", ".join(f"SUM({c}) AS {k}" for k, c in sums.items())} FROM nb JOIN o ON {same} AND o.i = (nb.start + nb.step) % nb.n GROUP BY ALL)"""
+
+
+add("d09_excess_intervals", lambda s, d: edge.excess_intervals(*edge_tables(s, d)),
+    SIGNALS + RETURNS + BASE + LABELS + """, dy AS (SELECT agent, horizon, date, COUNT(*) AS n_rows, ROUND(SUM(hit) - SUM(CASE WHEN action = 'BUY' THEN base_buy ELSE base_sell END), 9) AS gap FROM lab JOIN base USING (horizon) GROUP BY 1, 2, 3),
+    """ + bootstrap_sql("dy", "agent, horizon", "horizon", {"gap": "gap", "n_in": "n_rows"}, 1) + """,
+    q AS (SELECT agent, horizon, QUANTILE_CONT(gap / n_in, 0.025) AS low, QUANTILE_CONT(gap / n_in, 0.975) AS high FROM boot WHERE n >= 2 GROUP BY 1, 2), e AS (SELECT agent, horizon, COUNT(*) AS n_dates, SUM(gap) / SUM(n_rows) AS excess FROM dy GROUP BY 1, 2)
+    SELECT agent, horizon, n_dates, ROUND(excess, 6) AS excess, ROUND(low, 6) AS low, ROUND(high, 6) AS high, CASE WHEN n_dates < 60 THEN 'insufficient' WHEN low > 0 THEN 'edge' WHEN high < 0 THEN 'anti-edge' ELSE 'indistinguishable' END AS verdict FROM e LEFT JOIN q USING (agent, horizon)""")
 _SCORE = ", ".join(f"{back('close', 21)} / {back('close', 21 + p)} - 1" for p in (63, 126, 252))
 SCORES = f", sc AS (SELECT symbol, date, LIST_AVG(LIST_FILTER([{_SCORE}], lambda x: x IS NOT NULL)) AS mom_score, LN(LEAD(close, 20) {_P} / close) AS fwd_20 FROM bars)"
 add("f01_momentum_ranks", lambda s, d: ranking.momentum_ranks(features.momentum_score(view(s, d, "bars"))),
@@ -133,6 +157,18 @@ add("f01_momentum_ranks", lambda s, d: ranking.momentum_ranks(features.momentum_
 add("f02_long_short_spread", lambda s, d: ranking.long_short_spread(features.forward_returns(features.momentum_score(view(s, d, "bars"))), "mom_score", "fwd_20", least=8),
     duck("bars") + SCORES + """, r AS (SELECT *, COUNT(*) OVER (PARTITION BY date) AS n, ROW_NUMBER() OVER (PARTITION BY date ORDER BY -mom_score, symbol) AS r FROM sc WHERE mom_score IS NOT NULL AND fwd_20 IS NOT NULL)
     SELECT date, n, ROUND(AVG(fwd_20) FILTER (r <= k) - AVG(fwd_20) FILTER (r > n - k), 6) AS spread FROM (SELECT *, GREATEST(1, CAST(FLOOR(n * 0.1) AS INT)) AS k FROM r WHERE n >= 8) GROUP BY date, n""", ("date",))
+_SPREAD = SCORES + """, r AS (SELECT *, COUNT(*) OVER (PARTITION BY date) AS n, ROW_NUMBER() OVER (PARTITION BY date ORDER BY -mom_score, symbol) AS r FROM sc WHERE mom_score IS NOT NULL AND fwd_20 IS NOT NULL),
+    sd AS (SELECT date, CASE WHEN date < DATE '1995-01-01' THEN 'early' ELSE 'late' END AS period, ROUND(AVG(fwd_20) FILTER (r <= k) - AVG(fwd_20) FILTER (r > n - k), 9) AS spread FROM (SELECT *, GREATEST(1, CAST(FLOOR(n * 0.1) AS INT)) AS k FROM r WHERE n >= 8) GROUP BY date, n)"""
+
+
+def _spread(s, d):
+    rows = ranking.long_short_spread(features.forward_returns(features.momentum_score(view(s, d, "bars")), (20,)), "mom_score", "fwd_20", least=8)
+    return rows.select("date", F.when(F.col("date") < "1995-01-01", "early").otherwise("late").alias("period"), F.round("spread", 9).alias("spread"))
+
+
+add("d10_spread_intervals", lambda s, d: edge.mean_interval(written(_spread(s, d), "spread"), "spread", ["period"], 20),
+    duck("bars") + _SPREAD + ", " + bootstrap_sql("sd", "period", "20", {"total": "spread"}, 1) + """, q AS (SELECT period, QUANTILE_CONT(total / n, 0.025) AS low, QUANTILE_CONT(total / n, 0.975) AS high FROM boot GROUP BY 1), e AS (SELECT period, COUNT(*) AS n, AVG(spread) AS mean FROM sd GROUP BY 1 HAVING COUNT(*) >= 30)
+    SELECT period, n, ROUND(mean, 6) AS mean, ROUND(low, 6) AS low, ROUND(high, 6) AS high, CASE WHEN low > 0 THEN 'positive' WHEN high < 0 THEN 'negative' ELSE 'none' END AS verdict FROM e JOIN q USING (period)""")
 _SCORED = ", scored AS (SELECT *, ROUND(confidence * CASE WHEN action = 'HOLD' THEN 0.05 ELSE GREATEST(target_weight, 0.05) END, 9) AS score FROM signals)"
 _WON = ", won AS (SELECT * FROM scored WHERE TRUE QUALIFY ROW_NUMBER() OVER (PARTITION BY date, symbol ORDER BY score DESC, action = 'BUY' DESC, agent_ord) = 1), win AS (SELECT * FROM won WHERE score >= 0.02)"
 add("f04_arena_winner", lambda s, d: ranking.arena_winner(_signals(s, d)).select("symbol", "date", "agent", "action", "score"), SIGNALS + _SCORED + _WON + " SELECT symbol, date, agent, action, ROUND(score, 6) AS score FROM win", ("date",))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,25 +27,70 @@ def latest(rows: DataFrame, priority: str) -> DataFrame:
 
 
 def checksum() -> Column:
-    """16 hex digits of the sha256 over dates and prices to six places; volume is left out. An aggregate."""
+    """16 hex digits over dates and prices to six places; volume is left out. An aggregate.
+
+    Rows are digested one by one and two parts of their digests summed, so neither order nor number of rows matters to memory, and partial sums combine.
+    """
     line = F.concat_ws("|", F.date_format("date", "yyyy-MM-dd"), *(F.format_string("%.6f", C(c)) for c in ("open", "high", "low", "close")))
-    return F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256), 1, 16)
+    part = lambda at: F.coalesce(F.sum(F.conv(F.substring(F.sha2(line, 256), at, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string")
+    return F.substring(F.sha2(F.concat_ws("|", F.count("*").cast("string"), part(1), part(16)), 256), 1, 16)
 
 
 def manifest(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").agg(F.count("*").alias("n_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), checksum().alias("checksum"))
 
 
-def write_snapshot(bars: DataFrame, path: str) -> None:
-    """Bars by symbol and, beside them, the manifest."""
-    bars.repartition("symbol").write.partitionBy("symbol").parquet(f"{path}/bars")
-    manifest(bars).write.parquet(f"{path}/manifest")
+def _files(spark: SparkSession, path: str):
+    """(file system, path) as Spark's own readers see them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    fs, at = _files(spark, path)
+    names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n[9:]) for n in names if n.startswith("manifest-") and n[9:].isdigit())
+
+
+def write_snapshot(bars: DataFrame, path: str) -> int:
+    """A new version of the snapshot at ``path``: bars by symbol and their manifest.
+
+    Both are staged under names of their own; the version exists from the moment the manifest, which names its bars, is renamed. A write that
+    ends before that leaves the older versions as they are, and of two writers of one version the later fails.
+    """
+    spark, token = bars.sparkSession, uuid.uuid4().hex[:12]
+    version = max(_versions(spark, path), default=0) + 1
+    bars.repartition("symbol", F.year("date")).write.partitionBy("symbol").parquet(f"{path}/bars-{token}")
+    held = spark.read.parquet(f"{path}/bars-{token}").withColumn("symbol", C("symbol").cast("string"))
+    manifest(held).withColumn("bars", F.lit(f"bars-{token}")).write.parquet(f"{path}/_staged-{token}")
+    fs, staged = _files(spark, f"{path}/_staged-{token}")
+    _, final = _files(spark, f"{path}/manifest-{version}")
+    if fs.exists(final) or not fs.rename(staged, final):
+        raise FileExistsError(f"{path}: version {version} exists")
+    return version
 
 
-def tampered(spark: SparkSession, path: str) -> DataFrame:
-    """Symbols of the manifest that are missing or whose checksum differs."""
-    now = manifest(spark.read.parquet(f"{path}/bars")).select("symbol", C("checksum").alias("now"))
-    return spark.read.parquet(f"{path}/manifest").join(now, "symbol", "left").where("now IS NULL OR now <> checksum").select("symbol", "checksum", "now")
+def read_snapshot(spark: SparkSession, path: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(bars, manifest) of a version, the newest complete one by default."""
+    version = version or max(_versions(spark, path), default=0)
+    if not version:
+        raise FileNotFoundError(f"{path}: no complete snapshot")
+    listed = spark.read.parquet(f"{path}/manifest-{version}")
+    folder = listed.select("bars").first()
+    if folder is None:
+        raise FileNotFoundError(f"{path}: an empty snapshot")
+    return spark.read.parquet(f"{path}/{folder.bars}").withColumn("symbol", C("symbol").cast("string")), listed.drop("bars")
+
+
+def changed(listed: DataFrame, bars: DataFrame) -> DataFrame:
+    """Symbols of a manifest that ``bars`` lacks or whose checksum differs."""
+    now = manifest(bars).select("symbol", C("checksum").alias("now"))
+    return listed.join(now, "symbol", "left").where("now IS NULL OR now <> checksum").select("symbol", "checksum", "now")
+
+
+def tampered(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    bars, listed = read_snapshot(spark, path, version)
+    return changed(listed, bars)
 
 
 FACTS_JSON = "map<string, struct<units: map<string, array<struct<start: string, end: string, val: double, filed: string, form: string, fy: int, fp: string>>>>>"
@@ -87,6 +134,18 @@ def factor_table(factors_pct: DataFrame, momentum_pct: DataFrame) -> DataFrame:
     return to_decimal(factors_pct).join(to_decimal(momentum_pct), "date")
 
 
+def beta_columns(fits: DataFrame, by: str, factors: list[str]) -> DataFrame:
+    """Long regression rows (by, term, coef, t, p, r2, ..) -> a row per group: alpha with its t and p, a beta_<factor> column each, and the fit's figures."""
+    of = lambda term, c: F.first(F.when(C("term") == term, C(c)), ignorenulls=True)
+    alpha = (of("alpha", c).alias(n) for c, n in (("coef", "alpha"), ("t", "alpha_t"), ("p", "alpha_p")))
+    return fits.groupBy(by).agg(*alpha, *(of(f, "coef").alias(f"beta_{f}") for f in factors), *(F.first(c).alias(c) for c in ("r2", "adj_r2", "resid_vol", "n")))
+
+
+def write_report_csv(rows: DataFrame, path: str) -> None:
+    """One CSV file with a header; a report has a row per agent."""
+    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_report(rows: DataFrame, path: str, dates: DataFrame | None = None, least: int = 60) -> bool:
     """JSON rows; refuses to replace a report by one of fewer than ``least`` dates."""
     if dates is not None and dates.select("date").distinct().count() < least:

@@ -1,5 +1,7 @@
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quantpanel.operators import trades
@@ -12,13 +14,48 @@ from .conftest import SF
 
 def test_snapshot_round_trip_and_tampering(spark, tmp_path):
     bars = view(spark, SF, "bars").where("symbol IN ('S1', 'S2')")
-    lake.write_snapshot(bars, f"{tmp_path}/snap")
-    assert lake.tampered(spark, f"{tmp_path}/snap").count() == 0
+    path = f"{tmp_path}/snap"
+    assert lake.write_snapshot(bars, path) == 1 and lake.tampered(spark, path).count() == 0
     louder = bars.withColumn("volume", F.col("volume") * 2)
     assert lake.manifest(louder).exceptAll(lake.manifest(bars)).count() == 0
     moved = bars.withColumn("close", F.col("close") + 0.01)
-    moved.write.mode("overwrite").partitionBy("symbol").parquet(f"{tmp_path}/snap/bars")
-    assert lake.tampered(spark, f"{tmp_path}/snap").count() == 2
+    folder = next(p for p in (tmp_path / "snap").iterdir() if p.name.startswith("bars-"))
+    moved.write.mode("overwrite").partitionBy("symbol").parquet(str(folder))
+    assert lake.tampered(spark, path).count() == 2
+    # order and repartitioning leave the checksum alone, a repeated row does not
+    assert lake.manifest(bars.orderBy(F.desc("close")).repartition(7)).exceptAll(lake.manifest(bars)).count() == 0
+    assert lake.changed(lake.manifest(bars), bars.union(bars.where("symbol = 'S1'").limit(1))).select("symbol").collect()[0].symbol == "S1"
+    assert [r.now for r in lake.changed(lake.manifest(bars), bars.where("symbol = 'S1'")).collect()] == [None]
+
+
+def test_interrupted_snapshot_leaves_the_old_one(spark, tmp_path, monkeypatch):
+    bars = view(spark, SF, "bars").where("symbol IN ('S1', 'S2')")
+    path = f"{tmp_path}/snap"
+    lake.write_snapshot(bars, path)
+    with monkeypatch.context() as m:
+        m.setattr(lake, "manifest", lambda rows: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            lake.write_snapshot(bars.where("symbol = 'S1'"), path)
+    held, listed = lake.read_snapshot(spark, path)
+    assert {r.symbol for r in listed.collect()} == {"S1", "S2"} and held.count() == bars.count()
+    assert lake.write_snapshot(bars.where("symbol = 'S1'"), path) == 2
+    assert [r.symbol for r in lake.read_snapshot(spark, path)[1].collect()] == ["S1"] and lake.read_snapshot(spark, path, 1)[0].count() == bars.count()
+    with pytest.raises(FileNotFoundError):
+        lake.read_snapshot(spark, f"{tmp_path}/none")
+
+
+def test_factor_table_and_reports(spark, tmp_path):
+    day = dt.date(2024, 1, 1)
+    three = spark.createDataFrame([(day, 1.0, -2.0), (day + dt.timedelta(1), None, 1.0), (day + dt.timedelta(2), 3.0, 0.0)], "date date, mkt double, smb double")
+    mom = spark.createDataFrame([(day, 0.5), (day + dt.timedelta(1), 0.5)], "date date, mom double")
+    assert [tuple(r) for r in lake.factor_table(three, mom).collect()] == [(day, 0.01, -0.02, 0.005)]
+    fits = spark.createDataFrame([("A", t, c, c * 10, 0.01, 0.5, 0.4, 0.1, 99) for t, c in (("alpha", 0.1), ("mkt", 1.1), ("smb", -0.3))], "agent string, term string, coef double, t double, p double, r2 double, adj_r2 double, resid_vol double, n long")
+    wide = lake.beta_columns(fits, "agent", ["mkt", "smb"])
+    lake.write_report_csv(wide, f"{tmp_path}/csv")
+    back = spark.read.option("header", True).option("inferSchema", True).csv(f"{tmp_path}/csv").first()
+    assert (back.agent, back.alpha, back.alpha_t, back.beta_mkt, back.beta_smb, back.n) == ("A", 0.1, 1.0, 1.1, -0.3, 99)
+    assert lake.write_report(wide, f"{tmp_path}/json") and spark.read.json(f"{tmp_path}/json").count() == 1
+    assert not lake.write_report(wide.limit(0), f"{tmp_path}/json", three) and spark.read.json(f"{tmp_path}/json").count() == 1
 
 
 def test_lakes_keep_the_last(spark, tmp_path):
@@ -66,3 +103,21 @@ def test_breaker_stream_equals_batch(spark, tmp_path):
     got = events.run_available(events.breaker(read()), spark, f"{tmp_path}/out", f"{tmp_path}/cp").select("account", "seq", "level")
     want = trades.drawdown_breaker(bars, "account", "seq").select("account", "seq", "level")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_shuffled_breaker_stream_equals_batch(spark, tmp_path):
+    """Rows come up to a day late and in any order; one far row of another account lets the last ones through."""
+    rng = random.Random(11)
+    day = dt.datetime(2024, 1, 1)
+    rows = [(a, day + dt.timedelta(hours=k), k, 100.0 + rng.gauss(0, 4) + k * 0.05) for a in ("A", "B", "C") for k in range(120)]
+    late = sorted(rows, key=lambda r: r[1] + dt.timedelta(hours=rng.uniform(0, 20)))
+    schema = "account string, ts timestamp, seq long, netliq double"
+    batches = [late[k : k + 60] for k in range(0, len(late), 60)] + [[("Z", day + dt.timedelta(days=400), 0, 1.0)]]
+    for k, part in enumerate(batches):
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/b{k:03d}")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        events.run_available(events.breaker_in_order(stream, "24 hours"), spark, f"{tmp_path}/out", f"{tmp_path}/cp")
+    got = spark.read.parquet(f"{tmp_path}/out").where("account <> 'Z'").select("account", "seq", "level")
+    want = trades.drawdown_breaker(spark.createDataFrame(rows, schema), "account", "seq").select("account", "seq", "level")
+    assert got.count() == len(rows) and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and got.where("level = 3").count() > 0
