@@ -6,8 +6,9 @@ the index by sort-merge on the bucketed key, and the new digests are appended. L
 through a join that adaptive execution can split, so a hot digest does not land in one task.
 
 Defined cases: null text counts as empty; empty texts form one group; ties on length go to the smallest
-``doc_id``; repeated rows are members of one group; an empty table gives an empty result and leaves the
-index as it was; extra columns are ignored. A text whose digest an earlier batch added is a copy of that
+``doc_id``; repeated rows are members of one group; a row without a doc_id comes last among equals and stays only where no
+other can: one of such rows is kept then, and its keep_id is null; an empty table gives an empty result and leaves the
+index as it was; extra columns are ignored, whatever their names. A text whose digest an earlier batch added is a copy of that
 batch's row: ``kept`` is false and ``keep_id`` names the earlier row.
 """
 
@@ -58,21 +59,20 @@ class DigestIndex:
         Returns doc_id, digest, keep_id, group_size (rows of this batch with the digest), kept.
         """
         keyed = materialize(
-            docs.select("doc_id", F.unhex(F.sha2(normalized(F.col("text")), 256)).alias("digest"), F.length(F.coalesce("text", F.lit(""))).alias("points")),
+            docs.select("doc_id", F.unhex(F.sha2(normalized(F.col("text")), 256)).alias("digest"), F.length(F.coalesce("text", F.lit(""))).alias("points"), F.monotonically_increasing_id().alias("row")),
             "digests",
         )
-        batch = materialize(
-            keyed.groupBy("digest").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("points")).alias("p"), "doc_id")).alias("best")).select("digest", "group_size", F.col("best.doc_id").alias("first_id")),
-            "digest-groups",
-        )
-        known = self.rows().select("digest", F.col("keep_id").alias("known_id")).hint("merge")
+        best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
+        batch = keyed.groupBy("digest").agg(F.count("*").alias("group_size"), best)
+        batch = materialize(batch.select("digest", "group_size", F.col("best.doc_id").alias("first_id"), F.col("best.row").alias("first_row")), "digest-groups")
+        known = self.rows().select("digest", F.col("keep_id").alias("known_id"), F.lit(True).alias("known")).hint("merge")
         groups = materialize(batch.join(known, "digest", "left"), "digest-known")
         self.append(batch.hint("merge").join(self.rows().select("digest"), "digest", "left_anti").withColumnRenamed("first_id", "keep_id"))
-        shared = groups.where("group_size > 1 OR known_id IS NOT NULL")
-        keep = F.coalesce("known_id", "first_id", "doc_id")
-        return keyed.join(shared, "digest", "left").select(
-            "doc_id", "digest", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("known_id").isNull() & (keep == F.col("doc_id"))).alias("kept")
-        )
+        shared = groups.where("group_size > 1 OR known")
+        alone, known = F.col("group_size").isNull(), F.coalesce("known", F.lit(False))
+        keep = F.when(known, F.col("known_id")).when(alone, F.col("doc_id")).otherwise(F.col("first_id"))
+        first = F.coalesce(F.col("doc_id") == F.col("first_id"), F.lit(False)) | (F.col("row") == F.col("first_row"))
+        return keyed.join(shared, "digest", "left").select("doc_id", "digest", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (~known & (alone | first)).alias("kept"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ Prediction sums a table row per character position, so it reads whole texts and
 
 Defined cases: null text, and text without a letter, is ``und`` with score 0; a null lang is not learned from; without labelled
 rows all is ``und``; ties between languages go to the first in order; repeated rows count once in the sample; texts of any length
-are read whole; an empty table gives an empty result; extra columns are ignored and kept.
+are read whole; an empty table gives an empty result; extra columns are kept, whatever their names, but for held_out, lang_pred and score,
+which the result's replace.
 """
 
 from __future__ import annotations
@@ -203,7 +204,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         found = [shared.value.predict(t.as_py()) for t in texts]
         return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"])
 
-    return docs.withColumn("guess", guess("text")).withColumns({"lang_pred": F.col("guess.lang_pred"), "score": F.col("guess.score")}).drop("guess")
+    found = docs.select(F.struct(*docs.columns).alias("row"), guess("text").alias("guess"))
+    own = (F.col("row")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score"))
+    return found.select(*own, "guess.lang_pred", "guess.score")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -5,8 +5,9 @@ is longer than that, so every notice lies whole in one. A template is a set of w
 ``threshold`` of its words. The template words are ordered by document frequency over the whole corpus, rarest first. With n words and o = ceil(threshold * n)
 needed, a meeting block holds one of the first n - o + 1 (prefix filter), at least o distinct words (length filter), and
 enough words after its first match in both orders (positional filter). Only blocks that pass are compared in full. Every template
-that a block meets counts, but for those whose matched words are all, and not all, matched by another one in that block or one beside it:
-notices that differ in a version or a clause do not name each other.
+that a block meets is reported. Of these meets, a variant gives way where another template in that block or one beside it matched all of its
+words there and more, or the same words as a larger part of its own: notices that differ in a version or a clause do not name each other. A
+template all of whose words stand in a row in the block stays whatever else stands there.
 The template table is a fixed parameter, so broadcasting it is bounded.
 
 Beside the templates, ``PHRASES`` are found wherever their words stand consecutively, with their places.
@@ -72,7 +73,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def similar_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """key, block (window number), template, label, matched (its words there), containment of every block and template it meets."""
+    """key, block (window number), template, label, matched (its words there), containment, in_row (its words stand there in a row) of every block and template it meets."""
     spark = docs.sparkSession
     if any(len(text.split()) > STRIDE for text, _ in templates):
         raise ValueError(f"a template has more than {STRIDE} words")
@@ -80,28 +81,30 @@ def similar_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
     rows, prefixes = [], set()
     for k, (text, label) in enumerate(templates):
         tokens = sorted(set(text.split()), key=order.index)
+        phrase = f" {text} "
         need = math.ceil(threshold * len(tokens) - 1e-9)
         for i, t in enumerate(tokens[: len(tokens) - need + 1]):
-            rows.append((t, k, label, i, need, tokens))
+            rows.append((t, k, label, i, need, tokens, phrase))
             prefixes.add(t)
-    index = F.broadcast(spark.createDataFrame(rows, "token string, template int, label string, i int, need int, tokens array<string>"))
+    index = F.broadcast(spark.createDataFrame(rows, "token string, template int, label string, i int, need int, tokens array<string>, phrase string"))
     sought = F.array(*map(F.lit, sorted(prefixes)))
     blocks = docs.where(F.col("text").rlike(_any_word(sorted(prefixes)))).select("key", words_of(F.col("text")).alias("words"))
     window = lambda k: F.struct(k.alias("block"), F.slice("words", k * STRIDE + 1, 2 * STRIDE).alias("words"))
     windows = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / STRIDE).cast("int")), window)
     blocks = blocks.where("size(words) > 0").dropDuplicates(["key"]).select("key", F.explode(F.filter(windows, lambda w: F.arrays_overlap(w["words"], sought))).alias("w"))
     ordered = F.array_intersect(F.array(*map(F.lit, order)), "w.words")
-    blocks = blocks.select("key", "w.block", F.size(F.array_distinct("w.words")).alias("n_words"), ordered.alias("known"))
+    blocks = blocks.select("key", "w.block", F.size(F.array_distinct("w.words")).alias("n_words"), ordered.alias("known"), F.concat(F.lit(" "), F.array_join("w.words", " "), F.lit(" ")).alias("said"))
     hits = blocks.select("*", F.posexplode("known").alias("j", "token")).join(index, "token")
     hits = hits.where("n_words >= need AND 1 + least(size(tokens) - i - 1, size(known) - j - 1) >= need")
     hits = hits.withColumn("matched", F.array_intersect("known", "tokens")).where("size(matched) >= need")
-    return hits.groupBy("key", "block", "template", "label", "matched").agg((F.size("matched") / F.max(F.size("tokens"))).alias("containment"))
+    return hits.groupBy("key", "block", "template", "label", "matched").agg((F.size("matched") / F.max(F.size("tokens"))).alias("containment"), F.max(F.contains("said", "phrase")).alias("in_row"))
 
 
 def own_templates(blocks: DataFrame) -> DataFrame:
-    """The met templates but those whose matched words are part of another's, in the same block or one beside it."""
-    other = blocks.select("key", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)).alias("block"), F.col("matched").alias("more"))
-    covered = (F.size("more") > F.size("matched")) & (F.size(F.array_except("matched", "more")) == 0)
+    """The met templates but the variants of a better one in the same block or one beside it."""
+    other = blocks.select("key", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)).alias("block"), F.col("matched").alias("more"), F.col("containment").alias("part"))
+    better = (F.size("more") > F.size("matched")) | (F.col("part") > F.col("containment"))
+    covered = ~F.col("in_row") & better & (F.size(F.array_except("matched", "more")) == 0)
     return blocks.join(other, ["key", "block"]).groupBy("key", "block", "template", "label", "containment").agg(F.max(covered).alias("covered")).where("NOT covered")
 
 
@@ -163,11 +166,11 @@ p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
 f AS ({' UNION ALL '.join(places)}),
 b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS base FROM f GROUP BY doc_id),
 k AS (SELECT doc_id, s // {STRIDE} AS block, list_slice(w, s + 1, s + {2 * STRIDE}) AS v FROM (SELECT doc_id, w, unnest(range(0, len(w), {STRIDE})) AS s FROM d)),
-t AS (SELECT s.tokens, s.label FROM (SELECT unnest([{', '.join(f"{{'tokens': [{', '.join(map(quoted, sorted(set(t.split()))))}], 'label': {quoted(label)}}}" for t, label in TEMPLATES)}]) AS s)),
-n AS (SELECT doc_id, block, label, list_intersect(v, tokens) AS matched, len(tokens) AS n FROM k, t
+t AS (SELECT s.tokens, s.label, s.phrase FROM (SELECT unnest([{', '.join(f"{{'tokens': [{', '.join(map(quoted, sorted(set(t.split()))))}], 'label': {quoted(label)}, 'phrase': {quoted(t)}}}" for t, label in TEMPLATES)}]) AS s)),
+n AS (SELECT doc_id, block, label, list_intersect(v, tokens) AS matched, len(tokens) AS n, contains(' ' || array_to_string(v, ' ') || ' ', ' ' || phrase || ' ') AS whole FROM k, t
       WHERE list_has_any(v, tokens) AND len(list_intersect(v, tokens)) >= ceil({THRESHOLD} * len(tokens) - 1e-9)),
-m AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM n AS x WHERE x.doc_id = n.doc_id AND abs(x.block - n.block) <= 1
-      AND len(x.matched) > len(n.matched) AND list_has_all(x.matched, n.matched))),
+m AS (SELECT * FROM n WHERE whole OR NOT EXISTS (SELECT 1 FROM n AS x WHERE x.doc_id = n.doc_id AND abs(x.block - n.block) <= 1 AND list_has_all(x.matched, n.matched)
+      AND (len(x.matched) > len(n.matched) OR len(x.matched) * n.n > len(n.matched) * x.n))),
 o AS (SELECT doc_id, list(DISTINCT label) AS own, max(len(matched) / n) AS containment FROM m GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,

@@ -1,11 +1,12 @@
 """Token-id files: documents in ascending doc_id order, ids range-coded in independent, checksummed blocks.
 
 File: magic, then blocks of (ids, words, crc32 of the ids, crc32 of the words, words), then the documents' ids and
-lengths, then a footer with the place of the document table. A file holds one range of doc_ids; ``_manifest`` lists
+lengths, then a footer with the place of the document table. A file holds one range of (doc_id, hash of the text); ``_manifest`` lists
 the committed files in order with their counts, so what a lost or repeated task left behind is never read.
 
-Defined cases: null text is empty (the end id alone); ties in doc_id keep one range and are ordered by text; an empty
-table writes an empty manifest; texts of any length span blocks; extra columns are ignored.
+Defined cases: null text is empty (the end id alone); documents without a doc_id come first; ties in doc_id are ordered by a hash of the
+text, so a doc_id that many rows share is spread over files; an empty table writes an empty manifest; texts of any length span blocks; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .range_coder import BLOCK_IDS, decode_block, encode_block
 from .tokens import encode_slices, token_path
 
 MAGIC = b"TOKBLK01"
-HEAD, BLOCK, FOOT = struct.Struct("<8sI"), struct.Struct("<IIII"), struct.Struct("<QQII8s")
+HEAD, BLOCK, FOOT = struct.Struct("<8sI"), struct.Struct("<IIII"), struct.Struct("<QQQII8s")
 
 
 def _file_system(uri: str):
@@ -42,7 +43,7 @@ class TokenFile:
         self.stream, self.vocab = stream, vocab
         self.waiting: list[np.ndarray] = []
         self.held = self.at = self.blocks = 0
-        self.docs: list[int] = []
+        self.docs: list[int | None] = []
         self.sizes: list[int] = []
         self._put(HEAD.pack(MAGIC, vocab))
 
@@ -50,7 +51,7 @@ class TokenFile:
         self.stream.write(raw)
         self.at += len(raw)
 
-    def add(self, docs: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, docs: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> None:
         """Documents in order, their ids one after another."""
         self.docs.extend(docs)
         self.sizes.extend(sizes.tolist())
@@ -71,9 +72,10 @@ class TokenFile:
 
     def close(self) -> None:
         self._flush(1)
-        place, rows = self.at, np.array([self.docs, self.sizes], "<i8").tobytes()
+        nameless = self.docs.count(None)  # they stand first
+        place, rows = self.at, np.array([[0] * nameless + self.docs[nameless:], self.sizes], "<i8").tobytes()
         self._put(rows)
-        self._put(FOOT.pack(place, len(self.docs), self.blocks, zlib.crc32(rows), MAGIC))
+        self._put(FOOT.pack(place, len(self.docs), nameless, self.blocks, zlib.crc32(rows), MAGIC))
         self.stream.close()
 
 
@@ -84,14 +86,14 @@ def _writer(folder: str, path: str, kind: str, vocab: int):
         files, root = _file_system(folder)
         name, out, first = f"part-{uuid.uuid4().hex}.tok", None, None
         for batch in batches:
-            docs = batch.column("doc_id").to_pylist()
+            docs, hashes = batch.column("doc_id").to_pylist(), batch.column("h")
             for begin, end, ids, cuts in encode_slices(batch.column("text"), path, kind):
                 if out is None:
-                    out, first = TokenFile(files.open_output_stream(f"{root}/{name}"), vocab), docs[begin]
+                    out, first = TokenFile(files.open_output_stream(f"{root}/{name}"), vocab), (docs[begin], hashes[begin].as_py())
                 out.add(docs[begin:end], np.diff(cuts), ids)
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_pydict({"file": [name], "first_doc": pa.array([first], pa.int64()), "docs": pa.array([len(out.docs)], pa.int64()), "tokens": pa.array([sum(out.sizes)], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"file": [name], "first_doc": pa.array([first[0]], pa.int64()), "first_hash": pa.array([first[1]], pa.int64()), "docs": pa.array([len(out.docs)], pa.int64()), "tokens": pa.array([sum(out.sizes)], pa.int64())})
 
     return run
 
@@ -105,10 +107,10 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, kind: st
     vocab = Tokenizer.from_file(path).get_vocab_size(True) + 1
     files, root = _file_system(folder)
     files.create_dir(root)
-    ordered = docs.select("doc_id", "text").where("doc_id IS NOT NULL").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows = ordered.mapInArrow(_writer(folder, path, kind, vocab), "file string, first_doc long, docs long, tokens long").collect()
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    rows = ordered.mapInArrow(_writer(folder, path, kind, vocab), "file string, first_doc long, first_hash long, docs long, tokens long").collect()
     start, listed = 0, []
-    for r in sorted(rows, key=lambda r: r.first_doc):
+    for r in sorted(rows, key=lambda r: (r.first_doc is not None, r.first_doc or 0, r.first_hash)):
         listed.append({"file": r.file, "docs": r.docs, "tokens": r.tokens, "start": start})
         start += r.tokens
     with files.open_output_stream(f"{root}/_manifest") as out:
@@ -138,7 +140,7 @@ class _TokenReader(DataSourceReader):
         files, root = _file_system(self.folder)
         with files.open_input_file(f"{root}/{partition.file}") as f:
             f.seek(f.size() - FOOT.size)
-            place, n, blocks, crc, magic = FOOT.unpack(f.read(FOOT.size))
+            place, n, nameless, blocks, crc, magic = FOOT.unpack(f.read(FOOT.size))
             f.seek(place)
             rows = f.read(16 * n)
             if magic != MAGIC or zlib.crc32(rows) != crc:
@@ -146,14 +148,19 @@ class _TokenReader(DataSourceReader):
             docs, sizes = np.frombuffer(rows, "<i8").reshape(2, n)
             f.seek(0)
             vocab = HEAD.unpack(f.read(HEAD.size))[1]
-            start, k, held = partition.start, 0, b""
+            none = np.arange(n) < nameless
+            start, k, parts, waiting = partition.start, 0, [], 0
             for _ in range(blocks):
                 ids, words, ids_crc, words_crc = BLOCK.unpack(f.read(BLOCK.size))
                 raw = f.read(4 * words)
                 block = decode_block(np.frombuffer(raw, "<u4"), ids, vocab).tobytes() if zlib.crc32(raw) == words_crc else b""
                 if zlib.crc32(block) != ids_crc:
                     raise ValueError(f"{partition.file}: damaged block")
-                held += block
+                parts.append(block)
+                waiting += len(block)
+                if waiting < 4 * sizes[k]:  # a document over many blocks is put together once
+                    continue
+                held = b"".join(parts)
                 ends = 4 * np.cumsum(sizes[k : k + len(held) // 4 + 1])
                 whole = int(np.searchsorted(ends, len(held), side="right"))
                 if whole:
@@ -162,8 +169,9 @@ class _TokenReader(DataSourceReader):
                     starts = start + np.array(cuts[:-1]) // 4
                     for at in range(0, whole, 512):
                         part = slice(at, at + 512)
-                        yield pa.RecordBatch.from_arrays([pa.array(docs[k : k + whole][part]), pa.array(starts[part], pa.int64()), pa.array(pieces[part], pa.binary())], ["doc_id", "start", "ids"])
+                        yield pa.RecordBatch.from_arrays([pa.array(docs[k : k + whole][part], mask=none[k : k + whole][part]), pa.array(starts[part], pa.int64()), pa.array(pieces[part], pa.binary())], ["doc_id", "start", "ids"])
                     start, k, held = start + cuts[-1] // 4, k + whole, held[cuts[-1] :]
+                parts, waiting = [held], len(held)
 
 
 class TokenSource(DataSource):

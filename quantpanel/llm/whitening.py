@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 C = F.col
-COMPONENTS, GUARD, DEGREE, ROUNDS, TOLERANCE = 16, 24, 8, 40, 2e-14
+COMPONENTS, GUARD, DEGREE, ROUNDS, TOLERANCE = 16, 32, 8, 40, 2e-14
 SCALE, SHIFT, LARGEST = 64, 1_000_000, 2.0**24
 #: The filter may enlarge the largest wanted direction so much over the smallest before columns are made orthogonal again.
 SPREAD = 1e6

@@ -196,14 +196,26 @@ def _split(pattern, text):
     return [u for u in re.split(pattern, text) if u]
 
 
+def _twelve(unit):
+    words = unit.split(" ")
+    words = [w + " " for w in words[:-1]] + words[-1:]
+    return [x for x in ("".join(words[k : k + 12]) for k in range(0, len(words), 12)) if x]
+
+
 def _chunks(text):
     """Lists of units: cut behind every local minimum of a rolling hash over two units."""
     ends = [m.end() for m in re.finditer(_CUT, text)]
     units = [u for u in (text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])) if u]
+    units = [part for u in units for part in (_twelve(u) if u.count(" ") > line_dedup.UNIT_WORDS else [u])]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     h = [xxhash.xxh64_intdigest(u.encode(), 42) for u in units]
     r = [signed(x ^ ((h[i - 1] << 1) & (2**64 - 1) if i else 0)) for i, x in enumerate(h)]
-    ends = [i for i in range(2, len(r) - 1) if r[i] < r[i - 1] and r[i] < r[i + 1]] + ([len(r) - 1] if r else [])
+    low = {i for i in range(2, len(r) - 1) if r[i] < r[i - 1] and r[i] < r[i + 1]} | ({len(r) - 1} if r else set())
+    ends, held = [], 0
+    for i in range(len(r)):  # at a minimum, or where a chunk is full
+        held += 1
+        if i in low or held == line_dedup.MAX_UNITS:
+            ends, held = [*ends, i], 0
     begins = [0, *(e + 1 for e in ends)]
     return [units[b : e + 1] for b, e in zip(begins, ends)]
 
@@ -272,6 +284,69 @@ def test_line_dedup_against_brute_force(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_of_equal_units(spark):
+    """Runs of one line or one word, shared by texts that begin and end in other ways."""
+    rng = np.random.default_rng(14)
+    own = lambda n=4: " ".join(f"v{x}" for x in rng.integers(0, 9000, n))
+    line = "the same line of forty-one characters...\n"
+    rows = [(k, own(k + 3) + "\n" + line * 300 + own(5)) for k in (1, 2)] + [(k, own(k) + " " + "again " * 1700 + own(6)) for k in (3, 4)] + [(5, own(2) + " " + "ab cd " * 800 + own())]
+    want = _dedup_lines(rows)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert got == want
+    assert len(got[2]) < 120 and len(got[4]) < 120  # the later copy goes but for the units that its beginning shares
+    assert all(own_end.split()[-1] in got[k] for k, own_end in rows)
+
+
+def test_clashing_columns_stay(spark):
+    rng = np.random.default_rng(15)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 9000, 80))
+    names = ["h", "chunks", "key", "units", "sizes", "row", "marks", "guess", "runs", "made", "cut", "ends"]
+    frame = spark.createDataFrame([(k, text + f" {k}", "en", *(f"{n}{k}" for n in names)) for k in range(6)], ["doc_id", "text", "lang", *names])
+    for out in (line_dedup.dedup_lines(frame), language_id.identify(frame)):
+        assert {r.doc_id: [r[n] for n in names] for r in out.collect()} == {k: [f"{n}{k}" for n in names] for k in range(6)}
+    twice = language_id.identify(frame.withColumnsRenamed({"h": "score", "key": "lang_pred"}).withColumn("held_out", F.lit("x")))
+    assert twice.columns.count("score") == twice.columns.count("lang_pred") == twice.columns.count("held_out") == 1 and dict(twice.dtypes)["score"] == "double"
+    assert line_dedup.dedup_lines(frame.withColumnRenamed("h", "n_lines_removed")).columns.count("n_lines_removed") == 1
+
+
+def test_rows_without_an_id(spark):
+    rows = [(None, "only here"), (None, "onlyhere"), (None, "only here"), (7, "named too"), (None, "named  too"), (None, "namedtoo"), (3, "alone"), (None, "single")]
+    index = exact_dedup.DigestIndex(spark, fresh_path(spark, "idx"), 2)
+    got = index.dedup(docs(spark, rows)).collect()
+    of = lambda text: [r for r in got if bytes(r.digest).hex() == __import__("hashlib").sha256(text.encode()).hexdigest()]
+    assert len(got) == 8 and all(r.kept is not None for r in got)
+    assert sum(r.kept for r in of("onlyhere")) == 1 and {(r.keep_id, r.group_size) for r in of("onlyhere")} == {(None, 3)}
+    # the longest original stays though it has no id; with one length the named row stays
+    assert [(r.doc_id, r.keep_id) for r in of("namedtoo") if r.kept] == [(None, None)] and len(of("namedtoo")) == 3
+    equal = exact_dedup.DigestIndex(spark, fresh_path(spark, "idx"), 2).dedup(docs(spark, [(None, "a b"), (9, "a b"), (None, "a b")])).collect()
+    assert {(r.doc_id, r.keep_id, r.kept) for r in equal} == {(9, 9, True), (None, 9, False)}
+    again = index.dedup(docs(spark, [(1, "only here"), (2, "alone"), (None, "fresh")])).collect()
+    assert {(r.doc_id, r.keep_id, r.kept) for r in again} == {(1, None, False), (2, 3, False), (None, None, True)}
+
+
+def test_token_files_keep_rows_without_an_id(spark):
+    folder = fresh_path(spark, "tok")
+    rows = [(None, "first one"), (5, "five"), (None, None), (-3, "minus"), (5, "five"), (5, "other five"), (None, "first one")]
+    token_output.write_tokens(docs(spark, rows), folder)
+    got = sorted(token_output.read_tokens(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, None, -3, 5, 5, 5]
+    encode = tokens.Encoder(tokens.token_path("word_bpe_49k.json"), "word")
+    assert Counter((r.doc_id, bytes(r.ids)) for r in got) == Counter((i, _ids(encode, [t])[0]) for i, t in rows)
+    assert [r.start for r in got] == np.cumsum([0, *(len(r.ids) // 4 for r in got)])[:-1].tolist()
+
+
+def test_op8_against_the_documents(spark):
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokens.token_path("word_bpe_49k.json"))
+    start, want = 0, {}
+    for i in sorted(rows):
+        ids = [*whole.encode(rows[i] or "", add_special_tokens=False).ids, 1]
+        want[i], start = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), start + len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.queries()["op8_token_output"](spark, SF).collect()} == want
+
+
 def test_line_dedup_of_a_real_table(spark):
     real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     want = _dedup_lines([(r.doc_id, r.text) for r in real.collect()])
@@ -282,11 +357,15 @@ TEMPLATE_ENDS = "this work is licensed under the gnu general public license vers
 
 
 def test_license_scan(spark):
-    rows = ODD + [(20, "Released under the MIT License."), (21, "gnu GENERAL-public license gnu general public license"), (22, "cc\nby"), (23, "licensed under CC BY-NC 4.0"), (24, "succ by"), (25, "All rights reserved.")]
+    rows = ODD + [(20, "Released under the MIT License."), (21, "gnu GENERAL-public license gnu general public license"), (22, "cc\nby"), (23, "licensed under CC BY-NC 4.0"), (24, "succ by"), (25, "All rights reserved."),
+        (26, "Licensed under CC BY 4.0."), (27, "Part A is licensed under CC BY 4.0. Part B is licensed under CC BY-NC 4.0."), (28, "licensed under the GNU Lesser General Public License"),
+        (29, "This work is licensed under the GNU General Public License version 3."), (30, "Released under the MIT License. Licensed under the Apache License, Version 2.0. All rights reserved.")]
     got = {r.doc_id: r for r in license_scan.scan(docs(spark, rows)).collect()}
     assert got[20].labels == "mit" and got[20].first_word == 3 and got[20].score == 1.0
     assert (got[21].n_base, got[21].first_word, got[21].last_word) == (2, 0, 4)
     assert got[22].base_labels == "cc-by" and got[24].base_labels == ""
+    assert got[26].labels == "cc-by,cc-by-4.0" and got[27].labels == "cc-by,cc-by-4.0,cc-by-nc-4.0" and got[28].labels == "lgpl" and got[29].labels == "gpl,gpl-3"
+    assert got[30].labels == "apache,apache-2.0,mit,reserved"
     assert got[23].labels == "cc-by,cc-by-nc-4.0" and got[25].labels == "reserved" and got[25].n_base == 0
     assert got[1].n_words == 0 and got[1].first_word is None and got[1].score == 0.0
     assert license_scan.scan(docs(spark, [])).count() == 0
