@@ -177,7 +177,7 @@ def sketch_candidates(bars: DataFrame, groups: DataFrame, days: int = 504, bits:
     rows = rows.select("symbol", "p", *draws)
     sign = lambda k: F.when(F.getbit(C(f"h{k // 64}"), F.lit(k % 64)) == 1, C("p")).otherwise(-C("p"))
     sums = rows.groupBy("symbol").agg(F.max(F.abs("p")).alias("widest"), *(F.sum(sign(k)).alias(f"s{k}") for k in range(bits))).where("widest > 0")
-    codes = [sum((F.when(C(f"s{b + i}") > 0, 1 << i).otherwise(0) for i in range(band)), F.lit(0)) for b in range(0, bits, band)]
+    codes = [sum((F.when(C(f"s{b + i}") > 0, 1 << i).otherwise(0) for i in range(band)), F.lit(0)) for b in range(0, bits - band + 1, band)]
     bands = sums.join(groups.select("symbol", "sector"), "symbol").select("symbol", "sector", F.posexplode(F.array(*codes)).alias("band", "code"))
     other = bands.withColumnRenamed("symbol", "b")
     return bands.withColumnRenamed("symbol", "a").join(other, ["sector", "band", "code"]).where("a < b").select("a", "b").distinct()

@@ -109,15 +109,17 @@ def flatten_facts(docs: DataFrame, concepts: DataFrame) -> DataFrame:
     return out.where("filed IS NOT NULL AND period_end IS NOT NULL AND value IS NOT NULL")
 
 
-FORM4 = "issuer string, reportingOwner struct<name: string, isOfficer: string, isDirector: string>, nonDerivativeTransaction array<struct<date: struct<value: string>, code: string, acquired: struct<value: string>, shares: struct<value: string>, price: struct<value: string>>>"
+_FIELD = "struct<value: string, _VALUE: string>"  # <x><value>v</value></x> or <x>v</x>
+FORM4 = f"issuer string, reportingOwner struct<name: string, isOfficer: string, isDirector: string>, nonDerivativeTransaction array<struct<date: {_FIELD}, code: {_FIELD}, acquired: {_FIELD}, shares: {_FIELD}, price: {_FIELD}>>"
 
 
 def flatten_insider_xml(docs: DataFrame) -> DataFrame:
-    """docs (xml) -> purchases (code P, acquired A) of officers and directors; a missing price is 0, non-numeric shares go."""
+    """docs (xml) -> purchases (code P, acquired A) of officers and directors; a field stands in a value element or as text; a missing price is 0, non-numeric shares go."""
     rows = docs.select(F.from_xml("xml", FORM4).alias("x")).select(C("x.issuer").alias("ticker"), C("x.reportingOwner").alias("o"), F.explode("x.nonDerivativeTransaction").alias("t"))
-    yes = lambda c: F.coalesce(C(c).isin("1", "true"), F.lit(False))
-    rows = rows.select("ticker", C("o.name").alias("reporter_name"), yes("o.isOfficer").alias("is_officer"), yes("o.isDirector").alias("is_director"), C("t.date.value").try_cast("date").alias("transaction_date"),
-                       C("t.code").alias("transaction_code"), C("t.acquired.value").alias("acquired"), C("t.shares.value").try_cast("double").alias("shares"), F.coalesce(C("t.price.value").try_cast("double"), F.lit(0.0)).alias("price"))
+    yes = lambda c: F.coalesce(F.lower(F.trim(C(c))).isin("1", "true"), F.lit(False))
+    field = lambda c: F.trim(F.coalesce(C(f"t.{c}.value"), C(f"t.{c}._VALUE")))
+    rows = rows.select("ticker", C("o.name").alias("reporter_name"), yes("o.isOfficer").alias("is_officer"), yes("o.isDirector").alias("is_director"), field("date").try_cast("date").alias("transaction_date"),
+                       field("code").alias("transaction_code"), field("acquired").alias("acquired"), field("shares").try_cast("double").alias("shares"), F.coalesce(field("price").try_cast("double"), F.lit(0.0)).alias("price"))
     rows = rows.where("(is_officer OR is_director) AND transaction_code = 'P' AND acquired = 'A' AND shares IS NOT NULL")
     return rows.drop("acquired").withColumn("total_value", C("shares") * C("price"))
 
