@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantpanel.functions.panel import true
@@ -230,6 +231,37 @@ def macro_points(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"risk_on": on, "risk_off": off})
 
 
+INDICATORS = ("yield_curve", "hy_spread", "vix", "fed_trend")
+FUNDS = ("equity", "gold", "bonds")
+
+
+def fund_points(dates: DataFrame, funds: DataFrame, period: int = 63) -> DataFrame:
+    """dates (date) with risk-on and risk-off points of three funds' momentum; funds (role of ``FUNDS``, date, close).
+
+    A fund's momentum is over its last ``period`` closes, 0 where it has no more than that; a date without a close takes the fund's last. The
+    calendar, a row a day, is filled in one task.
+    """
+    own = W.partitionBy("role").orderBy("date")
+    known = funds.where("close IS NOT NULL")
+    mom = F.when(F.row_number().over(own) > period, C("close") / F.lag("close", period - 1).over(own) - 1).otherwise(0.0)
+    wide = known.withColumn("mom", mom).groupBy("date").pivot("role", list(FUNDS)).agg(F.first("mom"))
+    days = dates.select("date", F.lit(True).alias("wanted")).distinct().join(wide, "date", "full")
+    upto = W.orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    days = days.withColumns({f: F.coalesce(F.last(f, ignorenulls=True).over(upto), F.lit(0.0)) for f in FUNDS}).where("wanted")
+    equity, gold, bonds = (C(f) for f in FUNDS)
+    on = F.when(equity > 0.05, 2).otherwise(0) + F.when(gold < 0, 1).otherwise(0) + F.when(bonds < -0.03, 1).otherwise(0)
+    off = F.when(equity < -0.05, 2).otherwise(0) + F.when(gold > 0.05, 1).otherwise(0) + F.when(bonds > 0.03, 1).otherwise(0)
+    return days.select("date", on.alias("risk_on"), off.alias("risk_off"))
+
+
+def macro_or_fund_points(rows: DataFrame, funds: DataFrame, period: int = 63) -> DataFrame:
+    """``macro_points`` of rows (date, indicators); a row without any indicator takes the points of the funds."""
+    proxy = fund_points(rows, funds, period).withColumnsRenamed({"risk_on": "_on", "risk_off": "_off"})
+    none = F.coalesce(*(C(c).cast("string") for c in INDICATORS)).isNull()
+    out = macro_points(rows).join(proxy, "date")
+    return out.withColumns({"risk_on": F.when(none, C("_on")).otherwise(C("risk_on")), "risk_off": F.when(none, C("_off")).otherwise(C("risk_off")), "source": F.when(none, "funds").otherwise("indicators")}).drop("_on", "_off")
+
+
 def macro_signal(rows: DataFrame, least: int = 4, confirm: float = 0.02) -> DataFrame:
     """rows (risk_on, risk_off, mom63, regime, held): the ticker's own momentum must confirm the points."""
     sell = C("held") & (C("risk_off") >= least) & (C("mom63") < -confirm)

@@ -52,20 +52,35 @@ add("f11_dividend_calendar", lambda s, d: dividends.calendar(_payments(s, d)).se
 def _macro(s, d):
     """Indicators by day of the year; one is missing now and then."""
     doy = F.dayofyear("date")
-    rows = bars(s, d).select("date").distinct().select("date", ((doy % 30) / 10.0 - 1).alias("yield_curve"), F.when(doy % 17 != 0, (250 + doy % 400).cast("double")).alias("hy_spread"), (10 + doy % 30).cast("double").alias("vix"), ((doy % 20) / 10.0 - 1).alias("fed_trend"))
-    return strategies.macro_points(rows)
+    return bars(s, d).select("date").distinct().select("date", ((doy % 30) / 10.0 - 1).alias("yield_curve"), F.when(doy % 17 != 0, (250 + doy % 400).cast("double")).alias("hy_spread"), (10 + doy % 30).cast("double").alias("vix"), ((doy % 20) / 10.0 - 1).alias("fed_trend"))
 
 
 _MACRO = duck("bars") + """, dd AS (SELECT DISTINCT date, DAYOFYEAR(date) AS doy FROM bars), mi AS (SELECT date, (doy % 30) / 10.0::DOUBLE - 1 AS c, CASE WHEN doy % 17 <> 0 THEN 250 + doy % 400 END AS h, 10 + doy % 30 AS x, (doy % 20) / 10.0::DOUBLE - 1 AS f FROM dd),
 mp AS (SELECT date, CASE WHEN c > 1.0 THEN 2 WHEN c > 0.5 THEN 1 ELSE 0 END + CASE WHEN h < 300 THEN 2 WHEN h < 380 THEN 1 ELSE 0 END + CASE WHEN x < 15 THEN 1 ELSE 0 END + CASE WHEN f < -0.5 THEN 1 ELSE 0 END AS risk_on,
        CASE WHEN c < -0.25 THEN 2 WHEN c < 0 THEN 1 ELSE 0 END + CASE WHEN h > 600 THEN 2 WHEN h > 450 THEN 1 ELSE 0 END + CASE WHEN x > 30 THEN 2 WHEN x > 23 THEN 1 ELSE 0 END + CASE WHEN f > 0.75 THEN 1 ELSE 0 END AS risk_off FROM mi)"""
-add("h09_macro_points", lambda s, d: _macro(s, d).select("date", "risk_on", "risk_off"), _MACRO + " SELECT date, risk_on, risk_off FROM mp", ("date",))
+add("h09_macro_points", lambda s, d: strategies.macro_points(_macro(s, d)).select("date", "risk_on", "risk_off"), _MACRO + " SELECT date, risk_on, risk_off FROM mp", ("date",))
+
+
+def _proxied(s, d):
+    """Three symbols stand for the funds; in even months no indicator is known."""
+    even = F.month("date") % 2 == 0
+    rows = _macro(s, d)
+    rows = rows.select("date", *(F.when(~even, C(c)).alias(c) for c in strategies.INDICATORS))
+    role = F.when(C("symbol") == "S1", "equity").when(C("symbol") == "S2", "gold").when(C("symbol") == "S3", "bonds")
+    return strategies.macro_or_fund_points(rows, bars(s, d).select(role.alias("role"), "date", "close").where("role IS NOT NULL"))
+
+
+add("i07_fund_fallback", lambda s, d: _proxied(s, d).select("date", "risk_on", "risk_off", "source"),
+    _MACRO + """, fm AS (SELECT symbol, date, CASE WHEN ROW_NUMBER() OVER w > 63 THEN close / LAG(close, 62) OVER w - 1 ELSE 0 END AS m FROM bars WHERE symbol IN ('S1', 'S2', 'S3') WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+    fd AS (SELECT mp.date, COALESCE((SELECT ARG_MAX(m, fm.date) FROM fm WHERE symbol = 'S1' AND fm.date <= mp.date), 0) AS e, COALESCE((SELECT ARG_MAX(m, fm.date) FROM fm WHERE symbol = 'S2' AND fm.date <= mp.date), 0) AS g, COALESCE((SELECT ARG_MAX(m, fm.date) FROM fm WHERE symbol = 'S3' AND fm.date <= mp.date), 0) AS b FROM mp)
+    SELECT date, CASE WHEN MONTH(date) % 2 = 1 THEN risk_on ELSE CASE WHEN e > 0.05 THEN 2 ELSE 0 END + CASE WHEN g < 0 THEN 1 ELSE 0 END + CASE WHEN b < -0.03 THEN 1 ELSE 0 END END AS risk_on,
+    CASE WHEN MONTH(date) % 2 = 1 THEN risk_off ELSE CASE WHEN e < -0.05 THEN 2 ELSE 0 END + CASE WHEN g > 0.05 THEN 1 ELSE 0 END + CASE WHEN b > 0.03 THEN 1 ELSE 0 END END AS risk_off, CASE WHEN MONTH(date) % 2 = 1 THEN 'indicators' ELSE 'funds' END AS source FROM mp JOIN fd USING (date)""", ("date",))
 
 
 def _confirmed(s, d):
     mom = C("close") / F.lag("close", 63).over(W.partitionBy("symbol").orderBy("date")) - 1
     rows = bars(s, d).select("symbol", "date", F.coalesce(mom, F.lit(0.0)).alias("mom63"), F.when(C("volume").cast("int") % 3 == 0, "bear").otherwise("bull").alias("regime"), (C("volume").cast("int") % 2 == 0).alias("held"))
-    return strategies.macro_signal(rows.join(_macro(s, d), "date"))
+    return strategies.macro_signal(rows.join(strategies.macro_points(_macro(s, d)), "date"))
 
 
 add("i07_macro_signal", lambda s, d: _confirmed(s, d).select("symbol", "date", "action", "confidence", "target_weight"),
