@@ -21,12 +21,12 @@ def last_before(rows: DataFrame, marks: DataFrame, by: str, at: str, value: Colu
     return both.withColumn(name, seen).where("_kind = 1").select("_row.*", name)
 
 
-def points_inside(intervals: DataFrame, points: DataFrame, start: str, end: str, at: str, days: int = 32) -> DataFrame:
-    """Interval rows with the points of [start, end) that lie inside, by equality on bins of ``days``.
+def points_inside(intervals: DataFrame, points: DataFrame, start: str, end: str, at: str, by: tuple[str, ...] = (), days: int = 32) -> DataFrame:
+    """Interval rows with the points (of the same ``by``) of [start, end) that lie inside, by equality on bins of ``days``.
 
     An interval stands once in each bin that it touches, so candidates beyond the result are those of its two edge bins. An end that is null
     or not after its start has no points.
     """
     bin_ = lambda c: F.floor(F.unix_date(c) / days)
     spread = intervals.where(C(end) > C(start)).withColumn("_bin", F.explode(F.sequence(bin_(C(start)), bin_(F.date_sub(C(end), 1)))))
-    return spread.join(points.withColumn("_bin", bin_(C(at))), "_bin").where((C(at) >= C(start)) & (C(at) < C(end))).drop("_bin")
+    return spread.join(points.withColumn("_bin", bin_(C(at))), [*by, "_bin"]).where((C(at) >= C(start)) & (C(at) < C(end))).drop("_bin")

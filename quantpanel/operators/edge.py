@@ -97,7 +97,7 @@ def regime_excess(signals: DataFrame, returns: DataFrame, drawdowns: DataFrame,
     """Mean forward return of BUY signals less the base mean of the same market-drawdown bucket; null under ``least`` signals."""
     d = C("drawdown")
     bucket = F.when(d < 0.05, "0-5").when(d < 0.10, "5-10").when(d < 0.20, "10-20").otherwise("20+")
-    by_date = F.broadcast(drawdowns.where("drawdown IS NOT NULL").select("date", bucket.alias("bucket")))
+    by_date = drawdowns.where("drawdown IS NOT NULL").select("date", bucket.alias("bucket"))
     all_rows = returns.where((C("horizon") == horizon) & C("fwd").isNotNull()).join(by_date, "date")
     base = all_rows.groupBy("bucket").agg(F.avg("fwd").alias("base"))
     own = signals.where("action = 'BUY'").join(all_rows, ["symbol", "date"]).groupBy("agent", "bucket").agg(F.count("*").alias("n"), F.avg("fwd").alias("mean"))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quantpanel.functions.asof import points_inside
+
 C = F.col
 COST = 0.0012
 FIRST_BAR, COOLDOWN = 210, 20
@@ -201,7 +203,8 @@ def backtests(signals: DataFrame, features: DataFrame) -> DataFrame:
 
 def walk_forward(signals: DataFrame, features: DataFrame, windows: DataFrame) -> DataFrame:
     """In-sample and out-of-sample metrics per (agent, symbol, window); each window starts afresh. A warning marks IS > 1.5 with OOS < 0."""
-    rows = features.select("symbol", "date", "close", "regime").join(signals, ["symbol", "date"]).join(windows, "symbol").where("date BETWEEN train_start AND test_end")
+    rows = features.select("symbol", "date", "close", "regime").join(signals, ["symbol", "date"])
+    rows = points_inside(windows.withColumn("after", F.date_add("test_end", 1)), rows, "train_start", "after", "date", ("symbol",)).drop("after")
 
     def run(key, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("date")

@@ -106,7 +106,7 @@ def normalize_ticker(raw: Column) -> Column:
 
 def exclude_sectors(rows: DataFrame, sectors: DataFrame, names: list[str]) -> DataFrame:
     """Unknown sectors stay."""
-    return rows.join(F.broadcast(sectors.where(C("sector").isin(names)).select("ticker")), "ticker", "left_anti")
+    return rows.join(sectors.where(C("sector").isin(names)).select("ticker"), "ticker", "left_anti")
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, eps: float = 1e-6) -> DataFrame:

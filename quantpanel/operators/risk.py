@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quantpanel.functions.asof import points_inside
 from quantpanel.functions.panel import by_symbol, clip, true, weekdays_after
 from quantpanel.sources.scratch import written
 
@@ -148,7 +149,8 @@ def walk_forward_windows(bars: DataFrame, train: int = 378, test: int = 126, ste
 
 def buy_and_hold(windows: DataFrame, bars: DataFrame) -> DataFrame:
     """Return from the first bar on or after test_start to the last on or before test_end, four places."""
-    rows = windows.join(bars, "symbol").where("date BETWEEN test_start AND test_end")
+    spans = windows.select("symbol", "window", "test_start", F.date_add("test_end", 1).alias("after"))
+    rows = points_inside(spans, bars.select("symbol", "date", "close"), "test_start", "after", "date", ("symbol",))
     return rows.groupBy("symbol", "window").agg(F.bround(F.try_divide(F.max_by("close", "date"), F.min_by("close", "date")) - 1, 4).alias("asset_return"))
 
 
