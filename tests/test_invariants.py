@@ -74,12 +74,11 @@ def test_restated_balance_sheet(spark):
     assert [r.value for r in pit.as_known(facts, "2010-06-01").collect()] == [36.171e9]
 
 
-def test_blocks_are_circular_and_contiguous():
-    rows = edge.block_starts(97, 5, 40, 1)
-    assert rows.shape == (40, 97)
-    steps = np.diff(rows[:, :95].reshape(40, 19, 5), axis=2) % 97
-    assert (steps == 1).all()
-    assert len(np.unique(rows[:, ::5])) > 80
+def test_block_starts_spread_over_the_calendar():
+    starts = edge.drawn(np.arange(40)[:, None], np.arange(20)[None, :], 1) % 97
+    assert starts.shape == (40, 20) and starts.min() >= 0 and len(np.unique(starts)) > 80
+    again = edge.drawn(np.arange(40)[:, None], np.arange(20)[None, :], 2) % 97
+    assert (starts != again).mean() > 0.9
 
 
 def test_interval_brackets_the_excess(spark):
