@@ -1,4 +1,5 @@
 import hashlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -97,9 +98,12 @@ def _brute(both, rows):
         ends = lambda ids, spell: np.cumsum([len(spell(i)) for i in ids]).tolist()
         ea, eb = ends(a, spell_a), ends(b, spell_b)
         cuts = sorted(set(ea) & set(eb))
-        inside = lambda ids, e, low, high: [i for i, x in zip(ids, e) if low < x <= high]
+        inside = lambda ids, e, low, high: ids[bisect_right(e, low) : bisect_right(e, high)]
         made = [(inside(a, ea, x, y), inside(b, eb, x, y)) for x, y in zip([0, *cuts], cuts)]
-        return a, b, made, [(i, j) for i, x in zip(a, ea) for j in [j for j, y in zip(b, eb) if x == y]] if len(a) < 400 else [(g[0][-1], g[1][-1]) for g in made]
+        at = defaultdict(list)
+        for j, y in zip(b, eb):
+            at[y].append(j)
+        return a, b, made, [(i, j) for i, x in zip(a, ea) for j in at[x]]
 
     found = [(d, *groups(x)) for d, x in rows]
     count = Counter(l for *_, links in found for l in links)
