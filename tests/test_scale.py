@@ -3,7 +3,10 @@
 import datetime as dt
 import math
 
+from pyspark.sql import functions as F
+
 from quantpanel.operators import reports
+from quantpanel.sources import lake
 
 
 def _day(k):
@@ -28,3 +31,19 @@ def test_forward_as_of_reads_each_row_once(spark):
         else:
             assert abs(r.fwd - math.log((103 + at) / (100 + at))) < 1e-12
     assert {r.h for r in reports.shadow_outcomes(rows, bars).collect()} == {1, 3, 5}
+
+
+def test_snapshot_files_are_fewer_than_symbols(spark, tmp_path):
+    bars = spark.createDataFrame([(f"S{k}", _day(i), *[float(k + i)] * 4, 1.0) for k in range(60) for i in range(3)], "symbol string, date date, open double, high double, low double, close double, volume double")
+    path = f"{tmp_path}/snap"
+    lake.write_snapshot(bars, path)
+    folder = next(p for p in (tmp_path / "snap").iterdir() if p.name.startswith("bars-"))
+    assert len(list(folder.rglob("*.parquet"))) <= 4
+    rows, listed = lake.read_snapshot(spark, path)
+    assert rows.count() == 180 and listed.count() == 60 and lake.tampered(spark, path).count() == 0
+
+
+def test_six_places_as_printed(spark):
+    odd = [0.0, -0.0, 1e-7, 5e-7, 1e-6, 1.0000005, 2.5000005, 1e9, 1e12, -3.5, float("nan"), float("inf"), None, 999999999.9999995]
+    rows = spark.createDataFrame([(x,) for x in odd], "x double").select(lake._six_places(F.col("x")).alias("a"), F.format_string("%.6f", "x").alias("b"))
+    assert all(r.a == r.b for r in rows.collect())
