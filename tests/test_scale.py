@@ -2,10 +2,11 @@
 
 import datetime as dt
 import math
+import random
 
 from pyspark.sql import functions as F
 
-from quantpanel.operators import reports
+from quantpanel.operators import reports, risk
 from quantpanel.sources import lake
 
 
@@ -47,3 +48,16 @@ def test_six_places_as_printed(spark):
     odd = [0.0, -0.0, 1e-7, 5e-7, 1e-6, 1.0000005, 2.5000005, 1e9, 1e12, -3.5, float("nan"), float("inf"), None, 999999999.9999995]
     rows = spark.createDataFrame([(x,) for x in odd], "x double").select(lake._six_places(F.col("x")).alias("a"), F.format_string("%.6f", "x").alias("b"))
     assert all(r.a == r.b for r in rows.collect())
+
+
+def test_correlation_blocks_grow_with_the_symbols(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(f"S{k}", _day(i), 100.0 + rng.random()) for k in range(40) for i in range(25)]
+    bars = spark.createDataFrame(rows, "symbol string, date date, close double")
+    sizes = []
+    monkeypatch.setattr(risk, "BLOCK_SYMBOLS", 8)
+    monkeypatch.setattr(risk.F, "pmod", lambda x, n, real=F.pmod: sizes.append(n) or real(x, n))
+    got = {(r.a, r.b): (r.n, round(r.corr, 9)) for r in risk.correlations(bars, 20, 5).collect()}
+    assert len(sizes) == 1 and "5" in str(sizes[0])  # 40 symbols in blocks of 8
+    one = {(r.a, r.b): (r.n, round(r.corr, 9)) for r in risk.correlations(bars, 20, 5, blocks=1).collect()}
+    assert got == one and len(got) == 40 * 39 // 2
