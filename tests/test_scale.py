@@ -6,7 +6,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from quantpanel.operators import reports, risk
+from quantpanel.functions import panel
+from quantpanel.operators import features, reports, risk
 from quantpanel.sources import lake
 
 
@@ -61,3 +62,20 @@ def test_correlation_blocks_grow_with_the_symbols(spark, monkeypatch):
     assert len(sizes) == 1 and "5" in str(sizes[0])  # 40 symbols in blocks of 8
     one = {(r.a, r.b): (r.n, round(r.corr, 9)) for r in risk.correlations(bars, 20, 5, blocks=1).collect()}
     assert got == one and len(got) == 40 * 39 // 2
+
+
+def test_long_frames_are_put_together_of_parts(spark):
+    rng = random.Random(9)
+    closes = [None if rng.random() < 0.05 else rng.uniform(50, 150) for _ in range(130)]
+    bars = spark.createDataFrame([("S", _day(i), c) for i, c in enumerate(closes)], "symbol string, date date, close double")
+    got = panel.with_long_frames(bars, 10, {"mean": ("avg", "close", 50), "high": ("max", "close", 60), "low": ("min", "close", 10)})
+    assert "-49" not in _plan(got) and "-59" not in _plan(got)  # no frame slides over all of its rows
+    for i, r in enumerate(sorted(got.collect(), key=lambda r: r.date)):
+        of = lambda n: [c for c in closes[max(0, i - n + 1) : i + 1] if c is not None]  # noqa: B023, E731
+        assert r.high == max(of(60), default=None) and r.low == min(of(10), default=None)
+        assert r["mean"] is None if len(of(50)) < 50 else abs(r["mean"] - sum(of(50)) / 50) < 1e-9
+
+
+def test_moving_averages_slide_over_short_frames(spark):
+    bars = spark.createDataFrame([("S", _day(i), 100.0 + i) for i in range(30)], "symbol string, date date, close double")
+    assert "-199" not in _plan(features.moving_averages(bars)) and "-251" not in _plan(features.volatility(bars))
