@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from quantpanel.functions import panel
-from quantpanel.operators import features, reports, risk
+from quantpanel.operators import edge, features, reports, risk
 from quantpanel.sources import lake
 
 
@@ -79,3 +79,9 @@ def test_long_frames_are_put_together_of_parts(spark):
 def test_moving_averages_slide_over_short_frames(spark):
     bars = spark.createDataFrame([("S", _day(i), 100.0 + i) for i in range(30)], "symbol string, date date, close double")
     assert "-199" not in _plan(features.moving_averages(bars)) and "-251" not in _plan(features.volatility(bars))
+
+
+def test_calibration_of_carried_returns_keeps_to_its_horizon(spark):
+    said = spark.createDataFrame([("A", "S", _day(k), "BUY", 0.6, 0.01, -0.01, 0.01) for k in range(4)], "agent string, symbol string, date date, action string, confidence double, fwd_1 double, fwd_5 double, fwd_20 double")
+    (got,) = edge.calibration(said, edge.long_returns(said)).collect()
+    assert (got.n, got.n_dates, got.hit_rate) == (4, 4, 0.0)
