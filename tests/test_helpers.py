@@ -78,3 +78,18 @@ def test_resampling_queries_draw_as_often_as_the_reference(spark, monkeypatch):
     monkeypatch.setattr(edge, "excess_intervals", lambda s, r, draws=2000, **k: seen.update(draws=draws) or intervals(s, r, draws, **k))
     catalog.QUERIES["d09_excess_intervals"](spark, SF)
     assert seen["draws"] == 2000
+
+
+def test_pairs_in_blocks(spark):
+    """Any number of blocks gives the same rows; twins and a price of 1.00 that stands still are answered, pairs without a shared date have none."""
+    rng, days = np.random.default_rng(4), [dt.date(2020, 1, 1) + dt.timedelta(days=k) for k in range(600)]
+    closes = {s: np.exp(np.cumsum(rng.normal(0, 0.01, 300))) for s in ("A", "B", "C", "D")} | {"ONE": np.ones(300)}
+    closes |= {"TWIN": closes["A"]}
+    rows = [(s, days[k], float(c)) for s, v in closes.items() for k, c in enumerate(v)] + [("LATE", days[300 + k], 1.0 + k) for k in range(300)]
+    bars = spark.createDataFrame(rows, "symbol string, date date, close double")
+    pairs = spark.createDataFrame([("A", "B"), ("A", "TWIN"), ("C", "ONE"), ("D", "C"), ("A", "LATE")], "a string, b string")
+    groups = spark.createDataFrame([(s, "x" if s in "ABC" else "y") for s in closes if s != "D"], "symbol string, sector string")
+    found = [sorted(map(str, statistics.validate_pairs(bars, pairs, **how).collect())) for how in ({}, {"block": 1}, {"block": 2, "groups": groups})]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 4
+    got = {(r.a, r.b): r for r in statistics.validate_pairs(bars, pairs).collect()}
+    assert got["A", "TWIN"].beta == 1 and got["A", "TWIN"].half_life is None and not got["A", "TWIN"].valid and not got["C", "ONE"].valid
