@@ -85,3 +85,34 @@ def test_calibration_of_carried_returns_keeps_to_its_horizon(spark):
     said = spark.createDataFrame([("A", "S", _day(k), "BUY", 0.6, 0.01, -0.01, 0.01) for k in range(4)], "agent string, symbol string, date date, action string, confidence double, fwd_1 double, fwd_5 double, fwd_20 double")
     (got,) = edge.calibration(said, edge.long_returns(said)).collect()
     assert (got.n, got.n_dates, got.hit_rate) == (4, 4, 0.0)
+
+
+def test_sweeps_equal_windows(spark):
+    """Frames over batches that cut symbols, with missing values and short histories, against window functions; no window but the row number and the labels stays in the plan."""
+    rng = random.Random(3)
+    rows = [(f"S{s}", _day(k), None if rng.random() < 0.05 else round(rng.uniform(1, 9), 2)) for s, n in enumerate((1, 4, 40, 90)) for k in range(n)]
+    frame = panel.in_order(spark.createDataFrame(rows, "symbol string, date date, x double"))
+    made = {f"{op}{n}_{back}_{least}": panel.Frame(op, "x", n, back, least) for op in ("avg", "max", "min", "std") for n in (5, 20) for back in (0, 1) for least in (None, 2)}
+    made |= {f"lag{k}": panel.Frame("lag", "x", back=k) for k in (1, 7)}
+    agg = {"avg": F.avg, "max": F.max, "min": F.min, "std": F.stddev_samp}
+    want = {k: panel.lag("x", f.back) if f.op == "lag" else panel.rolling(agg[f.op], "x", f.n, f.least, f.back) for k, f in made.items()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = panel.swept(frame, **made).withColumns({f"_{k}": c for k, c in want.items()}).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    for r in got:
+        for k in made:
+            assert (r[k] is None) == (r[f"_{k}"] is None) and (r[k] is None or abs(r[k] - r[f"_{k}"]) < 1e-12), (k, r)
+    bars = spark.createDataFrame([("S", _day(k), *[100.0 + k] * 4, 1.0) for k in range(5)], "symbol string, date date, open double, high double, low double, close double, volume double")
+    assert _plan(features.features(bars)).count("windowspecdefinition") == 4
+
+
+def test_excess_by_regime_without_a_join(spark):
+    """Signals that carry their returns give what the join with all returns gives."""
+    rows = [(f"S{s}", _day(k), "a", "BUY" if (s + k) % 3 else "HOLD", None if k > 50 else 0.01 * ((s * k) % 7 - 3)) for s in range(4) for k in range(60)]
+    signals = spark.createDataFrame(rows, "symbol string, date date, agent string, action string, fwd_5 double")
+    returns, falls = edge.long_returns(signals, (5,)), spark.createDataFrame([(_day(k), 0.004 * k) for k in range(55)], "date date, drawdown double")
+    plain, own = (sorted((r.bucket, r.n, None if r.excess is None else round(r.excess, 9)) for r in edge.regime_excess(x, returns, falls, least=5).collect()) for x in (signals.drop("fwd_5"), signals))
+    assert plain == own and [r[0] for r in own] == ["0-5", "10-20", "20+", "5-10"]
