@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quantpanel.operators import edge, features, pit, quality, strategies, trades
+from quantpanel.operators import edge, features, folds, pit, quality, strategies, trades
 from quantpanel.plans import catalog
 from quantpanel.sources.fixtures import view
 
@@ -89,3 +89,11 @@ def test_interval_brackets_the_excess(spark):
 def test_breaker_is_sticky(spark):
     eq = spark.createDataFrame([("a", i, v) for i, v in enumerate([100.0, 95.0, 90.0, 99.0, 100.0])], "account string, date int, netliq double")
     assert [r.level for r in trades.drawdown_breaker(eq).orderBy("date").collect()] == [0, 1, 3, 3, 3]
+
+
+def test_backtests_of_signals_that_carry_their_closes(spark):
+    rows = features.features(_bars(spark, [100.0 + 10 * ((k * 7) % 13) for k in range(300)]))
+    plain = strategies.signals(rows)
+    own = strategies.unfolded(strategies.decided(rows, keep=("close", "regime"))).where("error IS NULL").drop("error")
+    got = [sorted(map(str, folds.backtests(*how).collect())) for how in ((plain, rows), (own,))]
+    assert got[0] == got[1] and len(got[0]) == 5
