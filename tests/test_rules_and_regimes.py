@@ -57,6 +57,29 @@ def test_regimes_find_planted_clouds(spark):
     assert np.allclose(own, got[[f"p_{n}" for n in model.names]].to_numpy(), atol=1e-6)
 
 
+def test_regime_fit_is_that_of_spark_in_fewer_passes(spark):
+    from pyspark.ml.clustering import GaussianMixture
+
+    x = np.random.default_rng(7).normal(size=(3000, 6)) * np.array([1, 2, 1, 3, 1, 0.1])
+    matrix = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{c} double" for c in regimes.FEATURES)).persist()
+    sc = spark.sparkContext
+    sc.setJobGroup("regime-fit", "")
+    model = regimes.fit_regimes(matrix, first_iter=4, max_iter=40, tol=1e-6)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("regime-fit"))
+    sc.setJobGroup("", "")
+    scaled = model.stages.stages[1].transform(model.stages.stages[0].transform(matrix)).select("scaled").persist()
+    fits = {k: GaussianMixture(k=4, featuresCol="scaled", seed=k, maxIter=4, tol=1e-6).fit(scaled) for k in range(42, 46)}
+    want = GaussianMixture(k=4, featuresCol="scaled", seed=max(fits, key=lambda k: fits[k].summary.logLikelihood), maxIter=40, tol=1e-6).fit(scaled)
+    assert np.isclose(model.log_likelihood, want.summary.logLikelihood, rtol=1e-10)
+    assert np.allclose(model.stages.stages[2].weights, want.weights, atol=1e-8)
+    for own, g in zip(model.stages.stages[2].gaussians, want.gaussians):
+        assert np.allclose(own.mean.toArray(), g.mean.toArray(), atol=1e-7) and np.allclose(own.cov.toArray(), g.cov.toArray(), atol=1e-7)
+    # one job a pass of all starts together; a run of its own for each start, and the best again from its begin, took 4 * 4 + 40 beside those of the starts
+    assert want.summary.numIter == 40 and jobs < 4 * 4 + 40 + 12
+    matrix.unpersist()
+    scaled.unpersist()
+
+
 def test_regime_series_fills_forward(spark):
     bars = spark.createDataFrame([("A", _day(k)) for k in range(5)] + [("B", _day(2))], "symbol string, date date")
     cols = "p_bull_quiet double, p_bull_volatile double, p_bear double, p_sideways double"
