@@ -40,12 +40,17 @@ add(
 
 def _form4(s, d):
     """A filing for each order, a transaction for each of its lines; fields as elements or as text."""
-    lines = s.read.parquet(f"{d}/lineitem.parquet")
-    k, tag = C("l_partkey"), lambda n, v: F.concat(F.lit(f"<{n}>"), v, F.lit(f"</{n}>"))
-    held = lambda n, v: F.when(k % 2 == 0, tag(n, tag("value", v))).otherwise(tag(n, v))
-    price = F.when(k % 5 == 0, "").otherwise(held("price", F.format_string("%.2f", "l_extendedprice")))
-    tx = tag("nonDerivativeTransaction", F.concat(held("date", F.date_format("l_shipdate", "yyyy-MM-dd")), held("code", F.when(k % 3 == 0, "P").otherwise("S")), held("acquired", F.when(k % 4 == 0, "D").otherwise("A")), held("shares", F.when(k % 17 == 0, "many").otherwise(C("l_quantity").cast("int").cast("string"))), price))
-    rows = lines.groupBy("l_orderkey").agg(F.concat_ws("", F.collect_list(tx)).alias("txs"))
+    tag = lambda n, v: F.concat(F.lit(f"<{n}>"), v, F.lit(f"</{n}>"))
+
+    def tx(r):
+        k = r["l_partkey"]
+        held = lambda n, v: F.when(k % 2 == 0, tag(n, tag("value", v))).otherwise(tag(n, v))
+        price = F.when(k % 5 == 0, "").otherwise(held("price", r["l_extendedprice"].cast("decimal(18,2)").cast("string")))
+        return tag("nonDerivativeTransaction", F.concat(held("date", r["l_shipdate"].cast("date").cast("string")), held("code", F.when(k % 3 == 0, "P").otherwise("S")), held("acquired", F.when(k % 4 == 0, "D").otherwise("A")), held("shares", F.when(k % 17 == 0, "many").otherwise(r["l_quantity"].cast("int").cast("string"))), price))
+
+    # lines travel as numbers and become text where their filing is
+    lines = s.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")).alias("lines"))
+    rows = lines.select("l_orderkey", F.array_join(F.transform("lines", tx), "").alias("txs"))
     key = C("l_orderkey")
     owner = F.concat(tag("name", F.concat(F.lit("R"), (key % 9).cast("string"))), tag("isOfficer", F.when(key % 3 == 0, "1").otherwise("0")), tag("isDirector", F.when(key % 2 == 0, "true").otherwise("false")))
     return rows.select(F.concat(F.lit("<filing>"), tag("issuer", F.concat(F.lit("S"), (key % 50).cast("string"))), tag("reportingOwner", owner), "txs", F.lit("</filing>")).alias("xml"))

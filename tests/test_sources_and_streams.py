@@ -80,6 +80,16 @@ def test_nested_documents(spark):
     assert [r.accession for r in lake.zip_filings(filings).collect()] == ["a"]
 
 
+def test_filings_are_parsed_once(spark):
+    owner = "<reportingOwner><name>N</name><isOfficer>{}</isOfficer><isDirector>{}</isDirector></reportingOwner>"
+    tx = "<nonDerivativeTransaction><date>2024-01-05</date><code>P</code><acquired>A</acquired><shares>{}</shares></nonDerivativeTransaction>"
+    docs = ["<f><issuer>X</issuer>" + owner.format("0", "TRUE") + tx.format(1) + tx.format(2) + "</f>", "<f><issuer>X</issuer>" + owner.format("0", "0") + tx.format(3) + "</f>", "<f>" + tx.format(4) + "</f>", "<f><issuer>X", "no xml", "", None]
+    docs.append("<f><issuer>Y</issuer>" + owner.format(" 1 ", "") + "</f>")
+    rows = lake.flatten_insider_xml(spark.createDataFrame([(x,) for x in docs], "xml string"))
+    assert sorted(r.shares for r in rows.collect()) == [1.0, 2.0]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = view(spark, SF, "bus_events")
     doubled = rows.union(rows.limit(50))
