@@ -297,6 +297,15 @@ def test_line_dedup_of_equal_units(spark):
     assert all(own_end.split()[-1] in got[k] for k, own_end in rows)
 
 
+def test_line_dedup_of_rests_of_long_units(spark):
+    """Units are cut after twelve words; a rest of twelve words and an end looks like a whole unit, but is two."""
+    rng = np.random.default_rng(21)
+    words = lambda n: "".join(str(rng.choice(["th ", "ben ", "sh "])) for _ in range(n))
+    shared = [words(12 * k) + "x\n" + words(int(rng.integers(20, 60))) + "ab.\n" for k in (1, 2, 3, 2)]
+    rows = [(i, words(int(rng.integers(0, 30))) + "".join(shared[j] for j in rng.permutation(4)[:3]) + words(int(rng.integers(0, 14)))) for i in range(40)]
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, rows)).collect()} == _dedup_lines(rows)
+
+
 def test_clashing_columns_stay(spark):
     rng = np.random.default_rng(15)
     text = " ".join(f"w{x}" for x in rng.integers(0, 9000, 80))
