@@ -116,3 +116,18 @@ def test_excess_by_regime_without_a_join(spark):
     returns, falls = edge.long_returns(signals, (5,)), spark.createDataFrame([(_day(k), 0.004 * k) for k in range(55)], "date date, drawdown double")
     plain, own = (sorted((r.bucket, r.n, None if r.excess is None else round(r.excess, 9)) for r in edge.regime_excess(x, returns, falls, least=5).collect()) for x in (signals.drop("fwd_5"), signals))
     assert plain == own and [r[0] for r in own] == ["0-5", "10-20", "20+", "5-10"]
+
+
+def _physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_returns_meet_without_a_shuffle(spark):
+    """Returns are written in their block once; no exchange or sort sends them once a pair of blocks, and no block goes to all tasks."""
+    rng = random.Random(8)
+    rows = [(f"S{k}", _day(i + k % 3), 100.0 + rng.random()) for k in range(23) for i in range(12)] + [(None, _day(i), 100.0 + i) for i in range(12)]
+    bars = spark.createDataFrame(rows, "symbol string, date date, close double")
+    got = risk.correlations(bars, 10, 5, blocks=6)
+    assert not any(step in _physical(got) for step in ("Exchange", "Sort", "Broadcast")) and "CartesianProduct" in _physical(got)
+    pairs = [(r.a, r.b) for r in got.collect()]
+    assert len(pairs) == len(set(pairs)) == 23 * 22 // 2 and all(a < b for a, b in pairs)
