@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from quantpanel.functions import panel
-from quantpanel.operators import edge, features, reports, risk
+from quantpanel.operators import edge, features, reports, risk, statistics
 from quantpanel.sources import lake
 
 
@@ -131,3 +131,21 @@ def test_blocks_of_returns_meet_without_a_shuffle(spark):
     assert not any(step in _physical(got) for step in ("Exchange", "Sort", "Broadcast")) and "CartesianProduct" in _physical(got)
     pairs = [(r.a, r.b) for r in got.collect()]
     assert len(pairs) == len(set(pairs)) == 23 * 22 // 2 and all(a < b for a, b in pairs)
+
+
+def test_sketched_pairs_need_no_table_of_candidates(spark):
+    """The same rows as candidates that are listed first, for any size of block and symbols of several groups; the plan after the written prices has no exchange."""
+    rng = random.Random(6)
+    level = {f"S{s}": 0.0 for s in range(24)}
+    rows = [(s, _day(i), math.exp(level[s])) for i in range(190) for s in level if level.update({s: level[s] + rng.gauss(0, 0.01)}) or i >= 8 * (int(s[1:]) % 12)]
+    rows += [("TWIN", d, 2 * c) for s, d, c in rows if s == "S3"] + [("ONE", _day(i), 1.0) for i in range(150)] + [("LATE", _day(300 + i), 1.0 + i) for i in range(140)]
+    bars = spark.createDataFrame(rows, "symbol string, date date, close double")
+    groups = [(s, "x" if k % 2 else "y") for k, s in enumerate([*level, "TWIN", "ONE", "LATE", "NEVER"])] + [("S3", "y"), ("TWIN", "x"), ("S5", "y"), ("S5", None), ("S5", "x")]
+    groups = spark.createDataFrame(groups, "symbol string, sector string")
+    want = statistics.validate_pairs(bars, statistics.sketch_candidates(bars, groups)).collect()
+    assert len(want) > 20 and {"short"} < {r.reasons for r in want}
+    for block in (1000, 5, 1):
+        got = statistics.validate_sketched(bars, groups, block=block)
+        assert not any(step in _physical(got) for step in ("Exchange", "Sort", "Broadcast"))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want))
+    assert statistics.validate_sketched(bars, groups.where("symbol = 'NEVER'")).collect() == []
