@@ -4,10 +4,12 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quantpanel.functions import panel
-from quantpanel.operators import edge, features, reports, risk, statistics
+from quantpanel.operators import edge, features, folds, reports, risk, statistics, strategies
 from quantpanel.sources import lake
 
 
@@ -149,3 +151,77 @@ def test_sketched_pairs_need_no_table_of_candidates(spark):
         assert not any(step in _physical(got) for step in ("Exchange", "Sort", "Broadcast"))
         assert sorted(map(str, got.collect())) == sorted(map(str, want))
     assert statistics.validate_sketched(bars, groups.where("symbol = 'NEVER'")).collect() == []
+
+
+def test_backtests_where_the_rows_are(spark):
+    """Over batches that cut symbols the same rows as groups of unfolded signals, short histories and a silent strategy too; nothing is shuffled after the features."""
+    rng, level, rows = random.Random(7), {}, []
+    for s, n in (("A", 560), ("B", 30), ("C", 700), ("D", 503), ("E", 1), ("F", 504)):
+        for k in range(n):
+            level[s] = level.get(s, 0.0) + rng.gauss(0.002 * math.sin(k / 40), 0.02)
+            c = math.exp(level[s]) * 50
+            rows.append((s, _day(k), c, c * 1.01, c * 0.99, c, float(rng.randint(1, 90))))
+    bars = spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, volume double")
+    names = strategies.names()
+    decided = strategies.decided(features.features(bars, ()), keep=("n_bars", "close", "regime"))
+    signals = strategies.unfolded(decided).where("error IS NULL")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 97)
+    try:
+        pairs = [(folds.backtests(signals), folds.backtests_in_order(decided, names)), (folds.walk_forward(signals, None, risk.walk_forward_windows(bars)), folds.walk_forward_in_order(decided, names))]
+        for want, got in pairs:
+            assert _physical(got).count("Exchange") == 1 and "FlatMapGroups" not in _physical(got)
+            want = sorted(map(str, want.collect()))
+            assert len(want) > 10 and sorted(map(str, got.select(want_columns(want[0])).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def want_columns(row):
+    return [part.split("=")[0] for part in row[4:-1].split(", ")]
+
+
+def test_trades_one_after_another():
+    """From trade to trade as from bar to bar."""
+    rng = np.random.default_rng(3)
+    for first in (0, 15):
+        close, action = np.exp(np.cumsum(rng.normal(0, 0.02, 400))) * 20_000, rng.choice(["BUY", "SELL", "HOLD"], 400)
+        close[:40] *= 10  # too dear at first
+        sure, regime = rng.uniform(0.5, 1, 400), rng.choice(["bull", "bear"], 400)
+        cash, qty, last, equity, done = 100_000.0, 0, -folds.COOLDOWN, [], []
+        for i in range(first, 400):
+            if i - last >= folds.COOLDOWN and action[i] == "BUY" and qty == 0 and int(0.95 * cash / close[i]):
+                qty, last = int(0.95 * cash / close[i]), i
+                cash -= qty * close[i] * (1 + folds.COST)
+                done.append(("BUY", close[i]))
+            elif i - last >= folds.COOLDOWN and action[i] == "SELL" and qty and not (regime[i] == "bull" and sure[i] < 0.90):
+                cash, qty, last = cash + qty * close[i] * (1 - folds.COST), 0, i
+                done.append(("SELL", close[i]))
+            equity.append(cash + qty * close[i])
+        got = folds.simulate(close, action, sure, regime, first)
+        assert got[1] == done and len(done) > 5 and np.allclose(got[0], equity, rtol=1e-12)
+
+
+def test_a_rule_that_fails_on_some_rows_is_asked_seldom():
+    """Equal rows that raise are found once; the answers are those of each row alone."""
+    asked = []
+
+    def rule(rows):
+        asked.append(len(rows))
+        if (rows["x"] == 3).any() or rows["t"].isna().any():
+            raise ValueError("no")
+        return rows.assign(action=np.where(np.signbit(rows["x"]), "SELL", "BUY"), confidence=rows["x"] / 10, target_weight=0.0)
+
+    rng = random.Random(2)
+    data = pd.DataFrame([(rng.choice([0.0, -0.0, 1.0, 2.0, 3.0]), rng.choice(["a", "b", None])) for _ in range(3000)], columns=["x", "t"])
+    run = {}
+    real = strategies.F.pandas_udf
+    strategies.F.pandas_udf = lambda f, schema: run.update(f=f) or (lambda *c: None)
+    try:
+        strategies.guarded(rule, "x", "t")
+    finally:
+        strategies.F.pandas_udf = real
+    got = run["f"](data["x"], data["t"])
+    assert len(asked) < 60 and len(got) == 3000 and len(run["f"](data["x"][:0], data["t"][:0])) == 0
+    for (x, t), r in zip(data.itertuples(index=False), got.itertuples()):
+        bad = x == 3 or t is None
+        assert (r.error == "ValueError: no" and r.action is None) if bad else (r.error is None and r.confidence == x / 10 and r.action == ("SELL" if math.copysign(1, x) < 0 else "BUY"))
